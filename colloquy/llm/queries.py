@@ -22,6 +22,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe}
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import order_minhash
+
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
 
 ORACLE_SQL: dict[str, str] = {}
