@@ -28,6 +28,12 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import fingerprints
+
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
 
 ORACLE_SQL: dict[str, str] = {}
