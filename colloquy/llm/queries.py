@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.llm import mixing as _mixing
+
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
@@ -19,7 +21,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm import byte_bpe
 
     ranks = byte_bpe.load_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
-    return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, stable=True)
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import mixing
+
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_mixing": op9_mixing, "op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": _mixing.ORACLE_SQL}
