@@ -42,6 +42,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_mixing": op9_mixing, "op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import sharding
+    from colloquy.llm._common import shared_path
+
+    store = sharding.arrive_and_compact(table(spark, sf_dir, "documents"), shared_path(spark, "shards"))
+    return store.rows(columns=["doc_id", "n_chars"]).select("doc_id", "n_chars", "shard", "tier", "shard_bytes")
+
+
+QUERIES = {"op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
 
 ORACLE_SQL: dict[str, str] = {"op9_mixing": _mixing.ORACLE_SQL}
