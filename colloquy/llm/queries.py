@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.llm import line_dedup as _line_dedup
 from colloquy.llm import mixing as _mixing
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -50,6 +51,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.rows(columns=["doc_id", "n_chars"]).select("doc_id", "n_chars", "shard", "tier", "shard_bytes")
 
 
-QUERIES = {"op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import line_dedup
 
-ORACLE_SQL: dict[str, str] = {"op9_mixing": _mixing.ORACLE_SQL}
+    return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
+
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _line_dedup.ORACLE_SQL, "op9_mixing": _mixing.ORACLE_SQL}
