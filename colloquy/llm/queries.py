@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colloquy.llm import line_dedup as _line_dedup
 from colloquy.llm import mixing as _mixing
@@ -57,6 +58,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (declared: lang, host: source) and pages (declared: markup, host: address) together."""
+    from colloquy.llm import lang_id
+
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None)
+    rows = docs.select("doc_id", none.cast("long").alias("page_id"), "text", F.col("lang").alias("claim"), F.col("source").alias("host"))
+    rows = rows.union(pages.select(none.cast("long"), "page_id", lang_id.page_text(F.col("html")), lang_id.markup_language(F.col("html")), lang_id.address_host(F.col("url"))))
+    found = lang_id.identify(rows, lang_id.fit(docs), declared="claim", host="host")
+    return found.withColumn("kept", lang_id.accepted(F.col("language"), F.col("probability")))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op3_line_dedup": op3_line_dedup, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _line_dedup.ORACLE_SQL, "op9_mixing": _mixing.ORACLE_SQL}
