@@ -79,6 +79,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(rows.unionByName(extra))
 
 
-QUERIES = {"op4_chat_format": op4_chat_format, "op1_language_id": op1_language_id, "op3_line_dedup": op3_line_dedup, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import lm_score
+
+    return lm_score.score(table(spark, sf_dir, "documents"), stable=True)
+
+
+QUERIES = {"op5_lm_score": op5_lm_score, "op4_chat_format": op4_chat_format, "op1_language_id": op1_language_id, "op3_line_dedup": op3_line_dedup, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _line_dedup.ORACLE_SQL, "op9_mixing": _mixing.ORACLE_SQL}
