@@ -85,6 +85,14 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), stable=True)
 
 
-QUERIES = {"op5_lm_score": op5_lm_score, "op4_chat_format": op4_chat_format, "op1_language_id": op1_language_id, "op3_line_dedup": op3_line_dedup, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures drawn from all embeddings (there is no table of images), with edits of every 100th."""
+    from colloquy.llm import image_copies
+
+    found = image_copies.copies(image_copies.pictures(table(spark, sf_dir, "embeddings")))
+    return found.select(F.floor(F.col("image_id") / 4).alias("vec_id"), F.pmod("image_id", F.lit(4)).alias("variant"), "image_id", "class_id", "copy_of", "n_links")
+
+
+QUERIES = {"op6_image_copies": op6_image_copies, "op5_lm_score": op5_lm_score, "op4_chat_format": op4_chat_format, "op1_language_id": op1_language_id, "op3_line_dedup": op3_line_dedup, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _line_dedup.ORACLE_SQL, "op9_mixing": _mixing.ORACLE_SQL}
