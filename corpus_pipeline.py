@@ -1,12 +1,73 @@
-"""A corpus pipeline of operators in colloquy.llm."""
+"""A corpus pipeline: documents whose language is known, without boilerplate lines and near copies,
+mixed to source weights and encoded.
+
+Each stage takes (spark, docs, sf_dir), reads all of ``docs`` and returns a DataFrame; it is written
+as Parquet and read again as the next stage's ``docs``. All stages but the last return the columns of
+``documents``. Ids name documents: rows of one id are one document from the third stage on.
+"""
 
 from __future__ import annotations
 
-from colloquy.llm import queries as _queries  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colloquy.llm import byte_bpe, lang_id, line_dedup, mixing, order_minhash
+from colloquy.llm._common import materialize
+from colloquy.llm.queries import TOKENIZERS
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language; ``lang`` is the declaration and ``source`` the host. The model is
+    fitted on the stage's own documents (a bounded sample of those with a language)."""
+    key = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("_k2")]
+    found = lang_id.identify(docs.select(*key, "text", "lang", "source"), lang_id.fit(docs), declared="lang", host="source")
+    gone = materialize(found.where(~lang_id.accepted(F.col("language"), F.col("probability"))).select("_k1", "_k2").distinct(), "rejected")
+    return docs.select(*key, *docs.columns).join(gone, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand on many sites."""
+    cleaned = line_dedup.remove_boilerplate(docs)
+    return cleaned.select(*(F.char_length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each class of near copies."""
+    kept = order_minhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
 
-STAGES: list = []
-ORACLE_SQL = None
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document stands once for each round that takes it, cut where a round begins or ends."""
+    return mixing.take(docs)
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded_sha256 (of the bytes that the ids decode to)."""
+    import public_tokenizers
+
+    ranks = byte_bpe.load_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    done = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, stable=True), ranks)
+    return done.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", near_duplicates),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs
+
+
+#: SQL has no byte-level BPE.
+ORACLE_SQL = None
