@@ -7,16 +7,12 @@ equal the same rules on code points.
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-cloudpickle.register_pickle_by_value(sys.modules["colloquy.llm"])
-
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
