@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from colloquy.llm._common import materialize
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Changes whenever the set of edges does: two numbers, whatever the size."""
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` written to the shared folder, and two numbers that change whenever the set does,
+    observed while it is written."""
+    seen = Observation()
+    watched = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
+    done = materialize(watched, "edges")
+    return done, (seen.get["n"], seen.get["s"])
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -34,11 +37,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     written to the shared folder.
     """
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    now = materialize(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    mark = _mark(now)
+    now, mark = _marked(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     while mark[0]:
-        now = materialize(_small(_large(now)), "edges")
-        before, mark = mark, _mark(now)
+        before = mark
+        now, mark = _marked(_small(_large(now)))
         if mark == before:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
