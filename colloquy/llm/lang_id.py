@@ -139,7 +139,7 @@ def _smoothed(counts: list[Column], total: Column, above: list[Column], kappa: f
 
 def identify(rows: DataFrame, model: Model, text: str = "text", declared: str | None = None, host: str | None = None, kappa: float = KAPPA) -> DataFrame:
     """``rows`` without ``text`` and with ``language``, ``probability`` and ``prior`` (of that
-    language at the row's host). ``host`` is a name like ``www.example.org``: its last part is the
+    language at the row's host; columns of these names give way). ``host`` is a name like ``www.example.org``: its last part is the
     suffix and its last two parts the domain."""
     names = [*model.languages, "und"]
     size = len(names)
@@ -147,11 +147,11 @@ def identify(rows: DataFrame, model: Model, text: str = "text", declared: str |
     parts = F.split(name, r"\.")
     suffix = F.when(F.size(parts) > 1, F.element_at(parts, -1))
     domain = F.when(F.size(parts) > 1, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(name)
-    kept = [c for c in rows.columns if c != text]
-    ready = rows.select(*kept, F.col(text).cast("string").alias("_text"), (F.col(declared).cast("string") if declared else F.lit(None).cast("string")).alias("_declared"), suffix.alias("_suffix"), F.coalesce(name, F.lit("")).alias("_host"), F.coalesce(domain, F.lit("")).alias("_domain"))
+    kept = [c for c in rows.columns if c not in (text, "language", "probability", "prior")]
+    ready = rows.select(F.struct(*kept).alias("row") if kept else F.struct(F.lit(0).alias("_")).alias("row"), F.col(text).cast("string").alias("_text"), (F.col(declared).cast("string") if declared else F.lit(None).cast("string")).alias("_declared"), suffix.alias("_suffix"), F.coalesce(name, F.lit("")).alias("_host"), F.coalesce(domain, F.lit("")).alias("_domain"))
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-    carried = [*kept, "_host", "_domain"]
+    carried = ["row", "_host", "_domain"]
     schema = StructType([*(f for f in ready.schema.fields if f.name in carried), StructField("evidence", ArrayType(DoubleType()))])
     found = materialize(ready.mapInArrow(_evidence(model, carried), schema), "evidence")
     flat = [(1 - UND_PRIOR) / max(1, size - 1)] * (size - 1) + [UND_PRIOR if size > 1 else 1.0]
@@ -171,7 +171,7 @@ def identify(rows: DataFrame, model: Model, text: str = "text", declared: str |
     joined = joined.withColumn("_prior", F.array(*prior)).withColumn("_post", share(F.zip_with("evidence", "_prior", lambda e, p: F.exp(e) * p)))
     best = F.array_position("_post", F.array_max("_post")).cast("int")
     joined = joined.withColumn("_best", best)
-    return joined.select(*kept, F.element_at(F.array(*map(F.lit, names)), F.col("_best")).alias("language"), F.element_at("_post", F.col("_best")).alias("probability"), F.element_at("_prior", F.col("_best")).alias("prior"))
+    return joined.select(*(F.col("row")[c].alias(c) for c in kept), F.element_at(F.array(*map(F.lit, names)), F.col("_best")).alias("language"), F.element_at("_post", F.col("_best")).alias("probability"), F.element_at("_prior", F.col("_best")).alias("prior"))
 
 
 def accepted(language: Column, probability: Column, least: float = MIN_PROBABILITY) -> Column:

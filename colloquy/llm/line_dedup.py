@@ -62,23 +62,25 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_s
 
 
 def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float = MAX_SHARE) -> DataFrame:
-    """``docs`` with ``text`` cleaned, ``n_lines`` and ``n_removed``."""
+    """``docs`` with ``text`` cleaned, ``n_lines`` and ``n_removed`` (in place of columns of that name)."""
     found = materialize(boilerplate(docs, text, site, min_sites, min_words).select("h1", "h2"), "boilerplate")
     # a row is known by its id and text; equal rows share a key and an outcome
-    key = [F.xxhash64(F.col(doc_id), F.col(text)).alias("_k1"), F.xxhash64(F.col(text), F.col(doc_id), F.lit(1)).alias("_k2")]
+    key = [F.xxhash64(F.col(doc_id), F.col(text)).alias("k1"), F.xxhash64(F.col(text), F.col(doc_id), F.lit(1)).alias("k2")]
     rows = docs.select(*key, F.col(text).cast("string").alias("text"))
-    hits = _exploded(rows, min_words).join(found, ["h1", "h2"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("h1").alias("_gone"))
-    joined = docs.withColumns(dict(zip(("_k1", "_k2"), key))).join(hits, ["_k1", "_k2"], "left")
-    lines = _lines(F.col(text))
-    goes = lambda x: F.array_contains(F.col("_gone"), F.xxhash64(_bare(x))) & _counts(_bare(x), min_words)
-    joined = joined.withColumn("_stay", F.when(F.col("_gone").isNotNull(), F.filter(lines, lambda x: ~goes(x))))
-    joined = joined.withColumn("_lost", F.char_length(F.col(text)) - F.char_length(F.array_join("_stay", "\n")))
-    cut = F.coalesce(F.col("_lost") <= F.lit(max_share) * F.char_length(F.col(text)), F.lit(False))
-    cleaned = F.when(cut, F.array_join("_stay", "\n")).otherwise(F.col(text))
+    hits = _exploded(rows, min_words).join(found, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("h1").alias("gone"))
+    whole = docs.select(*key, F.col(text).cast("string").alias("text"), F.struct(*(F.col(c) for c in docs.columns if c != text)).alias("row"))
+    joined = whole.join(hits, ["k1", "k2"], "left")
+    lines = _lines(F.col("text"))
+    goes = lambda x: F.array_contains(F.col("gone"), F.xxhash64(_bare(x))) & _counts(_bare(x), min_words)
+    joined = joined.withColumn("stay", F.when(F.col("gone").isNotNull(), F.filter(lines, lambda x: ~goes(x))))
+    lost = F.char_length("text") - F.char_length(F.array_join("stay", "\n"))
+    cut = F.coalesce(lost <= F.lit(max_share) * F.char_length("text"), F.lit(False))
+    cleaned = F.when(cut, F.array_join("stay", "\n")).otherwise(F.col("text"))
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    n_lines = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    removed = F.when(cut, F.size(lines) - F.size("_stay")).otherwise(F.lit(0)).cast("long")
-    return joined.select(*(cleaned.alias(c) if c == text else F.col(c) for c in docs.columns), n_lines.alias("n_lines"), removed.alias("n_removed"))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
+    removed = F.when(cut, F.size(lines) - F.size("stay")).otherwise(F.lit(0)).cast("long")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*(cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in kept), n_lines.alias("n_lines"), removed.alias("n_removed"))
 
 
 _SQL_BARE = r"trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"

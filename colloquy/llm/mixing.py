@@ -150,15 +150,15 @@ def words_between(text: Column, first: Column, count: Column) -> Column:
 
 def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: int = EPOCHS, **options) -> DataFrame:
     """The mixed documents with the columns of ``docs``: each text once for each round that takes it,
-    cut where the round begins or ends within it. Ids must be unique and not null, for the plan's
-    rows are joined back by id; a text without words is kept once, since it costs nothing."""
+    cut where the round begins or ends within it. The plan is joined back by id, so rows that share one
+    must first be made one; a text without words is kept once, since it costs nothing."""
     plan = mix(docs, doc_id=doc_id, text=text, epochs=epochs, **options).documents
     spans = F.array(*(F.struct(F.lit(e).alias("round"), (F.col(f"from{e}{p}") - F.col("first")).alias("at"), (F.col(f"to{e}{p}") - F.col(f"from{e}{p}")).alias("n")) for e in range(epochs) for p in "ab"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.explode(F.when(F.col("size") == 0, F.array(F.struct(F.lit(0).alias("round"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n")))).otherwise(F.filter(spans, lambda s: s["n"] > 0))).alias("_span"))
-    joined = docs.join(plan, docs[doc_id] == F.col("_id"))
-    part = F.when(F.col("_span.n") == F.col("_size"), F.col(text)).otherwise(words_between(F.col(text), F.col("_span.at"), F.col("_span.n")))
-    columns = [part.alias(text) if c == text else F.char_length(part).cast("long").alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return joined.select(*columns)
+    plan = plan.select(F.col("doc_id").alias("id"), F.col("size"), F.explode(F.when(F.col("size") == 0, F.array(F.struct(F.lit(0).alias("round"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n")))).otherwise(F.filter(spans, lambda s: s["n"] > 0))).alias("span"))
+    whole = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
+    joined = whole.join(plan, whole["id"].eqNullSafe(plan["id"]))
+    part = F.when(F.col("span.n") == F.col("size"), F.col("text")).otherwise(words_between(F.col("text"), F.col("span.at"), F.col("span.n")))
+    return joined.select(*(part.alias(c) if c == text else F.char_length(part).cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 #: The same rows by SQL: seats ranked by one window, documents by one window a source.

@@ -49,7 +49,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm._common import shared_path
 
     store = sharding.arrive_and_compact(table(spark, sf_dir, "documents"), shared_path(spark, "shards"))
-    return store.rows(columns=["doc_id", "n_chars"]).select("doc_id", "n_chars", "shard", "tier", "shard_bytes")
+    return store.placed().select("row.doc_id", "row.n_chars", "shard", "tier", "shard_bytes")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,15 +13,15 @@ Spark. A merge works in waves of at most ``WAVE`` shards, so the map from shards
 broadcast is of a bounded size; rows are dealt by destination file, and each file is written by one task.
 
 Edge cases: null and empty texts count no bytes and are kept; rows that repeat are kept; a row longer
-than the target is in a shard that is longer; an empty arrival adds no shard; any columns are carried,
-but for the reserved ``_shard`` and ``_target``.
+than the target is in a shard that is longer; an empty arrival adds no shard, and a store without
+shards has no rows to read (an error); any columns are carried, since a shard keeps rows as structs.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm._common import materialize
@@ -33,6 +33,10 @@ WAVE = 4096
 _ENTRY = "shard string, rows long, bytes long, tier int"
 
 
+def _shard_of() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/_shard=[^/]+)/[^/]+$", 1)
+
+
 class Conflict(RuntimeError):
     """Another writer committed this version first."""
 
@@ -96,26 +100,20 @@ class ShardStore:
         job = f"{prefix}-{uuid.uuid4().hex[:12]}"
         rows.write.option("compression", "zstd").partitionBy("_shard").parquet(f"{self.path}/{job}")
         # the rows just written are counted from their files: one narrow scan
-        back = self._read([f"{self.path}/{job}"], self.path + f"/{job}", rows.drop("_shard").schema)
-        sized = back.select(F.concat(F.lit(f"{job}/_shard="), F.col("_shard")).alias("shard"), F.coalesce(F.octet_length(self.text), F.lit(0)).alias("n"))
+        back = self.spark.read.option("recursiveFileLookup", "true").schema(rows.drop("_shard").schema).parquet(f"{self.path}/{job}")
+        sized = back.select(_shard_of().alias("shard"), F.coalesce(F.octet_length(F.col("row")[self.text]), F.lit(0)).alias("n"))
         counted = sized.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").cast("long").alias("bytes"))
         return counted.withColumn("tier", self._tier(F.col("bytes")))
 
-    def _read(self, paths: list[str], base: str, schema) -> DataFrame:
-        from pyspark.sql.types import StringType, StructField, StructType
-
-        return self.spark.read.option("basePath", base).schema(StructType([*schema.fields, StructField("_shard", StringType())])).parquet(*paths)
-
     def _tier(self, size):
         """0 below the smallest size, then one for each factor of ``fanout``; full shards are in the top tier."""
         return F.when(size * 4 >= self.target * 3, F.lit(99)).otherwise(F.greatest(F.lit(0), F.floor(F.log(F.greatest(size, F.lit(1)) / F.lit(float(self.target) / self.fanout**4)) / F.log(F.lit(float(self.fanout)))))).cast("int")
 
-    def append(self, arrivals: DataFrame, batch: str | None = None) -> int:
-        """Commit arrivals as small shards; ``batch`` names a column whose values arrive one after
-        another (all are written in one pass, and committed together as one version)."""
-        sized = arrivals.withColumn("_at", F.spark_partition_id())
-        name = F.concat_ws("-", *([F.col(batch).cast("string")] if batch else []), F.lpad(F.col("_at").cast("string"), 5, "0"))
-        entries = self._write(sized.withColumn("_shard", name).drop("_at"), "arrive")
+    def append(self, arrivals: DataFrame, batch: Column | None = None) -> int:
+        """Commit arrivals as small shards; ``batch`` is what arrives one after another (all are
+        written in one pass, and committed together as one version)."""
+        name = F.concat_ws("-", *([batch.cast("string")] if batch is not None else []), F.lpad(F.spark_partition_id().cast("string"), 5, "0"))
+        entries = self._write(arrivals.select(F.struct(*arrivals.columns).alias("row"), name.alias("_shard")), "arrive")
         base = self.version()
         return self._commit(self.manifest(base).unionByName(entries), base)
 
@@ -141,24 +139,28 @@ class ShardStore:
             self._commit(live.where(~F.col("shard").isin(names)).unionByName(entries), base)
 
     def _merge(self, names: list[str], binned: DataFrame, n: int) -> DataFrame:
-        to = binned.withColumnRenamed("shard", "_source")
-        joined = self.read(names).join(F.broadcast(to), "_source").drop("_source")  # of a bounded size: WAVE
+        joined = self.read(names).join(F.broadcast(binned), "shard").drop("shard")  # of a bounded size: WAVE
         dealt = joined.repartition(n, "_target").withColumn("_shard", F.lpad(F.col("_target").cast("string"), 6, "0")).drop("_target")
         return self._write(dealt, "merge")
 
     # reading
 
-    def read(self, shards: list[str], columns: list[str] | None = None) -> DataFrame:
-        """The rows of some shards, with ``_source``, the shard each is from."""
+    def read(self, shards: list[str]) -> DataFrame:
+        """(row, shard) of some shards: each row as a struct, and the shard it is from."""
         rows = self.spark.read.option("recursiveFileLookup", "true").parquet(*(f"{self.path}/{s}" for s in shards))
-        rows = rows.select(*columns) if columns else rows
-        return rows.withColumn("_source", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/_shard=[^/]+)/[^/]+$", 1))
+        return rows.select("row", _shard_of().alias("shard"))
 
-    def rows(self, version: int | None = None, columns: list[str] | None = None) -> DataFrame:
-        """The rows of a version with ``shard``. Shards that a version does not name are left out by a join."""
+    def placed(self, version: int | None = None) -> DataFrame:
+        """(shard, row, tier, shard_bytes) of a version. Shards that it does not name are left out by a join."""
         live = self.manifest(version)
         jobs = [r[0] for r in live.select(F.substring_index("shard", "/", 1)).distinct().collect()]  # one for each write job
-        return self.read(jobs, columns).withColumnRenamed("_source", "shard").join(live.select("shard", "tier", F.col("bytes").alias("shard_bytes")), "shard")
+        if not jobs:
+            raise LookupError("the store has no shards yet")
+        return self.read(jobs).join(live.select("shard", "tier", F.col("bytes").alias("shard_bytes")), "shard")
+
+    def rows(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, as they were appended."""
+        return self.placed(version).select("row.*")
 
     def vacuum(self, keep_from: int) -> int:
         """Delete the shards that no version from ``keep_from`` on names; returns their number."""
@@ -176,10 +178,9 @@ class ShardStore:
         return n
 
 
-def arrive_and_compact(docs: DataFrame, path: str, arrivals: int = 8, **options) -> ShardStore:
+def arrive_and_compact(docs: DataFrame, path: str, arrivals: int = 8, doc_id: str = "doc_id", **options) -> ShardStore:
     """A store of ``docs`` as they would arrive in so many batches, compacted, old shards deleted."""
     store = ShardStore(docs.sparkSession, path, **options)
-    batch = F.pmod(F.xxhash64(*(F.col(c) for c, t in docs.dtypes if c == "doc_id") or [F.lit(0)]), F.lit(arrivals))
-    store.append(docs.withColumn("_batch", batch), "_batch")
+    store.append(docs, F.pmod(F.xxhash64(doc_id), F.lit(arrivals)))
     store.vacuum(store.compact())
     return store

@@ -19,10 +19,10 @@ from colloquy.llm.queries import TOKENIZERS
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language; ``lang`` is the declaration and ``source`` the host. The model is
     fitted on the stage's own documents (a bounded sample of those with a language)."""
-    key = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("_k2")]
+    key = [F.xxhash64("doc_id", "text", "lang", "source").alias("k1"), F.xxhash64("text", "doc_id", "source", "lang").alias("k2")]
     found = lang_id.identify(docs.select(*key, "text", "lang", "source"), lang_id.fit(docs), declared="lang", host="source")
-    gone = materialize(found.where(~lang_id.accepted(F.col("language"), F.col("probability"))).select("_k1", "_k2").distinct(), "rejected")
-    return docs.select(*key, *docs.columns).join(gone, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    gone = materialize(found.where(~lang_id.accepted(F.col("language"), F.col("probability"))).select("k1", "k2").distinct(), "rejected")
+    return docs.select(*key, F.struct(*docs.columns).alias("row")).join(gone, ["k1", "k2"], "left_anti").select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
