@@ -2,8 +2,8 @@
 
 Prefix sums of turn tokens place every turn on its conversation's line; the line is cut into equal
 strides, and a turn belongs to the window of the stride it starts in. A window holds the system turn
-(a first turn of that role, repeated in every window), up to ``history`` tokens of the turns before
-it, repeated, and its own turns. The stride is half of what the budget leaves after the system turn
+(a first turn of that role, repeated in every window), the turns that start in the last ``history``
+tokens before its stride, repeated, and its own turns. The stride is half of what the budget leaves after the system turn
 and the history, so a window is within the budget unless one of its own turns is longer than a
 stride; turns are never cut. The loss mask is the text of the window's own assistant turns: each
 assistant text once over all windows, repeated targets masked out.
@@ -68,7 +68,8 @@ def windows(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     placed = placed.withColumn("window", F.floor(F.col("start") / F.col("stride")).cast("long"))
     held = F.least(F.lit(history), F.col("stride"))
     kept = F.col("system_tokens").isNotNull() & (F.col("start") == 0)
-    again = ~kept & (F.col("start") + F.col("tokens") <= (F.col("window") + 1) * F.col("stride")) & (F.col("start") >= (F.col("window") + 1) * F.col("stride") - held)
+    # a turn that reaches over its stride's end is history too; the next window is shorter by as much
+    again = ~kept & (F.col("start") >= (F.col("window") + 1) * F.col("stride") - held)
     places = F.when(again, F.array(F.struct(F.col("window").alias("window"), F.lit(False).alias("repeated")), F.struct((F.col("window") + 1).alias("window"), F.lit(True).alias("repeated")))).otherwise(F.array(F.struct(F.col("window").alias("window"), F.lit(False).alias("repeated"))))
     spread = placed.select("conv_id", "key", "start", "role", "text", "tokens", F.explode(places).alias("place"))
     # a window's turns number at most its tokens divided by OVERHEAD
