@@ -63,7 +63,8 @@ def as_rows(value, texts, lists, kept, bare) -> list[dict]:
 
 
 def normal(report: dict) -> dict:
-    """The canonical form of a report; normalising it again changes nothing."""
+    """The canonical form of a report; normalising it again only spells out the empty fields of what
+    was a bare value."""
     plain = {"meta": report.get("meta") or {}, "speakers": report.get("speakers") or {}}
     plain |= {k: as_texts(report.get(k)) for k in ("resume", "points_cles")}
     return plain | {field: as_rows(report.get(field), *keys) for field, keys in LISTS.items()}

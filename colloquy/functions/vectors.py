@@ -39,5 +39,6 @@ def mean_vector(df: DataFrame, by: list[str], vector: str, out: str = "mean") ->
 
 
 def clip(x: Column, low, high) -> Column:
+    """``x`` within bounds (a null ``x`` counts as the lower)."""
     low, high = (v if isinstance(v, Column) else F.lit(v) for v in (low, high))
     return F.least(F.greatest(x, low), high)

@@ -36,6 +36,10 @@ def autocorrelation(frame: Column, lag: int) -> Column:
     return F.when(n > lag, both / (V.dot(frame, frame) + 1e-9)).otherwise(F.lit(0.0))
 
 
+def _at_lag(lag: int):
+    return lambda frame: autocorrelation(frame, lag)
+
+
 def spread(values: Column) -> Column:
     """Population standard deviation of an array."""
     n = F.size(values)
@@ -47,7 +51,7 @@ def embed(rows: DataFrame, signal: str = "signal", frame: int = 400, hop: int =
     """``rows`` with ``features``: mean and spread over frames of energy, zero crossings and
     autocorrelation at each lag, at unit length; null for a signal shorter than a frame."""
     staged = rows.withColumn("_frames", frames(F.col(signal), frame, hop))
-    tracks = [F.transform("_frames", rms), F.transform("_frames", zero_crossings), *(F.transform("_frames", lambda f, k=k: autocorrelation(f, k)) for k in lags)]
+    tracks = [F.transform("_frames", rms), F.transform("_frames", zero_crossings), *(F.transform("_frames", _at_lag(k)) for k in lags)]
     staged = staged.withColumn("_tracks", F.array(*tracks))
     means = F.transform("_tracks", lambda t: F.aggregate(t, F.lit(0.0), lambda s, x: s + x) / F.size(t))
     spreads = F.transform("_tracks", spread)

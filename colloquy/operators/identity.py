@@ -68,7 +68,8 @@ def calibrate(persons: DataFrame, exemplars: DataFrame) -> DataFrame:
     both = within.crossJoin(F.broadcast(between))  # two tables of one row
     high = V.clip(F.col("p10"), 0.4, 0.9)
     low = F.least(F.greatest((F.col("mean_in") + F.col("mean_out")) / 2, F.lit(0.3)), high - 0.05)
-    return both.select(F.round(F.coalesce(low, F.lit(TAU_LOW)), 3).alias("tau_low"), F.round(F.coalesce(high, F.lit(TAU_HIGH)), 3).alias("tau_high"))
+    some = F.col("p10").isNotNull()
+    return both.select(F.when(some, F.round(low, 3)).otherwise(F.lit(TAU_LOW)).alias("tau_low"), F.when(some, F.round(high, 3)).otherwise(F.lit(TAU_HIGH)).alias("tau_high"))
 
 
 def newest(exemplars: DataFrame, cap: int = RING) -> DataFrame:

@@ -23,10 +23,10 @@ def frames(events: DataFrame, size: str = FRAME, watermark: str | None = WATERMA
     return timed.groupBy(key, F.window(ts, size).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
-def capped_turns(segments: DataFrame, gap: float, cap: float) -> DataFrame:
+def capped_turns(segments: DataFrame, gap: float, cap: float, timeout_ms: int | None = None) -> DataFrame:
     """Turns of a stream of (recording_id, t0, t1, label) that arrives in order of time within a
-    recording: a turn is emitted when the next one begins, or when its recording has been silent for
-    the time-out. The state of a recording is its open turn."""
+    recording: a turn is emitted when the next one begins or, with ``timeout_ms``, when its recording
+    has been silent for so long. The state of a recording is its open turn."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, frames_, state: GroupState):
@@ -50,11 +50,12 @@ def capped_turns(segments: DataFrame, gap: float, cap: float) -> DataFrame:
                         now = (float(t0), float(t1), int(label), 1)
             if now:
                 state.update(now)
-                state.setTimeoutDuration(600_000)
+                if timeout_ms:
+                    state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame([(key[0], *d) for d in done], columns=["recording_id", "t0", "t1", "label", "n_segs"])
 
     kind = dict(segments.dtypes)["recording_id"]
-    return segments.groupBy("recording_id").applyInPandasWithState(step, f"recording_id {kind}, t0 double, t1 double, label int, n_segs long", "t0 double, t1 double, label int, n_segs long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return segments.groupBy("recording_id").applyInPandasWithState(step, f"recording_id {kind}, t0 double, t1 double, label int, n_segs long", "t0 double, t1 double, label int, n_segs long", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
