@@ -33,9 +33,9 @@ def query(sql: str | None = None):
 
 r6 = lambda c: F.round(c, 6)
 
-_FILLER = "('merci.', 'merci', '...', '- -', '-', '–', '—', 'sous-titrage', '')"
-_PREFIX = r"^(?:\s*(?:Sujets\s*:|Intervenants\s*:|R&D\s*F?\s*:|R&D\b[\s:]*|-\s*Sous-titrage[^\n]*))+"
-_JUNK = r"(sous-titrage|radio-canada|amara\.org|crayon d.ontario|\bm\.d\.\b|société radio|sous-titres réalisés)"
+_FILLER = "(" + ", ".join(f"'{f}'" for f in T.FILLERS) + ")"
+_PREFIX = r"^(?:\s*(?:" + "|".join(T.PREFIXES) + "))+"
+_JUNK = "(" + "|".join(T.JUNK) + ")"
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
