@@ -17,6 +17,8 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch: what a task holds at once on either side of a Python function.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,12 +39,21 @@ def shared_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long, so batches are kept small for this session."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) or 10000) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
+    small_batches(spark)
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
