@@ -33,7 +33,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def plain_pattern(pattern: str) -> str:
-    """``pattern`` with white space written out, as the reference tokenizer library reads it."""
+    """``pattern`` with white space written out, as the tokenizer library reads it."""
     return pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
 
 
