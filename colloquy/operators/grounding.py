@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
@@ -34,8 +34,48 @@ def grounding(citations: DataFrame, utterances: DataFrame, meetings: DataFrame,
     return meetings.select("meeting_id").distinct().join(shares, "meeting_id", "left").select("meeting_id", F.coalesce("n_citations", F.lit(0)).alias("n_citations"), F.coalesce("grounding_score", F.lit(1.0)).alias("grounding_score"))
 
 
-def _items(reports: DataFrame, field: str) -> DataFrame:
-    return reports.select("meeting_id", F.posexplode(F.col(f"report.{field}")).alias("idx", "item"))
+_ISSUE = "array<struct<kind_ord:int,idx:int,check_ord:int,issue:string,value:double>>"
+
+
+def _issue(kind: int, check: int, name: str, idx: Column, text: Column, value: Column) -> Column:
+    label = F.concat(F.lit(f"{name}["), idx.cast("string"), F.lit("]"), text)
+    return F.struct(F.lit(kind).alias("kind_ord"), idx.cast("int").alias("idx"), F.lit(check).alias("check_ord"), label.alias("issue"), value.cast("double").alias("value"))
+
+
+def _outside(t: Column, duration: Column) -> Column:
+    return ~in_range(F.when(t.isNotNull(), T.seconds(t.cast("string"))), duration)
+
+
+def _timed(reports: DataFrame, durations: DataFrame) -> DataFrame:
+    return reports.join(durations, "meeting_id", "left").withColumn("duration", F.coalesce("duration", F.lit(0.0)))
+
+
+def _citations(timed: DataFrame, utterances: DataFrame, threshold: float) -> DataFrame:
+    """Each citation with its best overlap and the array of its issues."""
+    speakers = F.col("report.speakers")
+    known = F.coalesce(F.concat(F.map_keys(speakers), F.transform(F.map_values(speakers), lambda v: v["name"])), F.array().cast("array<string>"))
+    cites = timed.select("meeting_id", "duration", known.alias("known"), F.posexplode("report.citations").alias("idx", "item"))
+    cites = cites.withColumns({"cite_id": F.col("idx"), "quote": F.coalesce("item.texte", F.lit("")), "who": F.coalesce("item.speaker", F.lit(""))})
+    scored = best_overlap(cites, utterances, ["meeting_id"])
+    none, idx = F.lit(None), F.col("idx")
+    stranger = (F.col("who") != "") & ~F.coalesce(F.array_contains("known", F.col("who")), F.lit(False))
+    checks = F.array(
+        F.when(F.col("best") < threshold, _issue(0, 0, "citation", idx, F.lit(" not grounded in transcript"), F.col("best"))),
+        F.when(stranger, _issue(0, 1, "citation", idx, F.concat(F.lit(" references unknown speaker "), F.col("who")), none)),
+        F.when(_outside(F.col("item.t"), F.col("duration")), _issue(0, 2, "citation", idx, F.lit(" timestamp outside"), F.col("duration"))),
+    )
+    return scored.withColumn("found", F.filter(checks, lambda x: x.isNotNull()))
+
+
+def _others(timed: DataFrame) -> DataFrame:
+    """Each report with the array of issues of its chapters, decisions and actions."""
+    duration, none = F.col("duration"), F.lit(None)
+    empty = lambda x: T.strip(F.coalesce(x, F.lit(""))) == ""
+    late = F.transform("report.chapitres", lambda c, i: F.when(_outside(c["t"], duration), _issue(1, 0, "chapitre", i, F.lit(" timestamp outside"), duration)))
+    decisions = F.transform("report.decisions", lambda d, i: F.when(empty(d["decision"]), _issue(2, 0, "decision", i, F.lit(" is empty"), none)))
+    actions = F.transform("report.actions", lambda a, i: F.when(empty(a["action"]), _issue(3, 0, "action", i, F.lit(" is empty"), none)))
+    every = F.concat(*(F.coalesce(x, F.array().cast(_ISSUE)) for x in (late, decisions, actions)))
+    return timed.select("meeting_id", F.filter(every, lambda x: x.isNotNull()).alias("found"))
 
 
 def issues(reports: DataFrame, utterances: DataFrame, durations: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -43,30 +83,15 @@ def issues(reports: DataFrame, utterances: DataFrame, durations: DataFrame, thre
 
     ``reports``: meeting_id, report (normalised). Times are read tolerantly; a time that can't be read
     counts as 0. Order: kind_ord, idx, check_ord."""
-    times = lambda item: T.seconds(item.cast("string"))
-    cites = _items(reports, "citations").join(durations, "meeting_id", "left").withColumn("duration", F.coalesce("duration", F.lit(0.0)))
-    cites = cites.withColumn("cite_id", F.col("idx")).withColumn("quote", F.coalesce("item.texte", F.lit("")))
-    cites = best_overlap(cites, utterances, ["meeting_id"])
-    speakers = reports.select("meeting_id", F.explode("report.speakers").alias("sid", "info"))
-    known = speakers.select("meeting_id", F.col("sid").alias("who")).union(speakers.select("meeting_id", "info.name")).distinct().withColumn("known", F.lit(True))
-    cites = cites.withColumn("who", F.coalesce("item.speaker", F.lit(""))).join(known, ["meeting_id", "who"], "left")
-    row = lambda df, kind, check, bad, text, value: df.where(bad).select("meeting_id", F.lit(kind).alias("kind_ord"), "idx", F.lit(check).alias("check_ord"), text.alias("issue"), value.cast("double").alias("value"))
-    label = lambda name: F.concat(F.lit(f"{name}["), F.col("idx").cast("string"), F.lit("]"))
-    outside = lambda df: ~in_range(F.when(F.col("item.t").isNotNull(), times(F.col("item.t"))), F.col("duration"))
-    out = row(cites, 0, 0, F.col("best") < threshold, F.concat(label("citation"), F.lit(" not grounded in transcript")), F.col("best"))
-    out = out.union(row(cites, 0, 1, (F.col("who") != "") & F.col("known").isNull(), F.concat(label("citation"), F.lit(" references unknown speaker "), F.col("who")), F.lit(None)))
-    out = out.union(row(cites, 0, 2, outside(cites), F.concat(label("citation"), F.lit(" timestamp outside")), F.col("duration")))
-    chapters = _items(reports, "chapitres").join(durations, "meeting_id", "left").withColumn("duration", F.coalesce("duration", F.lit(0.0)))
-    out = out.union(row(chapters, 1, 0, outside(chapters), F.concat(label("chapitre"), F.lit(" timestamp outside")), F.col("duration")))
-    for kind, (field, part, name) in enumerate((("decisions", "decision", "decision"), ("actions", "action", "action")), 2):
-        rows = _items(reports, field)
-        out = out.union(row(rows, kind, 0, T.strip(F.coalesce(F.col(f"item.{part}"), F.lit(""))) == "", F.concat(label(name), F.lit(" is empty")), F.lit(None)))
-    return out
+    timed = _timed(reports, durations)
+    found = _citations(timed, utterances, threshold).select("meeting_id", F.explode("found").alias("f"))
+    return found.union(_others(timed).select("meeting_id", F.explode("found").alias("f"))).select("meeting_id", "f.*")
 
 
 def verify(reports: DataFrame, utterances: DataFrame, durations: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(meeting_id, ok, n_issues, grounding_score)."""
-    found = issues(reports, utterances, durations, threshold).groupBy("meeting_id").agg(F.count(F.lit(1)).alias("n_issues"))
-    cites = _items(reports, "citations").select("meeting_id", F.col("idx").alias("cite_id"), F.coalesce("item.texte", F.lit("")).alias("quote"))
-    scores = grounding(cites, utterances, reports, threshold).select("meeting_id", "grounding_score")
-    return reports.select("meeting_id").join(found, "meeting_id", "left").join(scores, "meeting_id").select("meeting_id", F.col("n_issues").isNull().alias("ok"), F.coalesce("n_issues", F.lit(0)).alias("n_issues"), "grounding_score")
+    """(meeting_id, ok, n_issues, grounding_score); a report without citations is grounded."""
+    timed = _timed(reports, durations)
+    cites = _citations(timed, utterances, threshold).groupBy("meeting_id").agg(F.sum(F.size("found")).alias("n"), F.avg((F.col("best") >= threshold).cast("double")).alias("score"))
+    joined = _others(timed).join(cites, "meeting_id", "left")
+    n = F.size("found") + F.coalesce("n", F.lit(0))
+    return joined.select("meeting_id", (n == 0).alias("ok"), n.cast("long").alias("n_issues"), F.coalesce("score", F.lit(1.0)).alias("grounding_score"))
