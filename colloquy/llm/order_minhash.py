@@ -7,14 +7,13 @@ agree in a slot share a bucket and are candidates. A candidate pair is a link if
 over words, 1 - distance / longer length, is at least ``threshold``; the distance is found by
 diagonal-wise alignment in a band of ``threshold`` width, after a bag-of-words bound.
 
-Buckets are worked off in rounds, so that no bucket emits all pairs. The first rounds compare every
-member with its bucket's least member, at first for two slots and then for all, and only where the two
-are not yet in one component. Later rounds compare what is still apart: all pairs between components
-in buckets of at most ``small`` texts, and in larger ones one newly drawn member for each component
-(all with all for at most ``small`` components, else with the least one), the same within sub-buckets
-that agree in the next slot also. Rounds end when one finds no new link. With the default 20 slots a
-pair of edit similarity 0.97, 0.95 or 0.9 by scattered edits is a candidate with probability over
-0.9999, 0.9999 and 0.97; at 0.8 about half are.
+Buckets are worked off in two rounds and one full pass. The rounds compare every member with its
+bucket's least member, at first for two slots and then for all, and only where the two are not yet in
+one component. The full pass then tests every pair of a bucket that still lies in two components:
+buckets are cut into blocks of at most ``block`` texts, each two blocks meet in a cell of their own, and
+a cell passes on the pairs whose lengths and signatures (parities of hashed words, at most as many of
+which differ as words do) leave the threshold within reach. Both bounds are exact, so no pair that
+shares a bucket is lost; in a bucket of n texts, n * n / ``block`` rows are dealt.
 
 Words are runs without ASCII white space, lower-cased and stripped of ASCII punctuation at both ends
 (kept where nothing else is left).
@@ -34,7 +33,9 @@ from colloquy.llm._common import U64, chunks, materialize, mix64, partitions, sh
 from colloquy.llm.components import connected_components
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-THRESHOLD, K, ELL, SLOTS, SMALL = 0.8, 5, 2, 20, 16
+THRESHOLD, K, ELL, SLOTS, BLOCK = 0.8, 5, 2, 20, 512
+#: Least and most bits of a signature; between them, two to four for each word.
+LEAST_BITS, MOST_BITS = 256, 2048
 
 
 def strip_punctuation(data: np.ndarray) -> np.ndarray:
@@ -99,6 +100,16 @@ def sketch(hashes: np.ndarray, counts: np.ndarray, k: int, ell: int, slots: int)
     return out
 
 
+def signature(words: np.ndarray) -> bytes:
+    """Parities of the counts of words by hash. Texts of twice the length have twice the bits, and the
+    upper half xor the lower is the signature of half the bits."""
+    bits = LEAST_BITS
+    while bits < min(2 * len(words), MOST_BITS):
+        bits *= 2
+    at = (mix64(words.astype(U64)) & U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sketches(k: int, ell: int, slots: int):
     def run(batches):
         import pyarrow as pa
@@ -110,9 +121,10 @@ def _sketches(k: int, ell: int, slots: int):
             ends = np.cumsum(counts)
             short = hashes.astype(np.uint32)
             packed = [squeeze(short[ends[i] - counts[i] : ends[i]].tobytes()) for i in keep]
+            signatures = [signature(short[ends[i] - counts[i] : ends[i]]) for i in keep]
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * slots, pa.int32()), pa.array(found[keep].ravel()))
             ids = rows.column("doc_id").take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts[keep], pa.int64()), pa.array(packed, pa.binary()), keys], ["doc_id", "n_words", "words", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts[keep], pa.int64()), pa.array(packed, pa.binary()), pa.array(signatures, pa.binary()), keys], ["doc_id", "n_words", "words", "signature", "keys"])
 
     return run
 
@@ -250,55 +262,133 @@ def _to_pivot(members: DataFrame) -> DataFrame:
     return members.join(pivot, "key").where("component != p.component").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
 
 
-def _between_components(members: DataFrame, small: int, draw: int) -> DataFrame:
-    """Pairs between the components of a bucket: of all members in buckets of at most ``small``, else
-    of one drawn member for each component, all with all for at most ``small`` components and with the
-    least one for more."""
-    drawn = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc", F.xxhash64("doc", F.lit(draw))).alias("doc"))
-    facts = drawn.groupBy("key").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.min("doc").alias("pivot")).where("parts > 1")
-    few = members.join(facts.where(F.col("size") <= small).select("key"), "key")
-    parts = drawn.join(facts.where(F.col("size") > small), "key")
-    some = few.select("key", "doc", "component").union(parts.where(F.col("parts") <= small).select("key", "doc", "component"))
-    cross = some.alias("x").join(some.alias("y"), "key").where("x.doc < y.doc and x.component != y.component").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    star = parts.where((F.col("parts") > small) & (F.col("doc") != F.col("pivot"))).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-    return cross.union(star)
+def _differing(signatures: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs (i, j), how many bits differ at the shorter signature's size."""
+    size = np.array([len(x) for x in signatures])
+    out = np.zeros(len(i), np.int64)
+    low = np.minimum(size[i], size[j])
+    for w in np.unique(low).tolist():
+        rows = np.flatnonzero(size >= w)
+        place = np.zeros(len(size), np.int64)
+        place[rows] = np.arange(len(rows))
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(signatures[r], U64).reshape(-1, w // 8)) for r in rows.tolist()])
+        for at in np.array_split(np.flatnonzero(low == w), max(1, int((low == w).sum()) // 50000)):
+            out[at] = np.bitwise_count(bits[place[i[at]]] ^ bits[place[j[at]]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _cell_pairs(threshold: float):
+    """Pairs within reach of rows (key, i, j, side, n_words, doc, component, signature) in order of cells:
+    of the two sides of a cell, or of all its rows where it is a block with itself."""
+
+    def of(rows):
+        import pyarrow as pa
+
+        cell = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+        group = np.concatenate(([0], np.cumsum((cell[1:] != cell[:-1]).any(1))))
+        side, n, doc, component = (rows.column(c).to_numpy() for c in ("side", "n_words", "doc", "component"))
+        signatures = rows.column("signature").to_pylist()
+        own = cell[:, 1] == cell[:, 2]
+        most = (n * (1 - threshold) + 1e-9).astype(np.int64)
+        seen: list[tuple] = []
+
+        def flush():
+            if seen:
+                x, y = (np.concatenate(part) for part in zip(*seen))
+                seen.clear()
+                longer = np.where(n[x] >= n[y], x, y)
+                near = _differing(signatures, x, y) <= n[x] + n[y] - 2 * (n[longer] - most[longer])
+                x, y = doc[x[near]], doc[y[near]]
+                for first in range(0, len(x), 100000):
+                    part = slice(first, first + 100000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[part], y[part])), pa.array(np.maximum(x[part], y[part]))], ["a", "b"])
+
+        held = 0
+        for off in range(1, len(group)):
+            x = np.flatnonzero(group[off:] == group[:-off])
+            if not len(x):
+                break
+            y = x + off
+            good = (component[x] != component[y]) & (own[x] | (side[x] != side[y])) & (np.abs(n[x] - n[y]) <= np.maximum(most[x], most[y]))
+            if good.any():
+                seen.append((x[good], y[good]))
+                held += int(good.sum())
+            if held > 200000:
+                yield from flush()
+                held = 0
+        yield from flush()
+
+    def run(batches):
+        import pyarrow as pa
+
+        parts: list = []
+        size, last = 0, None
+        for batch in batches:
+            # whole cells only: what may go on in the next batch is kept
+            first = 0
+            cell = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], 1) if batch.num_rows else np.zeros((0, 3), np.int64)
+            if not len(cell):
+                continue
+            begins = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
+            if last is not None and (cell[0] != last).any():
+                begins = np.concatenate(([0], begins))
+            if len(begins) and size + batch.num_rows >= 2000:
+                cut = int(begins[-1])
+                parts.append(batch.slice(0, cut))
+                yield from of(pa.Table.from_batches(parts).combine_chunks())
+                parts, size, first = [], 0, cut
+            parts.append(batch.slice(first))
+            size += batch.num_rows - first
+            last = cell[-1]
+        if size:
+            yield from of(pa.Table.from_batches(parts).combine_chunks())
+
+    return run
+
+
+def _all_between(members: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """All pairs within reach between the components of each bucket, block by block."""
+    facts = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    facts = facts.select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+    dealt = members.join(facts, "key").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks")))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "component")
+    known = texts.select(F.col("doc_id").alias("doc"), "n_words", "signature").distinct()
+    cells = cells.join(known, "doc").select("key", "i", "j", "side", "n_words", "doc", "component", "signature")
+    cells = cells.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return cells.mapInArrow(_cell_pairs(threshold), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = K, ell: int = ELL, slots: int = SLOTS, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = K, ell: int = ELL, slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (the least id of its class) and copy_of (the least id of an equal text), one row per row of ``docs``."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     copies = materialize(rows.select("doc_id", F.xxhash64("text").alias("h1"), F.md5("text").alias("h2")), "copies")
     firsts = materialize(copies.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("copy_of")), "firsts")
-    texts = materialize(rows.where("doc_id is not null").mapInArrow(_sketches(k, ell, slots), "doc_id long, n_words long, words binary, keys array<long>"), "sketches")
+    texts = materialize(rows.where("doc_id is not null").mapInArrow(_sketches(k, ell, slots), "doc_id long, n_words long, words binary, signature binary, keys array<long>"), "sketches")
     kept = texts.select("doc_id", "keys").join(firsts.select(F.col("copy_of").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    slot = kept.select(F.col("doc_id").alias("doc"), F.posexplode("keys").alias("slot", "key"), "keys").select("doc", "slot", "key", F.element_at("keys", (F.col("slot") + 1) % slots + 1).alias("next"))
+    slot = kept.select(F.col("doc_id").alias("doc"), F.posexplode("keys").alias("slot", "key"))
     slot = materialize(slot, "slots")  # a slot's number is hashed into its key
     shared = slot.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     slot = materialize(slot.join(shared, "key"), "buckets")
-    everything = slot.select("key", "doc")
-    finer = slot.select(F.xxhash64("key", "next", F.lit(1)).alias("key"), "doc")
+    everything = slot.select("key", "doc").distinct()
     labels = refused = None
-    step = 0
-    while True:
-        members = slot.where("slot < 2").select("key", "doc") if step == 0 else everything if step == 1 else everything.union(finer)
+    for step in range(3):
+        members = slot.where("slot < 2").select("key", "doc") if step == 0 else everything
         if labels is None:
             members = members.withColumn("component", F.col("doc"))
         else:
             members = members.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-        pairs = (_to_pivot(members) if step < 2 else _between_components(members, small, step)).distinct()
+        pairs = (_to_pivot(members) if step < 2 else _all_between(members, texts, threshold, block)).distinct()
         if refused is not None:
             pairs = pairs.join(refused, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         links = materialize(links_of(pairs, texts, threshold), "links")
-        found = links.limit(1).count()
-        failed = pairs.join(links, ["a", "b"], "left_anti").select("a", "b")
-        # written, so that plans stay of one size and shape from round to round
-        refused = materialize(failed if refused is None else refused.union(failed), "refused")
-        if found:
+        if step < 2:
+            failed = pairs.join(links, ["a", "b"], "left_anti").select("a", "b")
+            # written, so that plans stay of one size and shape from round to round
+            refused = materialize(failed if refused is None else refused.union(failed), "refused")
+        if links.limit(1).count():
             labels = _relabel(labels, links)
-        elif step > 1:
-            break
-        step += 1
     if labels is None:
         labels = slot.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
     named = firsts.join(labels, F.col("copy_of") == F.col("node"), "left").select("h1", "h2", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
@@ -308,7 +398,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(node, component) after joining components by new links, which never lie within one."""
+    """(node, component) after joining components by new links."""
     if labels is None:
         return materialize(connected_components(links), "labels")
     ends = links

@@ -93,3 +93,25 @@ def test_components(spark):
     for a, b in pairs:
         parent[max(top(a), top(b))] = min(top(a), top(b))
     assert got == {x: top(x) for p in pairs if p[0] != p[1] for x in p}
+
+
+def test_pairs_that_share_a_hot_passage_are_all_linked(spark):
+    # the passage fills most of every text, so that all texts share buckets
+    passage = [f"passage{j}" for j in range(70)]
+    texts = []
+    for i in range(100):
+        own = [f"own{i}n{j}" for j in range(30)]
+        # no run of five own words is left whole
+        texts += [" ".join(passage + own), " ".join(passage + [f"new{i}n{j}" if j % 5 == 2 else w for j, w in enumerate(own)])]
+    got = {r.doc_id: r.class_id for r in m.near_duplicates(make(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(200)}
+
+
+def test_signatures_never_differ_in_more_bits_than_words():
+    draw = random.Random(8)
+    for n in (3, 90, 130, 300, 700, 3000):
+        a = [draw.randrange(5000) for _ in range(n)]
+        b = a[draw.randrange(1 + n // 5) :] + [draw.randrange(5000) for _ in range(n // 9)]
+        both = [m.signature(np.array(x, np.uint32)) for x in (a, b)]
+        counts = [np.bincount(x, minlength=5000) for x in (a, b)]
+        assert m._differing(both, np.array([0]), np.array([1]))[0] <= np.abs(counts[0] - counts[1]).sum()
