@@ -1,7 +1,7 @@
 """Language-model scoring by a weighted backoff automaton.
 
 The model is a bigram model with absolute discounting, learned from the training documents:
-P(w | h) = max(c(h w) - D2, 0) / c(h) + g(h) P(w) over the bigrams seen at least ``CUTOFF`` times,
+P(w | h) = max(c(h w) - D2, 0) / c(h) + g(h) P(w) over the bigrams seen at least ``cutoff`` times,
 where g(h) is what these leave; P(w) = (c(w) - D1) / N, and tokens not known share D1 V / N as one
 outcome, as in the base score. Every context is a state with an arc for each of its bigrams and a
 failure arc of weight g(h) to the root, whose arcs are the words; reading a word leads to its state.
@@ -12,7 +12,7 @@ so no key is hot: a frequent one costs an entry a block. Each kept bigram is own
 blocks that ask for it, and owners sum up their contexts' arcs in a second exchange. With both answers
 a block holds the part of the automaton that its texts can reach, and walks them once, left to right,
 carrying the state and adding log-probabilities. What is gathered grows with the corpus; nothing of it
-is cut but bigrams under the cutoff, which the model defines.
+is cut but bigrams under ``cutoff``: with 1, as the query has it, none.
 
 Tokens: words of ASCII white space (A-Z lowered), then one end for each document; the first word's
 context is a start. Words are known by 64-bit hashes, bigrams by 56-bit ones.
@@ -226,16 +226,16 @@ def _gathered(batches):
         yield close()
 
 
-def _asked_contexts(block, count):
+def _asked_contexts(block, count, cutoff):
     """The contexts that may have arcs: words seen at least cutoff times, and the start; in order of hash."""
-    asked = np.flatnonzero(np.append(count >= U64(CUTOFF), True))
+    asked = np.flatnonzero(np.append(count >= U64(max(1, cutoff)), True))
     return asked[np.argsort(block.contexts[asked], kind="stable")]
 
 
-def _contexts(n_buckets: int):
+def _contexts(n_buckets: int, cutoff: int):
     def run(batches):
         for number, block, answers in _gathered(batches):
-            asked = _asked_contexts(block, answers[WORDS][0] >> U64(1))
+            asked = _asked_contexts(block, answers[WORDS][0] >> U64(1), cutoff)
             pair = answers[PAIRS][0]
             kept = np.flatnonzero((pair & U64(1) == 1) & (pair > 1))
             size = len(block.contexts)
@@ -266,7 +266,7 @@ class Automaton:
         return np.where(self.has_arc[arc], self.arcs[arc], self.failure[states] + self.root[tokens])
 
 
-def _score(facts: dict):
+def _score(facts: dict, cutoff: int):
     def run(batches):
         import pyarrow as pa
 
@@ -279,7 +279,7 @@ def _score(facts: dict):
             # a context's count is its word's; each training document has one start, as it has one end
             end = np.searchsorted(block.keys, END)
             times = np.append(count, count[end] if end < len(count) and block.keys[end] == END else 0)
-            asked = _asked_contexts(block, answers[WORDS][0] >> U64(1))
+            asked = _asked_contexts(block, answers[WORDS][0] >> U64(1), cutoff)
             total, arcs = np.zeros(len(times)), np.zeros(len(times))
             if answers[CONTEXTS]:
                 total[asked], arcs[asked] = (x.astype(np.float64) for x in answers[CONTEXTS])
@@ -324,5 +324,5 @@ def score(docs: DataFrame, held: Column | None = None, doc_id: str = "doc_id", t
     by_block = lambda df: df.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket")
     texts = materialize(rows.mapInArrow(_blocks(buckets, block_bytes, True), _ROWS), "tokens")
     answers = counted.where(F.col("kind") != FACTS)
-    sums = by_block(texts.unionByName(answers)).mapInArrow(_contexts(buckets), _ROWS).repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_add_up, _ROWS)
-    return by_block(texts.unionByName(answers).unionByName(sums)).mapInArrow(_score(known), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    sums = by_block(texts.unionByName(answers)).mapInArrow(_contexts(buckets, cutoff), _ROWS).repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_add_up, _ROWS)
+    return by_block(texts.unionByName(answers).unionByName(sums)).mapInArrow(_score(known, cutoff), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

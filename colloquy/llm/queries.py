@@ -82,7 +82,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm import lm_score
 
-    return lm_score.score(table(spark, sf_dir, "documents"), stable=True)
+    return lm_score.score(table(spark, sf_dir, "documents"), cutoff=1, stable=True)
 
 
 def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import zlib
 
 from colloquy.llm import lm_score
+from colloquy.llm.queries import op5_lm_score
 
 from .conftest import make, prose
 
@@ -80,3 +81,12 @@ def test_nothing_to_learn_from(spark):
 
     got = lm_score.score(make(spark, ["a b", "c"]), held=F.lit(True)).collect()
     assert [(r.n_known, r.train_tokens, r.score) for r in got] == [(0, 0, 0.0)] * 2
+
+
+def test_the_query_keeps_bigrams_seen_once(spark, small):
+    docs = sorted(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in op5_lm_score(spark, small).collect()}
+    want, _ = brute([r.text for r in docs], [zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in docs], cutoff=1)
+    for r, w in zip(docs, want):
+        g = got[r.doc_id]
+        same((g.n_tokens, g.n_known, g.train_tokens, g.base_score, g.score), w)
