@@ -88,8 +88,10 @@ def apportion(goals: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BL
     spark = goals.sparkSession
     everything = Window.partitionBy()
     shares = goals.where("target > 0").select("key", "target", F.round(F.sum("target").over(everything) / block).cast("long").alias("seats"), (F.col("target") / F.sum("target").over(everything)).alias("share"))
-    # candidates: the quota rule is broken by less than a seat or two for divisor methods of this kind
-    asked = shares.withColumn("most", F.ceil(F.col("share") * F.col("seats")).cast("long") + 2).where("seats > 0")
+    # candidates: a source has all but at most half a seat of time * share seats up to a time, so that all of
+    # them together have enough by seats + half their number; one more is for rounding
+    latest = F.col("seats") + F.count(F.lit(1)).over(everything) / 2
+    asked = shares.withColumn("most", F.floor(latest * F.col("share") + 0.5).cast("long") + 1).where("seats > 0")
     runs = asked.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / 4096)))).repartition(partitions(spark), "key", "run")
     seat = runs.withColumn("k", F.explode(F.sequence(F.col("run") * 4096 + 1, F.least(F.col("run") * 4096 + 4096, F.col("most")))))
     # (2k - 1) / (2 share) rises as the quotient falls, and is about the seat's rank

@@ -91,3 +91,14 @@ def test_odd_rows(spark, odd, none):
 @pytest.mark.parametrize("text, at, n, want", [("  a b\n c ", 0, 2, "  a b"), ("  a b\n c ", 1, 2, " b\n c"), ("x", 0, 1, "x")])
 def test_words_between(spark, text, at, n, want):
     assert spark.range(1).select(m.words_between(F.lit(text), F.lit(at), F.lit(n))).first()[0] == want
+
+
+def test_a_source_beside_many_small_ones_has_all_its_seats(spark):
+    goals = {"0": 2000.0, **{f"0s{i:03}": 2.0 for i in range(600)}}
+    got = {r.key: r.n for r in m.apportion(spark.createDataFrame(list(goals.items()), "key string, target double"), block=10, shard_blocks=64).groupBy("key").agg(F.sum("quota").alias("n")).collect()}
+    seats = round(sum(goals.values()) / 10)
+    order = sorted(((2 * k - 1) / (2 * g / sum(goals.values())), s) for s, g in goals.items() for k in range(1, seats + 1))[:seats]
+    want = {}
+    for _, s in order:
+        want[s] = want.get(s, 0) + 1
+    assert got == want and got["0"] > math.ceil(2000 / 3200 * seats) + 2
