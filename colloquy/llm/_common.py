@@ -14,8 +14,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch: what a task holds at once on either side of a Python function.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -85,19 +83,6 @@ def chunks(batches, text: str = "text", limit: int = CHUNK_BYTES):
             first = last
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            table = np.full(size, base, U64)
-            table[0] = 1
-            _powers[name] = np.cumprod(table, dtype=U64)
-    return _powers["up"], _powers["down"]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser (splitmix64)."""
     x = x ^ (x >> U64(30))
@@ -113,32 +98,87 @@ def space_table() -> np.ndarray:
     return table
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word in order, count of words per row)."""
-    n_rows = len(offsets) - 1
-    if not len(data):
-        return np.zeros(0, U64), np.zeros(n_rows, np.int64)
+def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte after the last) of each word."""
     solid = ~space_table()[data]
     before = np.empty_like(solid)
     before[0] = False
     before[1:] = solid[:-1]
     before[offsets[:-1][offsets[:-1] < len(data)]] = False
-    starts = np.flatnonzero(solid & ~before)
     after = np.empty_like(solid)
     after[-1] = False
     after[:-1] = solid[1:]
     tails = offsets[1:] - 1
     after[tails[tails >= 0]] = False
-    ends = np.flatnonzero(solid & ~after) + 1
-    table = np.arange(1, 257, dtype=U64)
+    return np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+
+
+def _bared(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word spans without bytes of ``edge`` at either end; words of nothing else stay as they are."""
+    at, stop = starts.copy(), ends.copy()
+    for where, step, other in ((at, 1, stop), (stop, -1, at)):
+        live = np.arange(len(starts))
+        for _ in range(8):
+            live = live[(where[live] - other[live]) * step < 0]
+            live = live[edge[data[where[live] - (step < 0)]]]
+            if not len(live):
+                break
+            where[live] += step
+        # long runs: the nearest other byte of the whole chunk
+        if len(live):
+            plain = np.flatnonzero(~edge[data])
+            if step > 0:
+                near = np.searchsorted(plain, where[live])
+                where[live] = np.minimum(np.append(plain, len(data))[near], other[live])
+            else:
+                near = np.searchsorted(plain, where[live]) - 1
+                where[live] = np.maximum(np.where(near >= 0, np.append(plain, 0)[near] + 1, 0), other[live])
+    whole = at >= stop
+    return np.where(whole, starts, at), np.where(whole, ends, stop)
+
+
+#: Words of more bytes are hashed as a whole.
+_LONG_WORD = 256
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, eight at a time."""
+    import xxhash
+
+    size = ends - starts
+    out = mix64(size.astype(U64) + U64(0x9E3779B97F4A7C15))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    live, done = np.flatnonzero(size <= _LONG_WORD), 0
+    while len(live):
+        left = np.minimum(size[live] - done, 8)
+        eight = eights[starts[live] + done] << ((8 - left) * 8).astype(U64)
+        out[live] = mix64(out[live] * U64(0xD6E8FEB86659FD93) + eight)
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, edge: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word in order, count of words per row); bytes of ``edge`` at either end of
+    a word are left out unless nothing else is in it."""
+    n_rows = len(offsets) - 1
+    if not len(data):
+        return np.zeros(0, U64), np.zeros(n_rows, np.int64)
+    starts, ends = _spans(data, offsets)
+    counts = np.diff(np.searchsorted(starts, offsets)).astype(np.int64)
+    if edge:
+        table = np.zeros(256, bool)
+        table[list(edge)] = True
+        starts, ends = _bared(data, starts, ends, table)
     if lower:
+        table = np.arange(256, dtype=np.uint8)
         table[65:91] = table[97:123]
-    up, down = _power_tables(len(data) + 1)
-    total = np.empty(len(data) + 1, U64)
-    total[0] = 0
-    np.cumsum(table[data] * up[: len(data)], dtype=U64, out=total[1:])
-    hashes = mix64((total[ends] - total[starts]) * down[starts])
-    return hashes, np.diff(np.searchsorted(starts, offsets)).astype(np.int64)
+        data = table[data]
+    return _hashed(data, starts, ends), counts
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -10,59 +10,50 @@ probability about (1 - 0.17) ** 40 = 0.0006, and of short texts with less than 0
 over words, 1 - distance / longer length, is at least ``threshold``; the distance is found by
 diagonal-wise alignment in a band of ``threshold`` width, after a bag-of-words bound.
 
-Buckets are worked off in two rounds and one full pass. The rounds compare every member with its
-bucket's least member, at first for two slots and then for all, and only where the two are not yet in
-one component. The full pass then tests every pair of a bucket that still lies in two components:
-buckets are cut into blocks of at most ``block`` texts, each two blocks meet in a cell of their own, and
-a cell passes on the pairs whose lengths and signatures (parities of hashed words, at most as many of
-which differ as words do) leave the threshold within reach. Both bounds are exact, so no pair that
-shares a bucket is lost; in a bucket of n texts, n * n / ``block`` rows are dealt.
+Candidates are worked off in three rounds, each between components that the rounds before have found.
+First every text meets one text: of the least members of its buckets the one that it shares most
+buckets with. What is left of a bucket is then tested in cells: all members of a bucket of at most
+``block`` texts; the members of larger ones, which share a common passage, are dealt anew by prefix
+filtering: texts of ``threshold`` share a labelled word among their rarest ones, so each of these words
+is a cell (split into blocks where it is large itself) and unlike texts with a common passage no
+longer meet. The second round takes, of each two components in a cell, the ``FEW`` pairs likest by
+signature, which links what belongs together without a row for every pair of two groups; the third
+takes all pairs left. A cell passes on only pairs whose lengths and signatures (parities of hashed words,
+at most as many of which differ as words do) leave the threshold within reach. All three bounds are
+exact, so no pair that shares a bucket is lost. Signatures of n texts in one cell are compared in
+n * n / 2 vectorised steps, in tasks of two blocks each; cells are that large only where more texts than
+``block`` share a word that is among the rarest fifth of each of them, and still are in two components.
 
 Words are runs without ASCII white space, lower-cased and stripped of ASCII punctuation at both ends
 (kept where nothing else is left).
 
 Edge cases: a null text is empty; texts without words are near copies only of equal texts; a text of
-fewer than ``k`` words has one run of all its words; rows of one id are one document; a row without
-an id has a null class; an empty table gives an empty result; other columns are ignored.
+fewer than ``k`` words has one run of all its words; rows that repeat are copies; different texts under
+one id are different texts; a class is named by its least id, so a class of rows without ids has a
+null one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm._common import U64, chunks, materialize, mix64, partitions, shingles, squeeze, unsqueeze, words
 from colloquy.llm.components import connected_components
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-THRESHOLD, K, ELL, SLOTS, BLOCK = 0.8, 2, 2, 40, 512
+THRESHOLD, K, ELL, SLOTS, BLOCK = 0.8, 2, 2, 40, 256
 #: Texts of at most so many words have ``slots`` more sketches, of one run each.
 SHORT = 40
 #: Least and most bits of a signature; between them, two to four for each word.
 LEAST_BITS, MOST_BITS = 256, 2048
-
-
-def strip_punctuation(data: np.ndarray) -> np.ndarray:
-    """``data`` with the punctuation at either end of each word turned into spaces; words of
-    nothing but punctuation stay."""
-    mark = np.zeros(256, bool)
-    mark[list(PUNCTUATION.encode())] = True
-    space = np.zeros(256, bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    is_mark, is_space = mark[data], space[data]
-    n = len(data)
-    at = np.arange(n)
-    solid = ~(is_mark | is_space)
-    # the last and next solid byte and white space at each place
-    last_solid = np.maximum.accumulate(np.where(solid, at, -1))
-    last_space = np.maximum.accumulate(np.where(is_space, at, -1))
-    next_solid = np.minimum.accumulate(np.where(solid, at, n)[::-1])[::-1]
-    next_space = np.minimum.accumulate(np.where(is_space, at, n)[::-1])[::-1]
-    left, right = last_solid > last_space, next_solid < next_space
-    out = data.copy()
-    out[is_mark & (left ^ right)] = 32
-    return out
+#: Pairs of two components that the second round takes from a cell.
+FEW = 4
+#: Runs of a text that are expected under the limit below which a slot looks for its least ones.
+_SURVIVORS = 18
+#: Hashed cells of the table of word frequencies that orders words by rarity: its size, whatever the corpus.
+_RARITY_BITS = 16
 
 
 def sketch(hashes: np.ndarray, counts: np.ndarray, k: int, ell: int, slots: int) -> np.ndarray:
@@ -72,31 +63,39 @@ def sketch(hashes: np.ndarray, counts: np.ndarray, k: int, ell: int, slots: int)
     full = np.flatnonzero(per_row)
     if not len(full):
         return out
-    row = np.repeat(np.arange(len(counts)), per_row)
-    order = np.lexsort((runs, row))
-    same = np.concatenate(([False], (runs[order][1:] == runs[order][:-1]) & (row[order][1:] == row[order][:-1])))
+    size = per_row[full]
+    group = np.repeat(np.arange(len(full)), size)
+    # equal runs of a row are numbered in text order
+    of_row = mix64(runs + mix64(group.astype(U64)))
+    order = np.argsort(of_row, kind="stable")
+    same = np.concatenate(([False], of_row[order][1:] == of_row[order][:-1]))
     at = np.arange(len(runs))
     nth = np.empty(len(runs), np.int64)
     nth[order] = at - np.maximum.accumulate(np.where(same, 0, at))
     labelled = mix64(runs + nth.astype(U64) * U64(0x9E3779B97F4A7C15))
-    first = (np.cumsum(per_row) - per_row)[full]
-    group = np.repeat(np.arange(len(full)), per_row[full])
     top = np.iinfo(U64).max
+    # the least values of a row lie under its limit, or else the whole row is looked at
+    limit = np.where(size > _SURVIVORS, np.minimum(_SURVIVORS / size, 0.99) * 2.0**64, 0).astype(U64)
+    limit = np.repeat(np.where(size > _SURVIVORS, limit, top), size)
+    value = np.empty_like(labelled)
     for s in range(slots):
-        with np.errstate(over="ignore"):
-            seed = mix64(np.array([s + 1], U64) * U64(0xA24BAED4963EE407))[0]
-            value = (labelled ^ seed) * U64(0x9FB21C651E98DF25)
-        value ^= value >> U64(29)
-        value *= U64(0xD6E8FEB86659FD93)
+        seed = mix64(np.array([s + 1], U64) * U64(0xA24BAED4963EE407))[0]
+        np.multiply(labelled, seed | U64(1), out=value)
+        hit = np.flatnonzero(value <= limit)
+        few = np.bincount(group[hit], minlength=len(full)) < np.minimum(ell, size)
+        if few.any():
+            hit = np.flatnonzero((value <= limit) | few[group])
+        row, v = group[hit], value[hit]
+        starts = np.searchsorted(row, np.arange(len(full)))
         taken = []
         for _ in range(ell):
-            least = np.minimum.reduceat(value, first)
-            hit = np.flatnonzero(value == least[group])
+            least = np.minimum.reduceat(v, starts)
+            found = np.flatnonzero(v == least[row])
             where = np.full(len(full), -1)
-            where[group[hit][::-1]] = hit[::-1]
+            where[row[found][::-1]] = hit[found][::-1]
             where[least == top] = -1
             taken.append(where)
-            value[hit] = top
+            v[found] = top
         picked = np.sort(np.stack(taken), axis=0)
         key = np.full(len(full), seed)
         for p in picked:
@@ -115,95 +114,102 @@ def signature(words: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+_TEXTS = "uid long, doc_id long, h1 long, h2 long, n_words long, words binary, signature binary, keys array<long>"
+
+
 def _sketches(k: int, ell: int, slots: int, short_words: int):
     def run(batches):
         import pyarrow as pa
 
         for rows, data, offsets in chunks(batches):
-            hashes, counts = words(strip_punctuation(data), offsets)
+            hashes, counts = words(data, offsets, edge=PUNCTUATION.encode())
             found = sketch(hashes, counts, k, ell, slots).view(np.int64)
-            keep = np.flatnonzero(counts)
             ends = np.cumsum(counts)
-            short = hashes.astype(np.uint32)
-            packed = [squeeze(short[ends[i] - counts[i] : ends[i]].tobytes()) for i in keep]
-            signatures = [signature(short[ends[i] - counts[i] : ends[i]]) for i in keep]
-            few = counts[keep] <= short_words
-            wanted = np.repeat(counts <= short_words, counts)
+            low = hashes.astype(np.uint32)
+            each = [low[e - n : e] for e, n in zip(ends.tolist(), counts.tolist())]
+            packed, signatures = [squeeze(x.tobytes()) for x in each], [signature(x) for x in each]
+            few = (counts > 0) & (counts <= short_words)
             single = np.zeros_like(found)
-            single[counts <= short_words] = sketch(hashes[wanted], counts[counts <= short_words], k, 1, slots).view(np.int64)
-            both = np.concatenate((found[keep], single[keep]), 1)
-            width = np.where(few, 2 * slots, slots)
+            single[few] = sketch(hashes[np.repeat(few, counts)], counts[few], k, 1, slots).view(np.int64)
+            both = np.concatenate((found, single), 1)
+            width = np.where(few, 2 * slots, np.where(counts > 0, slots, 0))
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(width))), pa.int32()), pa.array(both[np.arange(2 * slots) < width[:, None]]))
-            ids = rows.column("doc_id").take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts[keep], pa.int64()), pa.array(packed, pa.binary()), pa.array(signatures, pa.binary()), keys], ["doc_id", "n_words", "words", "signature", "keys"])
+            plain = [rows.column(c) for c in ("uid", "doc_id", "h1", "h2")]
+            yield pa.RecordBatch.from_arrays([*plain, pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), pa.array(signatures, pa.binary()), keys], ["uid", "doc_id", "h1", "h2", "n_words", "words", "signature", "keys"])
 
     return run
 
 
+#: Fixed: primes under 2 ** 31 and a base for each, for hashes of stretches of words.
+_PRIMES = ((2147483647, 1190494759), (2147483629, 1583458089))
+
+
+def _prefixes(a: np.ndarray, b: np.ndarray) -> list[tuple]:
+    """For each prime: it, powers of its base, and hashes of the prefixes of both sequences."""
+    out, size = [], max(len(a), len(b)) + 1
+    for prime, base in _PRIMES:
+        up = np.ones(1, U64)
+        while len(up) < size:
+            step = U64(pow(base, len(up), prime))
+            up = np.concatenate((up, up * step % U64(prime)))
+        sums = []
+        for x in (a, b):
+            terms = mix64(x.astype(U64) + U64(base)) % U64(prime) * up[: len(x)] % U64(prime)
+            sums.append(np.concatenate((np.zeros(1, U64), np.cumsum(terms, dtype=U64) % U64(prime))))
+        out.append((prime, up, *sums))
+    return out
+
+
 def within(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """The edit distance of two word sequences if it is at most ``most``, else ``most + 1``.
 
     Diagonals of a band of ``most`` are extended to their furthest equal run for each distance in
-    turn; runs are found by comparing prefix hashes.
+    turn; runs are found by comparing hashes modulo two primes.
     """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return most + 1
     if n == 0 or m == 0:
         return max(n, m)
-    size = max(n, m)
-    base = np.full(size, 0x9E3779B97F4A7C15, U64)
-    base[0] = 1
-    up = np.cumprod(base, dtype=U64)
-    pa_, pb = np.zeros(n + 1, U64), np.zeros(m + 1, U64)
-    np.cumsum(mix64(a.astype(U64) + U64(1)) * up[:n], dtype=U64, out=pa_[1:])
-    np.cumsum(mix64(b.astype(U64) + U64(1)) * up[:m], dtype=U64, out=pb[1:])
+    rows = _prefixes(a, b)
+
+    def equal(x, y, w):
+        """Whether the ``w`` words from x of a on are those from y of b on."""
+        same = np.ones(len(x), bool)
+        for prime, up, first, second in rows:
+            left = (first[x + w] + U64(prime) - first[x]) * up[y] % U64(prime)
+            right = (second[y + w] + U64(prime) - second[y]) * up[x] % U64(prime)
+            same &= left == right
+        return same
 
     def slide(i, diag):
         """Furthest i with a[i0:i] equal to b[i0-diag:i-diag]."""
         j = i - diag
         room = np.minimum(n - i, m - j)
-        lo = np.zeros(len(i), np.int64)
-        step = 1
         live = room > 0
         live[live] = a[i[live]] == b[j[live]]
         if not live.any():
             return i
-        hi = np.where(live, room, 0)
         # widen, then bisect
-        span = np.where(live, 1, 0)
+        hi, span = np.where(live, room, 0), np.where(live, 1, 0)
         while True:
-            step *= 2
             probe = np.minimum(span * 2, hi)
-            more = probe > span
-            if not more.any():
+            more = np.flatnonzero(probe > span)
+            if not len(more):
                 break
-            ok = np.zeros(len(i), bool)
-            x, y = i[more], j[more]
-            w = probe[more]
-            left, right = pa_[x + w] - pa_[x], pb[y + w] - pb[y]
-            gap = x - y
-            left, right = np.where(gap < 0, left * up[np.minimum(np.maximum(-gap, 0), size - 1)], left), np.where(gap > 0, right * up[np.minimum(np.maximum(gap, 0), size - 1)], right)
-            ok[more] = left == right
-            span = np.where(ok, probe, span)
-            hi = np.where(more & ~ok, probe - 1, hi)
+            ok = equal(i[more], j[more], probe[more])
+            span[more[ok]] = probe[more[ok]]
+            hi[more[~ok]] = probe[more[~ok]] - 1
             if not ok.any():
                 break
-        lo = span
         while True:
-            open_ = lo < hi
-            if not open_.any():
-                break
-            mid = (lo + hi + 1) // 2
-            ok = np.zeros(len(i), bool)
-            x, y, w = i[open_], j[open_], mid[open_]
-            left, right = pa_[x + w] - pa_[x], pb[y + w] - pb[y]
-            gap = x - y
-            left, right = np.where(gap < 0, left * up[np.minimum(np.maximum(-gap, 0), size - 1)], left), np.where(gap > 0, right * up[np.minimum(np.maximum(gap, 0), size - 1)], right)
-            ok[open_] = left == right
-            lo = np.where(open_ & ok, mid, lo)
-            hi = np.where(open_ & ~ok, mid - 1, hi)
-        return i + lo
+            open_ = np.flatnonzero(span < hi)
+            if not len(open_):
+                return i + span
+            mid = (span[open_] + hi[open_] + 1) // 2
+            ok = equal(i[open_], j[open_], mid)
+            span[open_[ok]] = mid[ok]
+            hi[open_[~ok]] = mid[~ok] - 1
 
     far = np.array([-1], np.int64)
     for d in range(most + 1):
@@ -261,21 +267,47 @@ def _verify(threshold: float):
 
 def links_of(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs that the alignment accepts."""
-    one = texts.select(F.col("doc_id").alias("a"), F.col("words").alias("wa"), F.col("n_words").alias("na"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("words").alias("wb"), F.col("n_words").alias("nb"))
-    ready = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") >= F.lit(threshold - 1e-9) * F.greatest("na", "nb")).select("a", "b", "wa", "wb")
+    one = texts.select(F.col("uid").alias("a"), F.col("words").alias("wa"))
+    two = texts.select(F.col("uid").alias("b"), F.col("words").alias("wb"))
+    ready = pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb")
     return ready.mapInArrow(_verify(threshold), "a long, b long, similarity double")
 
 
-def _to_pivot(members: DataFrame) -> DataFrame:
-    """Pairs of each member of a bucket of several components with the bucket's least member."""
-    pivot = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("doc", "component")).alias("p")).where("lo < hi").select("key", "p")
-    return members.join(pivot, "key").where("component != p.component").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
+def _reach(n1: np.ndarray, n2: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For texts of so many words: edits that the threshold allows, and bits that may then differ."""
+    longer = np.maximum(n1, n2)
+    most = (longer * (1 - threshold) + 1e-9).astype(np.int64)
+    return most, n1 + n2 - 2 * (longer - most)
+
+
+def _within_reach(threshold: float):
+    """Of rows (a, b, na, nb, sa, sb) the pairs whose lengths and signatures allow a link."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            most, bits = _reach(na, nb, threshold)
+            near = np.flatnonzero(np.abs(na - nb) <= most)
+            at = pa.array(near)
+            both = batch.column("sa").take(at).to_pylist() + batch.column("sb").take(at).to_pylist()
+            places = np.arange(len(near))
+            near = near[_differing(both, places, places + len(near)) <= bits[near]]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(near)) for c in "ab"], ["a", "b"])
+
+    return run
+
+
+def _likely(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that signatures leave within reach."""
+    facts = [texts.select(F.col("uid").alias(x), F.col("n_words").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab"]
+    return pairs.join(facts[0], "a").join(facts[1], "b").mapInArrow(_within_reach(threshold), "a long, b long")
 
 
 def _differing(signatures: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For pairs (i, j), how many bits differ at the shorter signature's size."""
-    size = np.array([len(x) for x in signatures])
+    size = np.array([len(x) for x in signatures], np.int64)
     out = np.zeros(len(i), np.int64)
     low = np.minimum(size[i], size[j])
     for w in np.unique(low).tolist():
@@ -288,9 +320,19 @@ def _differing(signatures: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndar
     return out
 
 
-def _cell_pairs(threshold: float):
+def _few_of_each(x, y, bits, component, cell, few):
+    """Of the pairs of each two components in a cell those with the fewest differing bits."""
+    lo, hi = np.minimum(component[x], component[y]), np.maximum(component[x], component[y])
+    order = np.lexsort((bits, hi, lo, cell[x]))
+    new = np.concatenate(([True], np.any([part[order][1:] != part[order][:-1] for part in (cell[x], lo, hi)], 0)))
+    at = np.arange(len(order))
+    return order[at - np.maximum.accumulate(np.where(new, at, 0)) < few]
+
+
+def _cell_pairs(threshold: float, few: int | None):
     """Pairs within reach of rows (key, i, j, side, n_words, doc, component, signature) in order of cells:
-    of the two sides of a cell, or of all its rows where it is a block with itself."""
+    of the two sides of a cell, or of all its rows where it is a block with itself; of each two
+    components in a cell ``few`` at least and a bounded number of times as many, or all pairs."""
 
     def of(rows):
         import pyarrow as pa
@@ -300,16 +342,19 @@ def _cell_pairs(threshold: float):
         side, n, doc, component = (rows.column(c).to_numpy() for c in ("side", "n_words", "doc", "component"))
         signatures = rows.column("signature").to_pylist()
         own = cell[:, 1] == cell[:, 2]
-        most = (n * (1 - threshold) + 1e-9).astype(np.int64)
         seen: list[tuple] = []
 
         def flush():
             if seen:
                 x, y = (np.concatenate(part) for part in zip(*seen))
                 seen.clear()
-                longer = np.where(n[x] >= n[y], x, y)
-                near = _differing(signatures, x, y) <= n[x] + n[y] - 2 * (n[longer] - most[longer])
-                x, y = doc[x[near]], doc[y[near]]
+                bits = _differing(signatures, x, y)
+                near = bits <= _reach(n[x], n[y], threshold)[1]
+                x, y, bits = x[near], y[near], bits[near]
+                if few is not None and len(x):
+                    at = _few_of_each(x, y, bits, component, group, few)
+                    x, y = x[at], y[at]
+                x, y = doc[x], doc[y]
                 for first in range(0, len(x), 100000):
                     part = slice(first, first + 100000)
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[part], y[part])), pa.array(np.maximum(x[part], y[part]))], ["a", "b"])
@@ -320,7 +365,7 @@ def _cell_pairs(threshold: float):
             if not len(x):
                 break
             y = x + off
-            good = (component[x] != component[y]) & (own[x] | (side[x] != side[y])) & (np.abs(n[x] - n[y]) <= np.maximum(most[x], most[y]))
+            good = (component[x] != component[y]) & (own[x] | (side[x] != side[y])) & (np.abs(n[x] - n[y]) <= _reach(n[x], n[y], threshold)[0])
             if good.any():
                 seen.append((x[good], y[good]))
                 held += int(good.sum())
@@ -357,55 +402,142 @@ def _cell_pairs(threshold: float):
     return run
 
 
-def _all_between(members: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
-    """All pairs within reach between the components of each bucket, block by block."""
+def _cells(members: DataFrame, block: int) -> DataFrame:
+    """(key, i, j, side, doc, component) of the cells of all keys that stand in two components: one cell
+    for each two blocks of a key's members."""
     facts = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     facts = facts.select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
     dealt = members.join(facts, "key").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks")))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "component")
-    known = texts.select(F.col("doc_id").alias("doc"), "n_words", "signature").distinct()
-    cells = cells.join(known, "doc").select("key", "i", "j", "side", "n_words", "doc", "component", "signature")
+    return cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "component")
+
+
+def _between(members: DataFrame, texts: DataFrame, threshold: float, block: int, few: int | None) -> DataFrame:
+    """Pairs within reach between the components of each key, cell by cell."""
+    known = texts.select(F.col("uid").alias("doc"), "n_words", "signature")
+    cells = _cells(members, block).join(known, "doc").select("key", "i", "j", "side", "n_words", "doc", "component", "signature")
     cells = cells.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cells.mapInArrow(_cell_pairs(threshold), "a long, b long")
+    return cells.mapInArrow(_cell_pairs(threshold, few), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = K, ell: int = ELL, slots: int = SLOTS, block: int = BLOCK, short: int = SHORT) -> DataFrame:
-    """doc_id, class_id (the least id of its class) and copy_of (the least id of an equal text), one row per row of ``docs``."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    copies = materialize(rows.select("doc_id", F.xxhash64("text").alias("h1"), F.md5("text").alias("h2")), "copies")
-    firsts = materialize(copies.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("copy_of")), "firsts")
-    texts = materialize(rows.where("doc_id is not null").mapInArrow(_sketches(k, ell, slots, short), "doc_id long, n_words long, words binary, signature binary, keys array<long>"), "sketches")
-    kept = texts.select("doc_id", "keys").join(firsts.select(F.col("copy_of").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    slot = kept.select(F.col("doc_id").alias("doc"), F.posexplode("keys").alias("slot", "key"))
-    slot = materialize(slot, "slots")  # a slot's number is hashed into its key
-    shared = slot.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    slot = materialize(slot.join(shared, "key"), "buckets")
-    everything = slot.select("key", "doc").distinct()
-    labels = refused = None
-    for step in range(3):
-        members = slot.where("slot < 2").select("key", "doc") if step == 0 else everything
-        if labels is None:
-            members = members.withColumn("component", F.col("doc"))
-        else:
-            members = members.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-        pairs = (_to_pivot(members) if step < 2 else _all_between(members, texts, threshold, block)).distinct()
-        if refused is not None:
-            pairs = pairs.join(refused, ["a", "b"], "left_anti")
+def _labelled_words(packed) -> np.ndarray:
+    """A 64-bit number for each word of a text and its occurrence."""
+    found = np.sort(np.frombuffer(unsqueeze(packed), np.uint32))
+    at = np.arange(len(found))
+    nth = at - np.maximum.accumulate(np.where(np.concatenate(([False], found[1:] == found[:-1])), 0, at))
+    return mix64(found.astype(U64) + nth.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """How many words of ``texts`` fall in each of a fixed number of hashed cells."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        total = np.zeros(1 << _RARITY_BITS, np.int64)
+        for batch in batches:
+            for packed in batch.column("words").to_pylist():
+                total += np.bincount((_labelled_words(packed) >> U64(64 - _RARITY_BITS)).astype(np.int64), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    # comes back as one row of the table's size
+    summed = texts.select("words").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros(1 << _RARITY_BITS, np.int64)
+    found = summed.toPandas()
+    out[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def _rare_words(texts: DataFrame, threshold: float) -> DataFrame:
+    """(key, doc) of the rarest labelled words of each text, so many that two texts within the threshold
+    have one in common, whatever the order of rarity is."""
+    rarity = _rarity(texts)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, docs = [], []
+            for uid, packed in zip(batch.column("uid").to_pylist(), batch.column("words").to_pylist()):
+                found = _labelled_words(packed)
+                order = np.lexsort((found, rarity[(found >> U64(64 - _RARITY_BITS)).astype(np.int64)]))
+                prefix = found[order[: len(found) - int(np.ceil(len(found) * threshold - 1e-9)) + 1]]
+                keys.append(prefix)
+                docs.append(np.full(len(prefix), uid))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs))], ["key", "doc"])
+
+    return texts.select("uid", "words").mapInArrow(run, "key long, doc long")
+
+
+def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = K, ell: int = ELL, slots: int = SLOTS, block: int = BLOCK, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h1, h2) of every row, and a row for each different text: h1, h2 (its hashes), copy_of
+    (its least id), class_id (the least id of its class), first (whether it stands for its class)."""
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("uid", "doc_id", *text_key(F.col("text")), "text")
+    texts = materialize(rows.mapInArrow(_sketches(k, ell, slots, short), _TEXTS), "sketches")  # numbers of rows are fixed here
+    firsts = materialize(texts.groupBy("h1", "h2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("copy_of")), "firsts")
+    texts_of = texts.join(firsts.select(F.col("node").alias("uid")), "uid", "left_semi").where("n_words > 0")
+    texts_of = materialize(texts_of, "texts")
+    slot = texts_of.select(F.col("uid").alias("doc"), F.explode("keys").alias("key"))  # a slot's number is hashed into its key
+    shared = slot.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("n")).where("pivot < top").select("key", "pivot", "n")
+    buckets = materialize(slot.join(shared, "key"), "buckets")
+    # each text with the pivot that it shares most buckets with
+    votes = buckets.where("doc != pivot").groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("doc").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("best")).select((-F.col("best.p")).alias("a"), F.col("doc").alias("b"))
+    tested = materialize(_likely(best, texts_of, threshold), "pairs")
+    links = materialize(links_of(tested, texts_of, threshold), "links")
+    labels = _relabel(None, links)
+    # members of larger buckets in two components are dealt by their rarest words
+    members = buckets.select("key", "doc", "n")
+    open_ = members.where(F.col("n") > block).join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    unsettled = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    dealt = open_.join(unsettled, "key", "left_semi").select("doc").distinct()
+    dealt = materialize(texts_of.join(dealt, F.col("uid") == F.col("doc"), "left_semi").select("uid", "words"), "dealt")
+    rare = _rare_words(dealt, threshold)
+    members = materialize(members.where(F.col("n") <= block).select("key", "doc").union(rare), "members")
+    for few in (FEW, None):
+        pairs = _between(_named(members, labels), texts_of, threshold, block, few).join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        links = materialize(links_of(pairs, texts, threshold), "links")
-        if step < 2:
-            failed = pairs.join(links, ["a", "b"], "left_anti").select("a", "b")
-            # written, so that plans stay of one size and shape from round to round
-            refused = materialize(failed if refused is None else refused.union(failed), "refused")
-        if links.limit(1).count():
-            labels = _relabel(labels, links)
-    if labels is None:
-        labels = slot.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
-    named = firsts.join(labels, F.col("copy_of") == F.col("node"), "left").select("h1", "h2", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
-    out = copies.join(named, ["h1", "h2"], "left")
-    known = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.when(known, F.col("class_id")).alias("class_id"), F.when(known, F.col("copy_of")).alias("copy_of"))
+        links = materialize(links_of(pairs, texts_of, threshold), "links")
+        labels = _relabel(labels, links)
+        tested = tested.union(pairs)
+    # names of classes: only texts with links have others than their own
+    ranked = labels.join(firsts, "node").select("node", "component", "copy_of", F.struct(F.col("copy_of").isNull().alias("none"), "copy_of", "h1", "h2").alias("rank"))
+    named = ranked.groupBy("component").agg(F.min("copy_of").alias("class_id"), F.min("rank").alias("least")).join(ranked, "component")
+    named = named.select("node", "class_id", (F.col("rank") == F.col("least")).alias("first"))
+    found = firsts.join(named, "node", "left").select("h1", "h2", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    return texts.select("doc_id", "h1", "h2"), found
+
+
+def text_key(text: Column) -> list[Column]:
+    """Two hashes of a text (null: empty) that tell texts apart."""
+    full = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(full).alias("h1"), F.xxhash64(F.lit(7), full).alias("h2")]
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (the least id of its class) and copy_of (the least id of an equal text), one row per row of ``docs``."""
+    rows, found = classes(docs, **options)
+    return rows.join(found, ["h1", "h2"]).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each class: of the row with the least id (one without an id only where no
+    other is), the text with the least hash; of rows equal in both, the one with the least other columns' hash."""
+    _, found = classes(docs, doc_id, text, **options)
+    found = found.where("first").select("h1", "h2", F.col("copy_of").alias("least"))
+    key = [*text_key(F.col(text)), F.col(doc_id).cast("long").alias("id")]
+    marked = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns if c != text]
+    whole = docs.select(*key, F.struct(*docs.columns).alias("row"), F.xxhash64(*marked, F.lit(0)).alias("rest"))
+    same = (whole["h1"] == found["h1"]) & (whole["h2"] == found["h2"]) & whole["id"].eqNullSafe(found["least"])
+    kept = whole.join(found, same, "left_semi").groupBy("h1", "h2", "id").agg(F.min_by("row", "rest").alias("row"))
+    return kept.select("row.*")
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
