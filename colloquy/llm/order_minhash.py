@@ -47,13 +47,15 @@ THRESHOLD, K, ELL, SLOTS, BLOCK = 0.8, 2, 2, 40, 256
 #: Texts of at most so many words have ``slots`` more sketches, of one run each.
 SHORT = 40
 #: Least and most bits of a signature; between them, two to four for each word.
-LEAST_BITS, MOST_BITS = 256, 2048
+LEAST_BITS, MOST_BITS = 256, 1 << 15
 #: Pairs of two components that the second round takes from a cell.
 FEW = 4
 #: Runs of a text that are expected under the limit below which a slot looks for its least ones.
 _SURVIVORS = 18
 #: Hashed cells of the table of word frequencies that orders words by rarity: its size, whatever the corpus.
 _RARITY_BITS = 16
+#: Bits of the bitmap of texts whose words are wanted.
+_WANTED_BITS = 24
 
 
 def sketch(hashes: np.ndarray, counts: np.ndarray, k: int, ell: int, slots: int) -> np.ndarray:
@@ -104,13 +106,21 @@ def sketch(hashes: np.ndarray, counts: np.ndarray, k: int, ell: int, slots: int)
     return out
 
 
+def labelled(found: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each word and its occurrence."""
+    found = np.sort(found)
+    at = np.arange(len(found))
+    nth = at - np.maximum.accumulate(np.where(np.concatenate(([False], found[1:] == found[:-1])), 0, at)) if len(found) else at
+    return mix64(found.astype(U64) + nth.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
 def signature(words: np.ndarray) -> bytes:
-    """Parities of the counts of words by hash. Texts of twice the length have twice the bits, and the
-    upper half xor the lower is the signature of half the bits."""
+    """Parities of the counts of labelled words by hash. Texts of twice the length have twice the bits,
+    and the upper half xor the lower is the signature of half the bits."""
     bits = LEAST_BITS
     while bits < min(2 * len(words), MOST_BITS):
         bits *= 2
-    at = (mix64(words.astype(U64)) & U64(bits - 1)).astype(np.int64)
+    at = (labelled(words) & U64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -140,94 +150,53 @@ def _sketches(k: int, ell: int, slots: int, short_words: int):
     return run
 
 
-#: Fixed: primes under 2 ** 31 and a base for each, for hashes of stretches of words.
-_PRIMES = ((2147483647, 1190494759), (2147483629, 1583458089))
-
-
-def _prefixes(a: np.ndarray, b: np.ndarray) -> list[tuple]:
-    """For each prime: it, powers of its base, and hashes of the prefixes of both sequences."""
-    out, size = [], max(len(a), len(b)) + 1
-    for prime, base in _PRIMES:
-        up = np.ones(1, U64)
-        while len(up) < size:
-            step = U64(pow(base, len(up), prime))
-            up = np.concatenate((up, up * step % U64(prime)))
-        sums = []
-        for x in (a, b):
-            terms = mix64(x.astype(U64) + U64(base)) % U64(prime) * up[: len(x)] % U64(prime)
-            sums.append(np.concatenate((np.zeros(1, U64), np.cumsum(terms, dtype=U64) % U64(prime))))
-        out.append((prime, up, *sums))
-    return out
-
-
 def within(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """The edit distance of two word sequences if it is at most ``most``, else ``most + 1``.
 
-    Diagonals of a band of ``most`` are extended to their furthest equal run for each distance in
-    turn; runs are found by comparing hashes modulo two primes.
+    The alignment is computed column by column in a band of ``most`` on either side of the diagonal,
+    the differences of a column as bits of one number (Myers 1999, in the band as by Hyyrö 2003).
     """
+    shared = min(len(a), len(b))
+    ahead = int(np.argmin(np.append(a[:shared] == b[:shared], False)))
+    a, b = a[ahead:], b[ahead:]
+    shared -= ahead
+    behind = int(np.argmin(np.append(a[len(a) - shared :][::-1] == b[len(b) - shared :][::-1], False)))
+    a, b = a[: len(a) - behind], b[: len(b) - behind]
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return most + 1
-    if n == 0 or m == 0:
-        return max(n, m)
-    rows = _prefixes(a, b)
-
-    def equal(x, y, w):
-        """Whether the ``w`` words from x of a on are those from y of b on."""
-        same = np.ones(len(x), bool)
-        for prime, up, first, second in rows:
-            left = (first[x + w] + U64(prime) - first[x]) * up[y] % U64(prime)
-            right = (second[y + w] + U64(prime) - second[y]) * up[x] % U64(prime)
-            same &= left == right
-        return same
-
-    def slide(i, diag):
-        """Furthest i with a[i0:i] equal to b[i0-diag:i-diag]."""
-        j = i - diag
-        room = np.minimum(n - i, m - j)
-        live = room > 0
-        live[live] = a[i[live]] == b[j[live]]
-        if not live.any():
-            return i
-        # widen, then bisect
-        hi, span = np.where(live, room, 0), np.where(live, 1, 0)
-        while True:
-            probe = np.minimum(span * 2, hi)
-            more = np.flatnonzero(probe > span)
-            if not len(more):
-                break
-            ok = equal(i[more], j[more], probe[more])
-            span[more[ok]] = probe[more[ok]]
-            hi[more[~ok]] = probe[more[~ok]] - 1
-            if not ok.any():
-                break
-        while True:
-            open_ = np.flatnonzero(span < hi)
-            if not len(open_):
-                return i + span
-            mid = (span[open_] + hi[open_] + 1) // 2
-            ok = equal(i[open_], j[open_], mid)
-            span[open_[ok]] = mid[ok]
-            hi[open_[~ok]] = mid[~ok] - 1
-
-    far = np.array([-1], np.int64)
-    for d in range(most + 1):
-        diag = np.arange(-d, d + 1)
-        if d == 0:
-            start = np.array([0], np.int64)
+    if not n or not m or not most:
+        return min(max(n, m), most + 1)
+    k = min(most, max(n, m))
+    places: dict[int, list[int]] = {}
+    for i, word in enumerate(a.tolist()):
+        places.setdefault(word, []).append(i)
+    match = {}
+    for word, at in places.items():
+        bits = 0
+        for i in at:
+            bits |= 1 << i
+        match[word] = bits
+    # bit t of a column j stands for row j - k + t
+    full = (1 << (2 * k + 1)) - 1
+    up, down, distance = full & ~((1 << k) - 1), 0, min(k, n)
+    enough = 2 * k + m - n
+    for j, word in enumerate(b.tolist(), 1):
+        same = match.get(word, 0)
+        if same:
+            same = (same >> (j - k - 1) if j > k else same << (k + 1 - j)) & full
+        level = (((same & up) + up) ^ up) | same | down
+        right, left = (down | ~(level | up)) & full, level & up
+        if j <= n - k:
+            distance += not level >> (2 * k) & 1
+            if distance > enough:
+                return most + 1
         else:
-            pad = np.concatenate(([-9, -9], far, [-9, -9]))
-            start = np.maximum(np.maximum(pad[:-2] + 1, pad[1:-1] + 1), pad[2:])
-        start = np.minimum(start, np.minimum(n, m + diag))
-        good = (start >= 0) & (start - diag >= 0)
-        next_ = np.full(2 * d + 1, -9, np.int64)
-        next_[good] = slide(start[good], diag[good])
-        far = next_
-        goal = n - m + d
-        if 0 <= goal <= 2 * d and far[goal] >= n:
-            return d
-    return most + 1
+            t = n - j + k
+            distance += (right >> t & 1) - (left >> t & 1)
+        level = (level & full) >> 1
+        up, down = left | (full & ~(level | right)), level & right
+    return min(distance, most + 1)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
@@ -265,10 +234,43 @@ def _verify(threshold: float):
     return run
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Hashed cells of a bitmap of a fixed size, set where an id (of the columns of ``ids``) falls."""
+
+    def mark(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            cell = np.unique(np.concatenate([_cell_of(c.to_numpy()) for c in batch.columns]))
+            at, first = np.unique(cell >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(U64(1) << (cell & 63).astype(U64), first) if len(cell) else cell
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits.view(np.int64))], ["at", "bits"])
+
+    # 2 ** (_WANTED_BITS - 6) numbers come back, whatever the corpus
+    found = ids.mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (_WANTED_BITS - 6), np.int64)
+    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(U64)
+
+
+def _cell_of(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(U64)) >> U64(64 - _WANTED_BITS)).astype(np.int64)
+
+
 def links_of(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that the alignment accepts."""
-    one = texts.select(F.col("uid").alias("a"), F.col("words").alias("wa"))
-    two = texts.select(F.col("uid").alias("b"), F.col("words").alias("wb"))
+    """(a, b, similarity) of the pairs that the alignment accepts. The words of texts that stand in no
+    pair are left out before the shuffle, but for those that fall in a cell of the bitmap by chance."""
+    wanted = _bitmap(pairs.select("a", "b"))
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            cell = _cell_of(batch.column("uid").to_numpy())
+            yield batch.filter(pa.array(wanted[cell >> 6] >> (cell & 63).astype(U64) & U64(1) == 1))
+
+    some = texts.select("uid", "words").mapInArrow(keep, "uid long, words binary")
+    one, two = some.toDF("a", "wa"), some.toDF("b", "wb")
     ready = pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb")
     return ready.mapInArrow(_verify(threshold), "a long, b long, similarity double")
 
@@ -332,7 +334,8 @@ def _few_of_each(x, y, bits, component, cell, few):
 def _cell_pairs(threshold: float, few: int | None):
     """Pairs within reach of rows (key, i, j, side, n_words, doc, component, signature) in order of cells:
     of the two sides of a cell, or of all its rows where it is a block with itself; of each two
-    components in a cell ``few`` at least and a bounded number of times as many, or all pairs."""
+    components in a cell ``few`` at least and a bounded number of times as many, or all pairs. A key
+    that pairs were held back of is given in ``key``, without a pair."""
 
     def of(rows):
         import pyarrow as pa
@@ -353,11 +356,15 @@ def _cell_pairs(threshold: float, few: int | None):
                 x, y, bits = x[near], y[near], bits[near]
                 if few is not None and len(x):
                     at = _few_of_each(x, y, bits, component, group, few)
+                    held_back = np.unique(np.delete(cell[x, 0], at))
+                    none = pa.nulls(len(held_back), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(held_back)], ["a", "b", "key"])
                     x, y = x[at], y[at]
                 x, y = doc[x], doc[y]
                 for first in range(0, len(x), 100000):
                     part = slice(first, first + 100000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[part], y[part])), pa.array(np.maximum(x[part], y[part]))], ["a", "b"])
+                    ends = [np.minimum(x[part], y[part]), np.maximum(x[part], y[part])]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, ends), pa.nulls(len(ends[0]), pa.int64())], ["a", "b", "key"])
 
         held = 0
         for off in range(1, len(group)):
@@ -413,19 +420,15 @@ def _cells(members: DataFrame, block: int) -> DataFrame:
 
 
 def _between(members: DataFrame, texts: DataFrame, threshold: float, block: int, few: int | None) -> DataFrame:
-    """Pairs within reach between the components of each key, cell by cell."""
+    """Pairs (a, b) within reach between the components of each key, cell by cell, and keys not done with."""
     known = texts.select(F.col("uid").alias("doc"), "n_words", "signature")
     cells = _cells(members, block).join(known, "doc").select("key", "i", "j", "side", "n_words", "doc", "component", "signature")
     cells = cells.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cells.mapInArrow(_cell_pairs(threshold, few), "a long, b long").distinct()
+    return cells.mapInArrow(_cell_pairs(threshold, few), "a long, b long, key long").distinct()
 
 
 def _labelled_words(packed) -> np.ndarray:
-    """A 64-bit number for each word of a text and its occurrence."""
-    found = np.sort(np.frombuffer(unsqueeze(packed), np.uint32))
-    at = np.arange(len(found))
-    nth = at - np.maximum.accumulate(np.where(np.concatenate(([False], found[1:] == found[:-1])), 0, at))
-    return mix64(found.astype(U64) + nth.astype(U64) * U64(0x9E3779B97F4A7C15))
+    return labelled(np.frombuffer(unsqueeze(packed), np.uint32))
 
 
 def _rarity(texts: DataFrame) -> np.ndarray:
@@ -482,31 +485,28 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     rows = rows.select("uid", "doc_id", *text_key(F.col("text")), "text")
     texts = materialize(rows.mapInArrow(_sketches(k, ell, slots, short), _TEXTS), "sketches")  # numbers of rows are fixed here
     firsts = materialize(texts.groupBy("h1", "h2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("copy_of")), "firsts")
-    texts_of = texts.join(firsts.select(F.col("node").alias("uid")), "uid", "left_semi").where("n_words > 0")
-    texts_of = materialize(texts_of, "texts")
-    slot = texts_of.select(F.col("uid").alias("doc"), F.explode("keys").alias("key"))  # a slot's number is hashed into its key
-    shared = slot.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("n")).where("pivot < top").select("key", "pivot", "n")
+    heads = texts.join(firsts.select(F.col("node").alias("uid")), "uid", "left_semi").where("n_words > 0")
+    heads = materialize(heads.select("uid", "n_words", "signature", "keys"), "heads")
+    slot = heads.select(F.col("uid").alias("doc"), F.explode("keys").alias("key"))  # a slot's number is hashed into its key
+    shared = slot.groupBy("key").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialize(slot.join(shared, "key"), "buckets")
     # each text with the pivot that it shares most buckets with
     votes = buckets.where("doc != pivot").groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("doc").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("best")).select((-F.col("best.p")).alias("a"), F.col("doc").alias("b"))
-    tested = materialize(_likely(best, texts_of, threshold), "pairs")
-    links = materialize(links_of(tested, texts_of, threshold), "links")
-    labels = _relabel(None, links)
+    tested = materialize(_likely(best, heads, threshold), "pairs")
+    labels = _relabel(None, materialize(links_of(tested, texts, threshold), "links"))
     # members of larger buckets in two components are dealt by their rarest words
-    members = buckets.select("key", "doc", "n")
-    open_ = members.where(F.col("n") > block).join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    open_ = _named(buckets.where(F.col("n") > block), labels)
     unsettled = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    dealt = open_.join(unsettled, "key", "left_semi").select("doc").distinct()
-    dealt = materialize(texts_of.join(dealt, F.col("uid") == F.col("doc"), "left_semi").select("uid", "words"), "dealt")
-    rare = _rare_words(dealt, threshold)
-    members = materialize(members.where(F.col("n") <= block).select("key", "doc").union(rare), "members")
+    dealt = materialize(open_.join(unsettled, "key", "left_semi").select("doc").distinct(), "dealt")
+    rare = _rare_words(texts.join(dealt, F.col("uid") == F.col("doc"), "left_semi").select("uid", "words"), threshold)
+    members = materialize(buckets.where(F.col("n") <= block).select("key", "doc").union(rare), "members")
     for few in (FEW, None):
-        pairs = _between(_named(members, labels), texts_of, threshold, block, few).join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        links = materialize(links_of(pairs, texts_of, threshold), "links")
-        labels = _relabel(labels, links)
+        found = materialize(_between(_named(members, labels), heads, threshold, block, few), "cells")
+        pairs = materialize(found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        labels = _relabel(labels, materialize(links_of(pairs, texts, threshold), "links"))
         tested = tested.union(pairs)
+        members = members.join(found.where("key is not null").select("key").distinct(), "key", "left_semi")
     # names of classes: only texts with links have others than their own
     ranked = labels.join(firsts, "node").select("node", "component", "copy_of", F.struct(F.col("copy_of").isNull().alias("none"), "copy_of", "h1", "h2").alias("rank"))
     named = ranked.groupBy("component").agg(F.min("copy_of").alias("class_id"), F.min("rank").alias("least")).join(ranked, "component")

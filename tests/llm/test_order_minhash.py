@@ -113,7 +113,7 @@ def test_signatures_never_differ_in_more_bits_than_words():
         a = [draw.randrange(5000) for _ in range(n)]
         b = a[draw.randrange(1 + n // 5) :] + [draw.randrange(5000) for _ in range(n // 9)]
         both = [m.signature(np.array(x, np.uint32)) for x in (a, b)]
-        counts = [np.bincount(x, minlength=5000) for x in (a, b)]
+        counts = [np.bincount(x, minlength=5000) for x in (a, b)]  # of words, as of labelled words
         assert m._differing(both, np.array([0]), np.array([1]))[0] <= np.abs(counts[0] - counts[1]).sum()
 
 
