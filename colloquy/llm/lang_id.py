@@ -9,7 +9,9 @@ priors: the host's counts (less the row's own share) are mixed with ``KAPPA`` co
 its domain, that with ``KAPPA`` of the prior of all rows, and that with a flat one.
 
 The trigram tables are fitted on at most ``SAMPLE`` labelled rows, those with the least hash of
-their id, in ``2 ** BITS`` hashed cells a language: a bounded model, whatever the corpus.
+their id and text (rows equal in both count once), for the ``LANGUAGES`` most frequent labels among
+them, in ``2 ** BITS`` hashed cells a language: a bounded model, whatever the corpus. Rarer labels are
+no languages of the model.
 
 Edge cases: a null or empty text, declaration, address or host is no evidence of its kind, and a row
 without any gets the prior of all rows; a declaration or suffix of another language than the model's
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm._common import chunks, materialize
 
-SAMPLE, BITS = 8000, 15
+SAMPLE, LANGUAGES, BITS = 8000, 64, 15
 DECLARED, SUFFIX, KAPPA = 0.9, 0.8, 20.0
 #: The share of trigrams that counts as independent evidence, and the prior of ``und``.
 TEMPER, UND_PRIOR = 1 / 3, 1e-3
@@ -64,10 +66,10 @@ def cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (key * np.uint32(2654435761)) >> np.uint32(32 - BITS), middle
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
-    """Trigram tables from at most ``sample`` rows with a label."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"))
-    least = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE, most: int = LANGUAGES) -> Model:
+    """Trigram tables from at most ``sample`` different rows with a label, of the ``most`` most frequent labels."""
+    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"))
+    least = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if least is None:
         return Model([], np.zeros((1, 1 << BITS), np.float32))
 
@@ -88,7 +90,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["label", "cell", "n"])
 
     # at most sample rows; cells times labels rows come back, a bound that doesn't grow with the corpus
-    counted = rows.where(F.col("h") <= least).select("label", "text").mapInArrow(count, "label string, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect()
+    chosen = rows.where(F.col("h") <= least).groupBy("h").agg(F.min("label").alias("label"), F.first("text").alias("text"))
+    chosen = materialize(chosen.select("label", "text"), "labelled")
+    usual = [r.label for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most).collect()]
+    counted = chosen.where(F.col("label").isin(usual)).mapInArrow(count, "label string, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.label for r in counted})
     table = np.full((len(languages) + 1, 1 << BITS), 0.5)
     for r in counted:

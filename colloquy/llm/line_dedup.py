@@ -6,13 +6,13 @@ shuffle, so a line seen everywhere costs one sketch a task. Lines whose estimate
 ``min_sites`` are decided by it; for those within ``band`` of it the distinct sites are counted
 exactly. Lines seen on at least ``min_sites`` sites are boilerplate.
 
-A document loses its boilerplate lines, unless they are more than ``max_share`` of its characters:
-then it is a copy of a document rather than a page with boilerplate, and is left whole for
-document-level deduplication.
+A document loses its boilerplate lines. Only one that has no other line that is long enough is left
+whole: it is a copy, of which nothing would be left, and is for document-level deduplication to judge.
+With ``max_share``, so is a document that would lose a greater share of its characters.
 
 Edge cases: a null text stays null; a null site is a site of its own; empty lines and lines of fewer
-than ``min_words`` words always stay; line ends are ``\\n``; rows that repeat are treated alike; an
-empty table gives an empty result; other columns are carried.
+than ``min_words`` words always stay (with 1, every line with a word counts); line ends are ``\\n``; rows
+that repeat are treated alike; an empty table gives an empty result; other columns are carried.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm._common import materialize
 
-MIN_SITES, MIN_WORDS, MAX_SHARE, LG_K = 5, 3, 0.5, 10
+MIN_SITES, MIN_WORDS, LG_K = 5, 3, 10
 #: Four standard errors of a sketch of 2 ** 10 registers, and never under one site.
 BAND = 4 * 1.04 / 32
 _EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -44,7 +44,7 @@ def _counts(line: Column, min_words: int) -> Column:
 def _exploded(rows: DataFrame, min_words: int) -> DataFrame:
     line = rows.select(*(c for c in rows.columns if c != "text"), F.explode(_lines(F.col("text"))).alias("line")).withColumn("line", _bare(F.col("line")))
     line = line.where(_counts(F.col("line"), min_words))
-    return line.select(*(c for c in rows.columns if c != "text"), F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    return line.select(*(c for c in rows.columns if c != "text"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
@@ -61,7 +61,7 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_s
     return far.unionByName(exact.where(F.col("sites") >= min_sites).withColumn("exact", F.lit(True)))
 
 
-def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float = MAX_SHARE) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float | None = None) -> DataFrame:
     """``docs`` with ``text`` cleaned, ``n_lines`` and ``n_removed`` (in place of columns of that name)."""
     found = materialize(boilerplate(docs, text, site, min_sites, min_words).select("h1", "h2"), "boilerplate")
     # a row is known by its id and text; equal rows share a key and an outcome
@@ -73,8 +73,10 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     lines = _lines(F.col("text"))
     goes = lambda x: F.array_contains(F.col("gone"), F.xxhash64(_bare(x))) & _counts(_bare(x), min_words)
     joined = joined.withColumn("stay", F.when(F.col("gone").isNotNull(), F.filter(lines, lambda x: ~goes(x))))
-    lost = F.char_length("text") - F.char_length(F.array_join("stay", "\n"))
-    cut = F.coalesce(lost <= F.lit(max_share) * F.char_length("text"), F.lit(False))
+    cut = F.coalesce(F.exists("stay", lambda x: _counts(_bare(x), min_words)), F.lit(False))
+    if max_share is not None:
+        lost = F.char_length("text") - F.char_length(F.array_join("stay", "\n"))
+        cut &= F.coalesce(lost <= F.lit(max_share) * F.char_length("text"), F.lit(False))
     cleaned = F.when(cut, F.array_join("stay", "\n")).otherwise(F.col("text"))
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
@@ -94,8 +96,9 @@ def sql(table: str, columns: str) -> str:
       select doc_id, text, source, unnest(string_split(text, chr(10))) as l, unnest(range(len(string_split(text, chr(10))))) as n from (select distinct doc_id, text, source from {table}))),
   spread as (select bare from lines where regexp_matches(bare, '{_SQL_WORDS}') group by bare having count(distinct coalesce('0' || source, '1')) >= {MIN_SITES}),
   kept as (select doc_id, text, source, count(*) as n_lines, count(s.bare) as gone,
-      coalesce(string_agg(case when s.bare is null then l end, chr(10) order by n), '') as stay from lines left join spread s using (bare) group by doc_id, text, source),
-  done as (select doc_id, text, source, n_lines, gone > 0 and length(text) - length(stay) <= {MAX_SHARE} * length(text) as cut, gone, stay from kept)
+      coalesce(string_agg(case when s.bare is null then l end, chr(10) order by n), '') as stay,
+      count(*) filter (where s.bare is null and regexp_matches(bare, '{_SQL_WORDS}')) as own from lines left join spread s using (bare) group by doc_id, text, source),
+  done as (select doc_id, text, source, n_lines, gone > 0 and own > 0 as cut, gone, stay from kept)
   select {columns} from (select d.*, case when cut then stay else d.text end as cleaned, coalesce(k.n_lines, 0)::bigint as n_lines, case when cut then gone else 0 end::bigint as n_removed
     from {table} d left join done k on d.doc_id is not distinct from k.doc_id and d.text = k.text and d.source is not distinct from k.source)
 """

@@ -5,17 +5,20 @@ times its source's size, and what is over is shared again by weight (one water l
 running sums over the sources). The total is cut into blocks of ``block`` words, and the blocks are
 seats: the k-th seat of a source has the quotient target / (2k - 1), and seats go to the highest
 quotients. The order of seats, cut into shards of ``shard_blocks``, gives each shard its integer
-quota of each source. Last, a source's documents are laid end to end in a seeded order, its line is
-cut into blocks, and the source's seats take blocks one after another from a seeded start, round and
-round. So documents are taken whole but at the ends of a round, none more than ``epochs`` times.
+quota of each source. Last, a source's documents are laid end to end in a seeded order and the line is
+cut into blocks; from a seeded start on, round and round, each shard is dealt as many blocks as its
+quota, one shard after another. So documents are taken whole but where a shard or a round ends, none
+more than ``epochs`` times.
 
 Scale: seats are ranked within bands of expected rank and offset by the counts of the bands below; a
-source's line is summed within 4096 bands of its seeded order and offset likewise. No task sees a
-whole source or all seats. The tables of sources are as long as there are sources.
+source's line is summed within 4096 bands of its seeded order and offset likewise; blocks of documents
+meet seats by (source, number of the seat), of which each stands once. No task sees a whole source or
+all seats. The tables of sources are as long as there are sources.
 
 Edge cases: a null text has no words; null sources are one source, ordered last; documents without
-words are kept with nothing taken; rows that repeat are separate documents; an empty table gives an
-empty result; other columns are carried by ``take`` only.
+words are kept with nothing taken; rows that repeat, or share an id or have none, are separate
+documents (rows are numbered as they are written, and joined by that number); an order without an id
+is seeded by the text; an empty table gives an empty result; other columns are carried by ``take`` only.
 """
 
 from __future__ import annotations
@@ -37,11 +40,14 @@ _BANDS_HEX = 3
 @dataclass
 class Mix:
     """``sources``: source, size, weight, target, seats, blocks, start. ``quotas``: shard, source,
-    quota. ``documents``: the rows asked about with line positions and words taken."""
+    quota. ``documents``: the rows asked about (uid, doc_id, source, size, source_size, target, taken).
+    ``pieces``: uid, shard, round, late (whether it is of the round's end, before the start on the
+    line), at (first word), n (words): what each shard takes of a document."""
 
     sources: DataFrame
     quotas: DataFrame
     documents: DataFrame
+    pieces: DataFrame
 
 
 def word_count(text: Column) -> Column:
@@ -83,8 +89,9 @@ def _offsets(counts: DataFrame, band: str, count: str) -> DataFrame:
     return inner.join(tops, "g").select(band, (F.col("offset") + F.col("under")).alias("offset"))
 
 
-def apportion(goals: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """(shard, key, quota) from (key, target): seats by highest quotients in order of allocation."""
+def allot(goals: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """(shard, key, k): the seats won, the k-th of its source each, from (key, target); the highest
+    quotients win, and shards are cut from the order of quotients."""
     spark = goals.sparkSession
     everything = Window.partitionBy()
     shares = goals.where("target > 0").select("key", "target", F.round(F.sum("target").over(everything) / block).cast("long").alias("seats"), (F.col("target") / F.sum("target").over(everything)).alias("share"))
@@ -100,43 +107,46 @@ def apportion(goals: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BL
     seat = materialize(seat, "seats")
     offsets = _offsets(seat.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band", "n")
     ranked = seat.join(offsets, "band").withColumn("rank", F.col("offset") + F.row_number().over(Window.partitionBy("band").orderBy("time", "key")))
-    won = ranked.where("rank <= seats").withColumn("shard", F.floor((F.col("rank") - 1) / shard_blocks).cast("long"))
-    return won.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("quota"))
+    return ranked.where("rank <= seats").select(F.floor((F.col("rank") - 1) / shard_blocks).cast("long").alias("shard"), "key", "k")
+
+
+def apportion(goals: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """(shard, key, quota) from (key, target)."""
+    return allot(goals, block, shard_blocks).groupBy("shard", "key").agg(F.count(F.lit(1)).alias("quota"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: str = SEED) -> Mix:
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"))
-    rows = rows.withColumn("key", _key(F.col("source"))).withColumn("order", _seeded(F.col("doc_id").cast("string"), seed))
-    rows = materialize(rows.withColumn("band", F.substring("order", 1, _BANDS_HEX)), "sizes")
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: str = SEED, uid: Column | None = None) -> Mix:
+    """The mix of ``docs``. ``uid``: a number of each row, if the rows have one."""
+    body = F.col(text).cast("string")
+    number = F.monotonically_increasing_id() if uid is None else uid
+    rows = docs.select(number.alias("uid"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(body).alias("size"), F.xxhash64(body).alias("hash"))
+    rows = rows.withColumn("key", _key(F.col("source"))).withColumn("order", _seeded(F.coalesce(F.col("doc_id").cast("string"), F.col("hash").cast("string")), seed))
+    rows = materialize(rows.withColumn("band", F.substring("order", 1, _BANDS_HEX)), "sizes")  # rows are numbered here
     bands = materialize(rows.groupBy("key", "band").agg(F.sum("size").alias("size")), "bands")
-    goals = targets(bands.groupBy("key").agg(F.sum("size").alias("size")), weights, budget, epochs)
-    quotas = materialize(apportion(goals, block, shard_blocks), "quotas")
-    seats = quotas.groupBy("key").agg(F.sum("quota").alias("seats"))
-    plan = goals.join(seats, "key", "left").withColumn("seats", F.coalesce("seats", F.lit(0)))
+    goals = materialize(targets(bands.groupBy("key").agg(F.sum("size").alias("size")), weights, budget, epochs), "goals")
+    seats = materialize(allot(goals, block, shard_blocks), "allotted")
+    quotas = seats.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("quota"))
+    plan = goals.join(seats.groupBy("key").agg(F.count(F.lit(1)).alias("seats")), "key", "left").withColumn("seats", F.coalesce("seats", F.lit(0)))
     plan = plan.withColumn("blocks", F.ceil(F.col("size") / block).cast("long"))
     plan = plan.withColumn("start", F.when(F.col("blocks") > 0, F.conv(F.substring(_seeded(F.col("key"), seed), 1, 8), 16, 10).cast("long") % F.col("blocks")).otherwise(F.lit(0)))
     plan = materialize(plan, "plan")
     inside = Window.partitionBy("key").orderBy("band")
-    lines = bands.withColumnRenamed("size", "band_size").withColumn("offset", F.sum("band_size").over(inside) - F.col("band_size")).join(plan.withColumnRenamed("size", "source_size"), "key").drop("band_size")
-    running = Window.partitionBy("key", "band").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("stop", F.sum("size").over(running)).join(lines, ["key", "band"]).withColumn("stop", F.col("stop") + F.col("offset")).withColumn("first", F.col("stop") - F.col("size"))
-    for e in range(epochs):
-        placed = placed.withColumns(_round(e, block))
-    taken = sum((F.col(f"to{e}{part}") - F.col(f"from{e}{part}") for e in range(epochs) for part in "ab"), F.lit(0))
-    placed = placed.withColumn("taken", taken.cast("long"))
-    sources = plan.select(F.when(F.col("key") != "1", F.substring("key", 2, 1 << 30)).alias("source"), "size", "weight", "target", "seats", "blocks", "start")
-    named = quotas.select("shard", F.when(F.col("key") != "1", F.substring("key", 2, 1 << 30)).alias("source"), "quota")
-    return Mix(sources, named, placed)
-
-
-def _round(e: int, block: int) -> dict[str, Column]:
-    """The part of a document's span on its source's line that round ``e`` takes: blocks from
-    ``start`` on (a), and from 0 on where the round runs over the line's end (b)."""
-    n = F.greatest(F.lit(0), F.least(F.col("seats") - e * F.col("blocks"), F.col("blocks")))
-    begin, end = F.col("start") * block, (F.col("start") + n) * block
-    over = F.greatest(F.lit(0), (F.col("start") + n - F.col("blocks")) * block)
-    clip = lambda x: F.least(F.greatest(x, F.col("first")), F.col("stop"))
-    return {f"from{e}a": clip(begin), f"to{e}a": clip(F.when(n > 0, end).otherwise(begin)), f"from{e}b": F.col("first"), f"to{e}b": clip(F.when(n > 0, F.least(over, begin)).otherwise(F.lit(0)))}
+    lines = bands.withColumnRenamed("size", "band_size").withColumn("offset", F.sum("band_size").over(inside) - F.col("band_size"))
+    lines = lines.join(plan.select("key", "seats", "blocks", "start"), "key").drop("band_size")
+    running = Window.partitionBy("key", "band").orderBy("order", "size", "hash", "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.where("size > 0").withColumn("stop", F.sum("size").over(running)).join(lines, ["key", "band"]).withColumn("stop", F.col("stop") + F.col("offset")).withColumn("first", F.col("stop") - F.col("size"))
+    cut = placed.withColumn("b", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("stop") - 1) / block))))
+    cut = cut.withColumn("at", F.greatest("first", F.col("b") * block)).withColumn("n", F.least("stop", (F.col("b") + 1) * block) - F.col("at"))
+    turns = F.filter(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.pmod(F.col("b") - F.col("start"), F.col("blocks")) + e * F.col("blocks") < F.col("seats"))
+    cut = cut.withColumn("round", F.explode(turns)).withColumn("k", F.pmod(F.col("b") - F.col("start"), F.col("blocks")) + F.col("round") * F.col("blocks") + 1)
+    pieces = cut.select("uid", "key", "k", "round", (F.col("b") < F.col("start")).alias("late"), (F.col("at") - F.col("first")).alias("at"), "n").join(seats, ["key", "k"])
+    pieces = pieces.groupBy("uid", "shard", "round", "late").agg(F.min("at").alias("at"), F.sum("n").alias("n"))
+    pieces = materialize(pieces, "pieces")
+    taken = pieces.groupBy("uid").agg(F.sum("n").alias("taken"))
+    known = plan.select("key", F.col("size").alias("source_size"), "target")
+    documents = rows.join(taken, "uid", "left").join(known, "key").select("uid", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    plain = F.when(F.col("key") != "1", F.substring("key", 2, 1 << 30)).alias("source")
+    return Mix(plan.select(plain, "size", "weight", "target", "seats", "blocks", "start"), quotas.select("shard", plain, "quota"), documents, pieces)
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
@@ -150,24 +160,30 @@ def words_between(text: Column, first: Column, count: Column) -> Column:
     return F.array_join(F.slice(pieces, (first + 1).cast("int"), count.cast("int")), "")
 
 
-def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: int = EPOCHS, **options) -> DataFrame:
+def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard: str | None = None, **options) -> DataFrame:
     """The mixed documents with the columns of ``docs``: each text once for each round that takes it,
-    cut where the round begins or ends within it. The plan is joined back by id, so rows that share one
-    must first be made one; a text without words is kept once, since it costs nothing."""
-    plan = mix(docs, doc_id=doc_id, text=text, epochs=epochs, **options).documents
-    spans = F.array(*(F.struct(F.lit(e).alias("round"), (F.col(f"from{e}{p}") - F.col("first")).alias("at"), (F.col(f"to{e}{p}") - F.col(f"from{e}{p}")).alias("n")) for e in range(epochs) for p in "ab"))
-    plan = plan.select(F.col("doc_id").alias("id"), F.col("size"), F.explode(F.when(F.col("size") == 0, F.array(F.struct(F.lit(0).alias("round"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n")))).otherwise(F.filter(spans, lambda s: s["n"] > 0))).alias("span"))
-    whole = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
-    joined = whole.join(plan, whole["id"].eqNullSafe(plan["id"]))
-    part = F.when(F.col("span.n") == F.col("size"), F.col("text")).otherwise(words_between(F.col("text"), F.col("span.at"), F.col("span.n")))
-    return joined.select(*(part.alias(c) if c == text else F.char_length(part).cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns))
+    cut where the round begins or ends within it; a text without words is kept once, since it costs
+    nothing. With ``shard``, a column of that name gives the shard, and texts are cut at shards too."""
+    kept = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*docs.columns).alias("row")), "numbered")
+    flat = kept.select("uid", F.col("row")[doc_id].alias("doc_id"), F.col("row")[text].alias("text"), F.col("row")[options.pop("source", "source")].alias("source"))
+    mixed = mix(flat, uid=F.col("uid"), **options)
+    place = ["uid", "round", "late", *(["shard"] if shard else [])]
+    spans = mixed.pieces.groupBy(*place).agg(F.min("at").alias("at"), F.sum("n").alias("n"))
+    blank = mixed.documents.where("size = 0").select("uid", F.lit(0).alias("round"), F.lit(False).alias("late"), *([F.lit(None).cast("long").alias("shard")] if shard else []), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
+    plan = spans.unionByName(blank)
+    body = F.col("row")[text]
+    joined = kept.join(plan, "uid")
+    whole = (F.col("at") == 0) & (F.col("n") == word_count(body.cast("string")))
+    part = F.when(whole, body).otherwise(words_between(body.cast("string"), F.col("at"), F.col("n")))
+    columns = [part.alias(c) if c == text else F.char_length(part).cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns if c != shard]
+    return joined.select(*columns, *([F.col("shard").alias(shard)] if shard else []))
 
 
 #: The same rows by SQL: seats ranked by one window, documents by one window a source.
 ORACLE_SQL = f"""
 with d as (
   select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size, coalesce('0' || source, '1') as key,
-    md5(coalesce(doc_id::varchar || ':', '') || '{SEED}') as ord from documents),
+    md5(doc_id::varchar || ':{SEED}') as ord from documents),
 s as (select key, sum(size)::bigint as size, [3.0::double, 1.0::double, 2.0::double][(row_number() over (order by key) - 1) % 3 + 1] as weight from d group by key),
 r as (select *, {float(EPOCHS)}::double * size as lim, {float(EPOCHS)}::double * size / weight as ratio from s),
 f as (select *, sum(lim) over (order by ratio, key rows unbounded preceding) as fullsum,
@@ -175,7 +191,8 @@ f as (select *, sum(lim) over (order by ratio, key rows unbounded preceding) as
 l as (select min((goal - (fullsum - lim)) / (openw + weight)) as level from (select * from f where fullsum + ratio * openw >= goal order by ratio, key limit 1)),
 g as (select key, size, least(lim, coalesce(level, 0) * weight) as target from f, l),
 t as (select *, round(sum(target) over () / {BLOCK})::bigint as seats_all, target / sum(target) over () as share from g),
-k as (select key, seats_all, unnest(range(1, ceil(share * seats_all)::bigint + 3)) as k, share from t where target > 0),
+n as (select count(*) as sources from t where target > 0),
+k as (select key, seats_all, unnest(range(1, floor((seats_all + sources / 2) * share + 0.5)::bigint + 2)) as k, share from t, n where target > 0),
 w as (select key, count(*) as seats from (select key, seats_all, row_number() over (order by (2 * k - 1) / (2 * share), key) as rn from k) where rn <= seats_all group by key),
 p as (select g.key, g.size as source_size, g.target, coalesce(w.seats, 0) as seats, ceil(g.size / {BLOCK})::bigint as blocks from g left join w using (key)),
 q as (select *, case when blocks > 0 then ('0x' || substr(md5(key || ':{SEED}'), 1, 8))::bigint % blocks else 0 end as st from p),

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from colloquy.llm import lang_id
@@ -67,6 +69,44 @@ def test_pages(spark):
     assert tuple(b) == (None, None, None)
 
 
+def test_the_sample_is_bounded_where_ids_and_labels_repeat(spark):
+    rows = make(spark, [text("en", 1)] * 50 + [text(("en", "de", "fr")[i % 3], i) for i in range(60)], langs=[f"l{i:02}" for i in range(50)] + ["en", "de", "fr"] * 20)
+    rows = rows.withColumn("doc_id", F.when(F.col("doc_id") >= 50, F.col("doc_id")))
+    model = lang_id.fit(rows, most=3)
+    assert model.languages == ["de", "en", "fr"]
+    assert len(lang_id.fit(rows, sample=5).languages) <= 5
+
+
+def test_posteriors_equal_brute_force(spark):
+    model = lang_id.fit(docs(spark))
+    size, tables = len(model.languages), model.table.astype(float)
+    rows = [(0, "der und which über", "fr", "h.example.es"), (1, "pour être", None, None), (2, None, "de", "x.de"), (3, "zzzz qqqq", "xx", "y.de")]
+    frame = spark.createDataFrame(rows, "id long, body string, said string, host string")
+    logs = []
+    for _, body, said, host in rows:
+        data = np.frombuffer((body or "").encode(), np.uint8)
+        cell, _ = lang_id.cells(data, np.array([0, len(data)]))
+        log = [sum(tables[i][c] for c in cell) * lang_id.TEMPER for i in range(size + 1)]
+        for claim, right in ((said, lang_id.DECLARED), (lang_id.SUFFIXES.get(host.split(".")[-1]) if host else None, lang_id.SUFFIX)):
+            if claim in model.languages:
+                log = [x + math.log(right if i < size and model.languages[i] == claim else 1 / size if i == size else (1 - right) / (size - 1)) for i, x in enumerate(log)]
+        top = max(log)
+        logs.append([max(x - top, -700) for x in log])
+    flat = [(1 - lang_id.UND_PRIOR) / size] * size + [lang_id.UND_PRIOR]
+    norm = lambda w: [x / sum(w) for x in w]
+    own = [norm([math.exp(x) * p for x, p in zip(log, flat)]) for log in logs]
+    kappa = lang_id.KAPPA
+    whole = [(sum(o[i] for o in own) + kappa * flat[i]) / (len(rows) + kappa) for i in range(size + 1)]
+    got = {r.id: r for r in lang_id.identify(frame, model, "body", "said", "host").collect()}
+    for n, (i, _, _, host) in enumerate(rows):
+        # each host is the only one of its domain; without a host, of the empty one
+        domain = [(own[n][j] + kappa * whole[j]) / (1 + kappa) for j in range(size + 1)]
+        prior = [(max(0, own[n][j] - own[n][j]) + kappa * domain[j]) / (0 + kappa) if host else domain[j] for j in range(size + 1)]
+        post = norm([math.exp(x) * p for x, p in zip(logs[n], prior)])
+        best = max(range(size + 1), key=lambda j: post[j])
+        assert got[i].language == [*model.languages, "und"][best] and abs(got[i].probability - post[best]) < 1e-5
+
+
 def test_odd_rows(spark, odd, none):
     model = lang_id.fit(odd)
     got = lang_id.identify(odd, model, declared="lang", host="source")

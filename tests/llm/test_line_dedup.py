@@ -35,6 +35,18 @@ def test_copies_stay_whole_and_pages_are_cleaned(spark):
     assert all(got[i].text == copy and got[i].n_removed == 0 for i in range(8, 16))
 
 
+def test_pages_of_mostly_boilerplate_lose_it(spark):
+    notice = "\n".join(f"line {j} of a long notice that all of the sites have" for j in range(9))
+    docs = make(spark, [f"own line number {i}\n{notice}" for i in range(8)], sources=tuple("abcdefgh"))
+    assert {r.text for r in d.remove_boilerplate(docs).collect()} == {f"own line number {i}" for i in range(8)}
+    assert d.remove_boilerplate(docs, max_share=0.5).where("n_removed > 0").count() == 0
+
+
+def test_short_lines_count_where_one_word_is_enough(spark):
+    docs = make(spark, [f"menu\nsomething else number {i} stays" for i in range(9)], sources=tuple("abcdefghi"))
+    assert {r.text.split()[0] for r in d.remove_boilerplate(docs, min_words=1).collect()} == {"something"}
+
+
 def test_short_lines_stay(spark):
     docs = make(spark, [f"two words\nsomething else number {i} stays" for i in range(9)], sources=tuple("abcdefghi"))
     assert d.remove_boilerplate(docs).where("n_removed > 0").count() == 0

@@ -88,6 +88,32 @@ def test_odd_rows(spark, odd, none):
     assert m.digest(make(spark, [None, ""])).collect()[0].taken == 0
 
 
+def test_shards_take_their_quotas_in_blocks(spark):
+    docs = make(spark, [prose(i, 50 + i % 90) for i in range(200)], sources=("a", "a", "b", "c"))
+    options = {"block": 16, "shard_blocks": 8}
+    mix = m.mix(docs, **options)
+    out = m.take(docs, shard="part", **options)
+    assert out.columns == [*docs.columns, "part"]
+    got = {(r.part, r.source): r.n for r in out.groupBy("part", "source").agg(F.sum(m.word_count(F.col("text"))).alias("n")).collect()}
+    quotas = {(r.shard, r.source): r.quota for r in mix.quotas.collect()}
+    ends = {r.source: (r.blocks * 16 - r.size) for r in mix.sources.collect()}
+    assert set(got) == set(quotas)
+    # a block is of 16 words, but for the last of a source's line
+    assert all(q * 16 - 2 * ends[key[1]] <= got[key] <= q * 16 for key, q in quotas.items())
+    assert max(sum(q for (p, _), q in quotas.items() if p == part) for part, _ in quotas) == 8
+
+
+def test_rows_without_ids_or_of_one_id_are_documents_of_their_own(spark):
+    docs = make(spark, [prose(i, 30) for i in range(40)]).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(1).cast("long")))
+    docs = docs.union(docs)
+    options = {"block": 8, "shard_blocks": 16}
+    assert m.digest(docs, **options).count() == 80
+    out, texts = m.take(docs, **options), {r.text for r in docs.collect()}
+    total = m.mix(docs, **options).documents.agg(F.sum("taken")).first()[0]
+    assert out.agg(F.sum(m.word_count(F.col("text")))).first()[0] == total
+    assert out.count() <= 80 * 3 and all(any(r.text in t for t in texts) for r in out.collect())
+
+
 @pytest.mark.parametrize("text, at, n, want", [("  a b\n c ", 0, 2, "  a b"), ("  a b\n c ", 1, 2, " b\n c"), ("x", 0, 1, "x")])
 def test_words_between(spark, text, at, n, want):
     assert spark.range(1).select(m.words_between(F.lit(text), F.lit(at), F.lit(n))).first()[0] == want
