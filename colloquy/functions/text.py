@@ -20,13 +20,13 @@ def strip(text: Column) -> Column:
 
 
 def strip_prefixes(text: Column) -> Column:
-    """Without any number of stacked tag prefixes."""
-    return strip(F.regexp_replace(strip(text), r"(?iuU)^(?:\s*(?:" + "|".join(PREFIXES) + r"))+", ""))
+    """Without any number of stacked tag prefixes (taken one after another, so that there is no limit)."""
+    return strip(F.regexp_replace(strip(text), r"(?iuU)^(?:\s*(?:" + "|".join(PREFIXES) + r"))++", ""))
 
 
 def collapse_loops(text: Column) -> Column:
-    """A phrase of 3 to 40 characters that is said three times or more in a row is said once."""
-    return F.regexp_replace(text, r"(?U)(\b[^.!?]{3,40}[.!?])(\s*\1){2,}", "$1")
+    """A phrase of 3 to 40 characters that is said three times or more in a row, however often, is said once."""
+    return F.regexp_replace(text, r"(?U)(\b[^.!?]{3,40}[.!?])(?:\s*\1){2,}+", "$1")
 
 
 def clean_text(text: Column) -> Column:
@@ -88,6 +88,13 @@ def seconds(value: Column) -> Column:
     return F.when(value.isNull() | (strip(value) == ""), F.lit(0).cast("long")).otherwise(F.coalesce(total, F.lit(0).cast("long")))
 
 
+def exact_seconds(value: Column) -> Column:
+    """Seconds with their fraction from text, as by ``seconds``; negative numbers stay so."""
+    parts = F.transform(F.split(strip(value), ":"), lambda p: F.when(strip(p) == "", F.lit(0.0)).otherwise(strip(p).try_cast("double")))
+    total = F.aggregate(parts, F.lit(0.0), lambda a, p: a * 60 + p)
+    return F.when(value.isNull() | (strip(value) == ""), F.lit(0.0)).otherwise(F.coalesce(total, F.lit(0.0)))
+
+
 def duration_text(text: Column) -> Column:
     """Seconds of exactly H..:MM:SS, else 0."""
     return F.when(strip(text).rlike(r"^\d+:\d{2}:\d{2}$"), seconds(text).cast("double")).otherwise(F.lit(0.0))

@@ -5,26 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions import reports as R
 from colloquy.functions import text as T
 from colloquy.operators.runs import in_range
 
 THRESHOLD = 0.5
 
 
-def best_overlap(citations: DataFrame, utterances: DataFrame, by: list[str], cite_id: str = "cite_id", quote: str = "quote", text: str = "text") -> DataFrame:
+def best_overlap(citations: DataFrame, utterances: DataFrame, by: list[str], cite_id: str = "cite_id", quote: str = "quote", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``citations`` with ``best``, the greatest Jaccard likeness of its word set to any utterance's.
 
-    An inverted-index join: words are matched with words, so only pairs that share one are counted,
-    and frequent words of the utterances are combined with the citation before the shuffle of pairs.
+    Words are ordered by how many word sets of their ``by`` group hold them, rarest first. Two sets of
+    at least ``threshold`` share a word among the first n - ceil(threshold * n) + 1 of either, so these
+    prefixes meet first and settle every quote that is grounded without touching frequent words. Only
+    the quotes left meet all utterances that share any word with them, to tell how far off they are.
     Utterances of equal word sets are compared once."""
     quotes = citations.select(*by, F.col(cite_id).alias("_q"), T.tokens(F.col(quote)).alias("_tq")).withColumn("_nq", F.size("_tq"))
     said = utterances.select(*by, F.array_sort(T.tokens(F.col(text))).alias("_tu")).distinct().where(F.size("_tu") > 0)
     said = said.withColumns({"_u": F.xxhash64("_tu", *by), "_nu": F.size("_tu")})
-    left = quotes.select(*by, "_q", "_nq", F.explode("_tq").alias("_w"))
     right = said.select(*by, "_u", "_nu", F.explode("_tu").alias("_w"))
+    counts = right.groupBy(*by, "_w").agg(F.count(F.lit(1)).alias("_df"))
+
+    def prefixes(sets: DataFrame, key: str, words: str, size: str) -> DataFrame:
+        """(by, key, w) of the rarest words of each set; a word that no utterance has comes first."""
+        ranked = sets.select(*by, key, size, F.explode(words).alias("_w")).join(counts, [*by, "_w"], "left")
+        rarest = ranked.groupBy(*by, key, size).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("d"), "_w"))).alias("_o"))
+        first = F.slice("_o", F.lit(1), (F.col(size) - F.ceil(F.col(size) * F.lit(threshold) - 1e-9) + 1).cast("int"))
+        return rarest.select(*by, key, F.explode(first).alias("_f")).select(*by, key, F.col("_f._w").alias("_w"))
+
+    met = prefixes(quotes, "_q", "_tq", "_nq").join(prefixes(said, "_u", "_tu", "_nu"), [*by, "_w"]).select(*by, "_q", "_u").distinct()
+    both = met.join(quotes, [*by, "_q"]).join(said, [*by, "_u"]).withColumn("_both", F.size(F.array_intersect("_tq", "_tu")))
+    near = both.groupBy(*by, "_q").agg(F.max(F.col("_both") / (F.col("_nq") + F.col("_nu") - F.col("_both"))).alias("_near")).where(F.col("_near") >= threshold)
+    left = quotes.join(near, [*by, "_q"], "left_anti").select(*by, "_q", "_nq", F.explode("_tq").alias("_w"))
     shared = left.join(right, [*by, "_w"]).groupBy(*by, "_q", "_nq", "_u", "_nu").agg(F.count(F.lit(1)).alias("_both"))
-    best = shared.groupBy(*by, "_q").agg(F.max(F.col("_both") / (F.col("_nq") + F.col("_nu") - F.col("_both"))).alias("best"))
-    return citations.join(best.withColumnRenamed("_q", cite_id), [*by, cite_id], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    far = shared.groupBy(*by, "_q").agg(F.max(F.col("_both") / (F.col("_nq") + F.col("_nu") - F.col("_both"))).alias("_near"))
+    best = near.unionByName(far).select(*by, F.col("_q").alias(cite_id), F.col("_near").alias("best"))
+    return citations.join(best, [*by, cite_id], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
 
 
 def grounding(citations: DataFrame, utterances: DataFrame, meetings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -43,7 +59,11 @@ def _issue(kind: int, check: int, name: str, idx: Column, text: Column, value: C
 
 
 def _outside(t: Column, duration: Column) -> Column:
-    return ~in_range(F.when(t.isNotNull(), T.seconds(t.cast("string"))), duration)
+    return ~in_range(F.when(t.isNotNull(), T.exact_seconds(t.cast("string"))), duration)
+
+
+def _late(t: Column, duration: Column) -> Column:
+    return F.concat(F.lit(" timestamp "), t.cast("string"), F.lit(" outside [0, "), F.rint(duration).cast("long").cast("string"), F.lit("]"))
 
 
 def _timed(reports: DataFrame, durations: DataFrame) -> DataFrame:
@@ -60,9 +80,9 @@ def _citations(timed: DataFrame, utterances: DataFrame, threshold: float) -> Dat
     none, idx = F.lit(None), F.col("idx")
     stranger = (F.col("who") != "") & ~F.coalesce(F.array_contains("known", F.col("who")), F.lit(False))
     checks = F.array(
-        F.when(F.col("best") < threshold, _issue(0, 0, "citation", idx, F.lit(" not grounded in transcript"), F.col("best"))),
-        F.when(stranger, _issue(0, 1, "citation", idx, F.concat(F.lit(" references unknown speaker "), F.col("who")), none)),
-        F.when(_outside(F.col("item.t"), F.col("duration")), _issue(0, 2, "citation", idx, F.lit(" timestamp outside"), F.col("duration"))),
+        F.when(F.col("best") < threshold, _issue(0, 0, "citation", idx, F.concat(F.lit(" not grounded in transcript (overlap="), F.format_string("%.2f", F.bround("best", 2)), F.lit(")")), F.col("best"))),
+        F.when(stranger, _issue(0, 1, "citation", idx, F.concat(F.lit(" references unknown speaker "), R.quoted(F.col("who"))), none)),
+        F.when(_outside(F.col("item.t"), F.col("duration")), _issue(0, 2, "citation", idx, _late(F.col("item.t"), F.col("duration")), F.col("duration"))),
     )
     return scored.withColumn("found", F.filter(checks, lambda x: x.isNotNull()))
 
@@ -71,7 +91,7 @@ def _others(timed: DataFrame) -> DataFrame:
     """Each report with the array of issues of its chapters, decisions and actions."""
     duration, none = F.col("duration"), F.lit(None)
     empty = lambda x: T.strip(F.coalesce(x, F.lit(""))) == ""
-    late = F.transform("report.chapitres", lambda c, i: F.when(_outside(c["t"], duration), _issue(1, 0, "chapitre", i, F.lit(" timestamp outside"), duration)))
+    late = F.transform("report.chapitres", lambda c, i: F.when(_outside(c["t"], duration), _issue(1, 0, "chapitre", i, _late(c["t"], duration), duration)))
     decisions = F.transform("report.decisions", lambda d, i: F.when(empty(d["decision"]), _issue(2, 0, "decision", i, F.lit(" is empty"), none)))
     actions = F.transform("report.actions", lambda a, i: F.when(empty(a["action"]), _issue(3, 0, "action", i, F.lit(" is empty"), none)))
     every = F.concat(*(F.coalesce(x, F.array().cast(_ISSUE)) for x in (late, decisions, actions)))

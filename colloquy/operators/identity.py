@@ -63,8 +63,11 @@ def calibrate(persons: DataFrame, exemplars: DataFrame) -> DataFrame:
     """One row (tau_low, tau_high) from cosines within and between persons; defaults without exemplars."""
     own = exemplars.join(persons.select("person_id", "centroid"), "person_id").select(V.dot(V.l2(F.col("embedding")), F.col("centroid")).alias("s"))
     within = own.agg(F.percentile("s", F.lit(0.1)).alias("p10"), F.avg("s").alias("mean_in"))
-    a, b = persons.alias("a"), persons.alias("b")
-    between = a.join(b, F.col("a.person_id") < F.col("b.person_id")).agg(F.coalesce(F.avg(V.dot(F.col("a.centroid"), F.col("b.centroid"))), F.lit(0.0)).alias("mean_out"))
+    # the sum over all pairs of persons from sums by position: (|sum|^2 - sum of squares) / 2 of n (n - 1) / 2 pairs
+    each = persons.where(F.size("centroid") > 0)
+    sums = each.select(F.posexplode("centroid").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    pairs = sums.agg(F.sum(F.col("s") * F.col("s") - F.col("q")).alias("p")).crossJoin(F.broadcast(each.agg(F.count(F.lit(1)).alias("n"))))  # two tables of one row
+    between = pairs.select(F.coalesce(F.when(F.col("n") > 1, F.col("p") / (F.col("n") * (F.col("n") - 1))), F.lit(0.0)).alias("mean_out"))
     both = within.crossJoin(F.broadcast(between))  # two tables of one row
     high = V.clip(F.col("p10"), 0.4, 0.9)
     low = F.least(F.greatest((F.col("mean_in") + F.col("mean_out")) / 2, F.lit(0.3)), high - 0.05)

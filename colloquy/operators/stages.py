@@ -103,4 +103,4 @@ def synthesize(utts: DataFrame, speakers: DataFrame, model: Callable[[str, str],
     party = speakers.groupBy("meeting_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker", F.struct("name", "role"))))).alias("party"))
     rows = written.join(meta, "meeting_id").join(party, "meeting_id", "left")
     full = rows.withColumn("report", R.normalize_report(F.col("raw")))
-    return full.select("meeting_id", F.col("report").withField("meta", F.from_json(F.to_json("meta"), R.SCHEMA.split("meta:")[1].split(",speakers:")[0])).withField("speakers", F.from_json(F.to_json("party"), "map<string,struct<name:string,role:string,person_id:string>>")).alias("report"), "source")
+    return full.select("meeting_id", F.col("report").withField("meta", F.from_json(F.to_json("meta"), R.META)).withField("speakers", F.from_json(F.to_json("party"), R.SPEAKERS)).alias("report"), "source")

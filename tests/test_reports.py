@@ -54,10 +54,20 @@ def test_drift_is_coerced(spark):
     assert r.chapitres[0].titre == "bare"
 
 
-def test_normalising_comes_to_rest():
+def test_normalising_comes_to_rest(spark):
     for raw in (REPORT, {"themes": ["x", {"theme": None, "points": [1, None, ["a", "b"]]}], "actions": {"action": "x"}}, {}):
-        twice = R.normal(json.loads(json.dumps(R.normal(raw))))
-        assert R.normal(json.loads(json.dumps(twice))) == twice
+        once = normal(spark, raw)
+        twice = once.select(F.to_json("report").alias("raw")).select(R.normalize_report(F.col("raw")).alias("report"))
+        thrice = twice.select(F.to_json("report").alias("raw")).select(F.to_json(R.normalize_report(F.col("raw"))))
+        assert thrice.first()[0] == twice.select(F.to_json("report")).first()[0]
+
+
+def test_values_in_place_of_text(spark):
+    drifted = {"resume": [True, 1.5, 7, None, ["a", ["b", None, "c"]], {"k": "v", "n": 1, "x": None, "f": False}, " s ", ""], "decisions": 0, "actions": False, "themes": "", "citations": [{"texte": {"q": "it's"}, "t": None}, {"t": [1]}], "chapitres": 3}
+    r = normal(spark, drifted).first().report
+    assert r.resume == ["True", "1.5", "7", "a b c", "{'f': False, 'k': 'v', 'n': 1, 'x': None}", "s"]  # keys in alphabetical order
+    assert r.decisions == [] and r.actions == [] and r.themes == [] and [c.titre for c in r.chapitres] == ["3"]
+    assert [(c.texte, c.t) for c in r.citations] == [("{'q': \"it's\"}", None), ("", "[1]")]
 
 
 def test_grounded_report_is_ok(spark, utts):
@@ -69,11 +79,18 @@ def test_grounded_report_is_ok(spark, utts):
 def test_faults_are_found_in_order(spark, utts):
     bad = {"speakers": REPORT["speakers"], "citations": [{"speaker": "Zoe", "texte": "never said words", "t": 99999}], "chapitres": [{"t": 99999, "titre": "x"}], "decisions": [{"decision": " "}], "actions": [{"action": ""}]}
     found = grounding.issues(normal(spark, bad), utts, runs.durations(utts)).orderBy("kind_ord", "idx", "check_ord").collect()
-    assert [r.issue for r in found] == ["citation[0] not grounded in transcript", "citation[0] references unknown speaker Zoe", "citation[0] timestamp outside", "chapitre[0] timestamp outside", "decision[0] is empty", "action[0] is empty"]
+    assert [r.issue for r in found] == ["citation[0] not grounded in transcript (overlap=0.00)", "citation[0] references unknown speaker 'Zoe'", "citation[0] timestamp 99999 outside [0, 6]", "chapitre[0] timestamp 99999 outside [0, 6]", "decision[0] is empty", "action[0] is empty"]
     row = grounding.verify(normal(spark, bad, {}), utts, runs.durations(utts)).orderBy("meeting_id").collect()
     assert [(r.ok, r.n_issues, r.grounding_score) for r in row] == [(False, 6, 0.0), (True, 0, 1.0)]
 
 
+def test_times_keep_their_fraction(spark):
+    utts = spark.createDataFrame([(1, 0, 0.0, 10.0, "S0", "words")], UTT)
+    times = [11.7, -0.5, 10.9, 0, "0:11", None, "0:00:11.5"]
+    found = grounding.issues(normal(spark, {"chapitres": [{"titre": "x", "t": t} for t in times]}), utts, runs.durations(utts)).orderBy("idx").collect()
+    assert [r.issue for r in found] == ["chapitre[0] timestamp 11.7 outside [0, 10]", "chapitre[1] timestamp -0.5 outside [0, 10]", "chapitre[6] timestamp 0:00:11.5 outside [0, 10]"]
+
+
 def test_overlap_equals_brute_force(spark):
     import random
 

@@ -86,3 +86,9 @@ def test_escape_and_tokens_equal_python(spark, texts):
 @pytest.mark.parametrize("text", ["On ship, Friday!", "Été_2 l'été", "", "日本語 12"])
 def test_tokens(spark, text):
     assert sorted(each(spark, [text], T.tokens)[0]) == sorted({m.lower() for m in re.findall(r"\w+", text)})
+
+
+def test_rules_hold_on_loops_of_any_length(spark):
+    df = spark.createDataFrame([("Bonjour. " * 100000 + "Fin", "Sujets: " * 100000 + "texte")], "loop string, stacked string")
+    loop, stacked, clean = df.select(T.collapse_loops(F.col("loop")), T.strip_prefixes(F.col("stacked")), T.clean_text(F.concat("stacked", F.lit(" "), "loop"))).first()
+    assert (loop, stacked, clean) == ("Bonjour. Fin", "texte", "texte Bonjour. Fin")
