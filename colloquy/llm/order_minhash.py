@@ -43,11 +43,12 @@ from colloquy.llm._common import U64, chunks, materialize, mix64, partitions, sh
 from colloquy.llm.components import connected_components
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-THRESHOLD, K, ELL, SLOTS, BLOCK = 0.8, 2, 2, 40, 256
+THRESHOLD, K, ELL, SLOTS, BLOCK = 0.8, 2, 2, 40, 1024
 #: Texts of at most so many words have ``slots`` more sketches, of one run each.
 SHORT = 40
-#: Least and most bits of a signature; between them, two to four for each word.
-LEAST_BITS, MOST_BITS = 256, 1 << 15
+#: Least and most bits of a signature; between them, four to eight for each word. Cells hold signatures
+#: folded to ``CELL_BITS``, pairs are then held against the whole ones.
+LEAST_BITS, CELL_BITS, MOST_BITS = 256, 1 << 12, 1 << 16
 #: Pairs of two components that the second round takes from a cell.
 FEW = 4
 #: Runs of a text that are expected under the limit below which a slot looks for its least ones.
@@ -114,17 +115,24 @@ def labelled(found: np.ndarray) -> np.ndarray:
     return mix64(found.astype(U64) + nth.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
+def folded(found: bytes) -> bytes:
+    """A signature folded to ``CELL_BITS`` at most."""
+    if len(found) * 8 <= CELL_BITS:
+        return found
+    return np.bitwise_xor.reduce(np.frombuffer(found, np.uint8).reshape(-1, CELL_BITS // 8)).tobytes()
+
+
 def signature(words: np.ndarray) -> bytes:
     """Parities of the counts of labelled words by hash. Texts of twice the length have twice the bits,
     and the upper half xor the lower is the signature of half the bits."""
     bits = LEAST_BITS
-    while bits < min(2 * len(words), MOST_BITS):
+    while bits < min(4 * len(words), MOST_BITS):
         bits *= 2
     at = (labelled(words) & U64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-_TEXTS = "uid long, doc_id long, h1 long, h2 long, n_words long, words binary, signature binary, keys array<long>"
+_TEXTS = "uid long, doc_id long, h1 long, h2 long, n_words long, words binary, signature binary, whole binary, keys array<long>"
 
 
 def _sketches(k: int, ell: int, slots: int, short_words: int):
@@ -138,6 +146,7 @@ def _sketches(k: int, ell: int, slots: int, short_words: int):
             low = hashes.astype(np.uint32)
             each = [low[e - n : e] for e, n in zip(ends.tolist(), counts.tolist())]
             packed, signatures = [squeeze(x.tobytes()) for x in each], [signature(x) for x in each]
+            whole = [x if len(x) * 8 > CELL_BITS else None for x in signatures]
             few = (counts > 0) & (counts <= short_words)
             single = np.zeros_like(found)
             single[few] = sketch(hashes[np.repeat(few, counts)], counts[few], k, 1, slots).view(np.int64)
@@ -145,7 +154,7 @@ def _sketches(k: int, ell: int, slots: int, short_words: int):
             width = np.where(few, 2 * slots, np.where(counts > 0, slots, 0))
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(width))), pa.int32()), pa.array(both[np.arange(2 * slots) < width[:, None]]))
             plain = [rows.column(c) for c in ("uid", "doc_id", "h1", "h2")]
-            yield pa.RecordBatch.from_arrays([*plain, pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), pa.array(signatures, pa.binary()), keys], ["uid", "doc_id", "h1", "h2", "n_words", "words", "signature", "keys"])
+            yield pa.RecordBatch.from_arrays([*plain, pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), pa.array(map(folded, signatures), pa.binary()), pa.array(whole, pa.binary()), keys], ["uid", "doc_id", "h1", "h2", "n_words", "words", "signature", "whole", "keys"])
 
     return run
 
@@ -303,7 +312,7 @@ def _within_reach(threshold: float):
 
 def _likely(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that signatures leave within reach."""
-    facts = [texts.select(F.col("uid").alias(x), F.col("n_words").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab"]
+    facts = [texts.select(F.col("uid").alias(x), F.col("n_words").alias(f"n{x}"), F.coalesce("whole", "signature").alias(f"s{x}")) for x in "ab"]
     return pairs.join(facts[0], "a").join(facts[1], "b").mapInArrow(_within_reach(threshold), "a long, b long")
 
 
@@ -486,7 +495,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     texts = materialize(rows.mapInArrow(_sketches(k, ell, slots, short), _TEXTS), "sketches")  # numbers of rows are fixed here
     firsts = materialize(texts.groupBy("h1", "h2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("copy_of")), "firsts")
     heads = texts.join(firsts.select(F.col("node").alias("uid")), "uid", "left_semi").where("n_words > 0")
-    heads = materialize(heads.select("uid", "n_words", "signature", "keys"), "heads")
+    heads = materialize(heads.select("uid", "n_words", "signature", "whole", "keys"), "heads")
     slot = heads.select(F.col("uid").alias("doc"), F.explode("keys").alias("key"))  # a slot's number is hashed into its key
     shared = slot.groupBy("key").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialize(slot.join(shared, "key"), "buckets")
@@ -503,7 +512,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     members = materialize(buckets.where(F.col("n") <= block).select("key", "doc").union(rare), "members")
     for few in (FEW, None):
         found = materialize(_between(_named(members, labels), heads, threshold, block, few), "cells")
-        pairs = materialize(found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        fresh = found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(_likely(fresh, heads, threshold), "pairs")
         labels = _relabel(labels, materialize(links_of(pairs, texts, threshold), "links"))
         tested = tested.union(pairs)
         members = members.join(found.where("key is not null").select("key").distinct(), "key", "left_semi")
