@@ -13,7 +13,8 @@ diagonal-wise alignment in a band of ``threshold`` width, after a bag-of-words b
 Candidates are worked off in three rounds, each between components that the rounds before have found.
 First every text meets one text: of the least members of its buckets the one that it shares most
 buckets with. What is left of a bucket is then tested in cells: all members of a bucket of at most
-``block`` texts; the members of larger ones, which share a common passage, are dealt anew by prefix
+``block`` texts; the members of larger ones, which share a common passage, are dealt by length, each to its
+class of lengths and the next, and only those of classes that are still larger are dealt anew by prefix
 filtering: texts of ``threshold`` share a labelled word among their rarest ones, so each of these words
 is a cell (split into blocks where it is large itself) and unlike texts with a common passage no
 longer meet. The second round takes, of each two components in a cell, the ``FEW`` pairs likest by
@@ -35,6 +36,8 @@ null one; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -421,8 +424,7 @@ def _cell_pairs(threshold: float, few: int | None):
 def _cells(members: DataFrame, block: int) -> DataFrame:
     """(key, i, j, side, doc, component) of the cells of all keys that stand in two components: one cell
     for each two blocks of a key's members."""
-    facts = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    facts = facts.select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+    facts = _two_components(members).select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
     dealt = members.join(facts, "key").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks")))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "component")
@@ -436,6 +438,23 @@ def _between(members: DataFrame, texts: DataFrame, threshold: float, block: int,
     return cells.mapInArrow(_cell_pairs(threshold, few), "a long, b long, key long").distinct()
 
 
+def _by_length(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(key, doc, n) of the keys of two components dealt by length: texts of two lengths within the threshold
+    stand in one class or in neighbouring ones, so each text stands in its own and the next; n are there."""
+    width = math.log(1.0001 / threshold)  # a little more than needed, for rounded logarithms
+    own = F.floor(F.log("n_words") / width)
+    open_ = members.join(_two_components(members), "key", "left_semi").join(texts.select(F.col("uid").alias("doc"), "n_words"), "doc")
+    placed = open_.select("doc", "component", "key", F.explode(F.array(own, own + 1)).alias("class"))
+    placed = placed.select("doc", "component", F.xxhash64("key", "class", F.lit(11)).alias("key"))
+    return placed.join(_two_components(placed), "key").select("key", "doc", "n")
+
+
+def _two_components(members: DataFrame) -> DataFrame:
+    """(key, n) of the keys whose members stand in two components or more."""
+    facts = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return facts.where("lo < hi").select("key", "n")
+
+
 def _labelled_words(packed) -> np.ndarray:
     return labelled(np.frombuffer(unsqueeze(packed), np.uint32))
 
@@ -448,12 +467,13 @@ def _rarity(texts: DataFrame) -> np.ndarray:
 
         total = np.zeros(1 << _RARITY_BITS, np.int64)
         for batch in batches:
-            for packed in batch.column("words").to_pylist():
-                total += np.bincount((_labelled_words(packed) >> U64(64 - _RARITY_BITS)).astype(np.int64), minlength=len(total))
+            found = [_labelled_words(packed) for packed in batch.column("words").to_pylist()]
+            if found:
+                total += np.bincount((np.concatenate(found) >> U64(64 - _RARITY_BITS)).astype(np.int64), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
-    # comes back as one row of the table's size
+    # a number for each cell at most comes back, whatever the corpus
     summed = texts.select("words").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(1 << _RARITY_BITS, np.int64)
     found = summed.toPandas()
@@ -504,12 +524,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     best = votes.groupBy("doc").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("best")).select((-F.col("best.p")).alias("a"), F.col("doc").alias("b"))
     tested = materialize(_likely(best, heads, threshold), "pairs")
     labels = _relabel(None, materialize(links_of(tested, texts, threshold), "links"))
-    # members of larger buckets in two components are dealt by their rarest words
-    open_ = _named(buckets.where(F.col("n") > block), labels)
-    unsettled = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    dealt = materialize(open_.join(unsettled, "key", "left_semi").select("doc").distinct(), "dealt")
+    # members of larger buckets in two components meet by length, where those are large too by rarest words
+    lengths = materialize(_by_length(_named(buckets.where(F.col("n") > block), labels), heads, threshold), "lengths")
+    dealt = materialize(lengths.where(F.col("n") > block).select("doc").distinct(), "dealt")
     rare = _rare_words(texts.join(dealt, F.col("uid") == F.col("doc"), "left_semi").select("uid", "words"), threshold)
-    members = materialize(buckets.where(F.col("n") <= block).select("key", "doc").union(rare), "members")
+    small = buckets.where(F.col("n") <= block).select("key", "doc").union(lengths.where(F.col("n") <= block).select("key", "doc"))
+    members = materialize(small.union(rare), "members")
     for few in (FEW, None):
         found = materialize(_between(_named(members, labels), heads, threshold, block, few), "cells")
         fresh = found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
