@@ -10,7 +10,8 @@ no manifest names; ``vacuum`` deletes what no manifest from a given version on n
 
 The manifest is a table with a row for each shard (name, rows, bytes, tier), read and written by
 Spark. A merge works in waves of at most ``WAVE`` shards, so the map from shards to files that is
-broadcast is of a bounded size; rows are dealt by destination file, and each file is written by one task.
+broadcast is of a bounded size; each destination file has a task of its own. Arrivals may be staged: all
+are written in one pass, then committed one after another, so that tiers fill and roll between them.
 
 Edge cases: null and empty texts count no bytes and are kept; rows that repeat are kept; a row longer
 than the target is in a shard that is longer; an empty arrival adds no shard, and a store without
@@ -20,6 +21,7 @@ shards has no rows to read (an error); any columns are carried, since a shard ke
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +36,12 @@ _ENTRY = "shard string, rows long, bytes long, tier int"
 
 
 def _shard_of() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/_shard=[^/]+)/[^/]+$", 1)
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/_batch=[^/]+/_shard=[^/]+)/[^/]+$", 1)
+
+
+def _job_of() -> Column:
+    """The folder of the shards that were written and committed together."""
+    return F.substring_index("shard", "/_shard=", 1)
 
 
 class Conflict(RuntimeError):
@@ -96,11 +103,11 @@ class ShardStore:
     # writing
 
     def _write(self, rows: DataFrame, prefix: str) -> DataFrame:
-        """Write ``rows`` with ``_shard`` as one folder for each shard; returns their entries."""
+        """Write ``rows`` with ``_batch`` and ``_shard`` as one folder for each shard; returns their entries."""
         job = f"{prefix}-{uuid.uuid4().hex[:12]}"
-        rows.write.option("compression", "zstd").partitionBy("_shard").parquet(f"{self.path}/{job}")
+        rows.write.option("compression", "zstd").partitionBy("_batch", "_shard").parquet(f"{self.path}/{job}")
         # the rows just written are counted from their files: one narrow scan
-        back = self.spark.read.option("recursiveFileLookup", "true").schema(rows.drop("_shard").schema).parquet(f"{self.path}/{job}")
+        back = self.spark.read.option("recursiveFileLookup", "true").schema(rows.drop("_batch", "_shard").schema).parquet(f"{self.path}/{job}")
         sized = back.select(_shard_of().alias("shard"), F.coalesce(F.octet_length(F.col("row")[self.text]), F.lit(0)).alias("n"))
         counted = sized.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").cast("long").alias("bytes"))
         return counted.withColumn("tier", self._tier(F.col("bytes")))
@@ -109,13 +116,29 @@ class ShardStore:
         """0 below the smallest size, then one for each factor of ``fanout``; full shards are in the top tier."""
         return F.when(size * 4 >= self.target * 3, F.lit(99)).otherwise(F.greatest(F.lit(0), F.floor(F.log(F.greatest(size, F.lit(1)) / F.lit(float(self.target) / self.fanout**4)) / F.log(F.lit(float(self.fanout)))))).cast("int")
 
-    def append(self, arrivals: DataFrame, batch: Column | None = None) -> int:
-        """Commit arrivals as small shards; ``batch`` is what arrives one after another (all are
-        written in one pass, and committed together as one version)."""
-        name = F.concat_ws("-", *([batch.cast("string")] if batch is not None else []), F.lpad(F.spark_partition_id().cast("string"), 5, "0"))
-        entries = self._write(arrivals.select(F.struct(*arrivals.columns).alias("row"), name.alias("_shard")), "arrive")
-        base = self.version()
-        return self._commit(self.manifest(base).unionByName(entries), base)
+    def stage(self, arrivals: DataFrame, batch: Column | None = None) -> DataFrame:
+        """Write arrivals as small shards, which no version names yet. Returns their entries, with
+        ``batch`` (a whole number, 0 without one) that tells which rows arrive together; a batch is to
+        be committed as a whole."""
+        number = F.lit(0) if batch is None else batch.cast("long")
+        name = F.lpad(F.spark_partition_id().cast("string"), 6, "0")
+        entries = self._write(arrivals.select(F.struct(*arrivals.columns).alias("row"), number.alias("_batch"), name.alias("_shard")), "arrive")
+        return materialize(entries.withColumn("batch", F.regexp_extract("shard", r"_batch=(-?\d+)/", 1).cast("long")), "staged")
+
+    def add(self, entries: DataFrame, tries: int = 10) -> int:
+        """Commit staged shards; where another writer was faster, onto that writer's version."""
+        entries = entries.select("shard", "rows", "bytes", "tier")
+        for left in reversed(range(tries)):
+            base = self.version()
+            try:
+                return self._commit(self.manifest(base).unionByName(entries), base)
+            except Conflict:
+                if not left:
+                    raise
+
+    def append(self, arrivals: DataFrame) -> int:
+        """Commit arrivals as small shards in one version."""
+        return self.add(self.stage(arrivals))
 
     def compact(self) -> int:
         """Merge tiers that are full, in waves; each wave commits a version. Returns the latest."""
@@ -140,7 +163,7 @@ class ShardStore:
 
     def _merge(self, names: list[str], binned: DataFrame, n: int) -> DataFrame:
         joined = self.read(names).join(F.broadcast(binned), "shard").drop("shard")  # of a bounded size: WAVE
-        dealt = joined.repartition(n, "_target").withColumn("_shard", F.lpad(F.col("_target").cast("string"), 6, "0")).drop("_target")
+        dealt = joined.repartitionById(n, F.col("_target").cast("int")).withColumn("_shard", F.lpad(F.col("_target").cast("string"), 6, "0")).drop("_target").withColumn("_batch", F.lit(0))
         return self._write(dealt, "merge")
 
     # reading
@@ -153,7 +176,7 @@ class ShardStore:
     def placed(self, version: int | None = None) -> DataFrame:
         """(shard, row, tier, shard_bytes) of a version. Shards that it does not name are left out by a join."""
         live = self.manifest(version)
-        jobs = [r[0] for r in live.select(F.substring_index("shard", "/", 1)).distinct().collect()]  # one for each write job
+        jobs = [r[0] for r in live.select(_job_of()).distinct().collect()]  # one for each write job
         if not jobs:
             raise LookupError("the store has no shards yet")
         return self.read(jobs).join(live.select("shard", "tier", F.col("bytes").alias("shard_bytes")), "shard")
@@ -162,25 +185,35 @@ class ShardStore:
         """The rows of a version, as they were appended."""
         return self.placed(version).select("row.*")
 
-    def vacuum(self, keep_from: int) -> int:
-        """Delete the shards that no version from ``keep_from`` on names; returns their number."""
-        from functools import reduce
-
-        last = self.version()
-        live = reduce(DataFrame.unionByName, (self.manifest(v) for v in range(keep_from, last + 1))).select("shard").distinct()
-        old = [self.manifest(v).select("shard") for v in range(1, keep_from)]
-        if not old:
+    def vacuum(self, keep_from: int, since: int = 1) -> int:
+        """Delete the shards of versions from ``since`` on that no version from ``keep_from`` on names;
+        returns their number. What was committed together goes in one piece if none of it is live."""
+        if keep_from <= since:
             return 0
+        live, old = self._named(keep_from, self.version()), self._named(since, keep_from - 1)
+        dead = old.join(live, "shard", "left_anti").withColumn("job", _job_of())
+        jobs = live.select(_job_of().alias("job"), F.lit(True).alias("kept")).distinct()
+        dead = dead.join(jobs, "job", "left").withColumn("path", F.when(F.col("kept"), F.col("shard")).otherwise(F.col("job")))
         n = 0
-        for (shard,) in reduce(DataFrame.union, old).distinct().join(live, "shard", "left_anti").toLocalIterator():
-            fs, where = self._fs(f"{self.path}/{shard}")
-            n += fs.delete(where, True)
+        for path, shards in dead.groupBy("path").agg(F.count(F.lit(1))).toLocalIterator():
+            fs, where = self._fs(f"{self.path}/{path}")
+            n += shards if fs.delete(where, True) else 0
         return n
 
+    def _named(self, first: int, last: int) -> DataFrame:
+        """The shards that versions first to last name."""
+        return reduce(DataFrame.unionByName, (self.manifest(v) for v in range(first, last + 1))).select("shard").distinct()
+
 
 def arrive_and_compact(docs: DataFrame, path: str, arrivals: int = 8, doc_id: str = "doc_id", **options) -> ShardStore:
-    """A store of ``docs`` as they would arrive in so many batches, compacted, old shards deleted."""
+    """A store of ``docs`` as they would arrive in so many batches, one after another: each is
+    committed, full tiers are compacted, and what the new version no longer names is deleted."""
     store = ShardStore(docs.sparkSession, path, **options)
-    store.append(docs, F.pmod(F.xxhash64(doc_id), F.lit(arrivals)))
-    store.vacuum(store.compact())
+    staged = store.stage(docs, F.pmod(F.xxhash64(doc_id), F.lit(arrivals)))
+    kept = 1
+    for i in range(arrivals):
+        store.add(staged.where(F.col("batch") == i))
+        last = store.compact()
+        store.vacuum(last, kept)
+        kept = last
     return store

@@ -45,6 +45,30 @@ def test_of_two_writers_one_wins(spark):
     assert one.version() == base + 1
 
 
+def test_a_late_writer_commits_onto_the_other(spark):
+    path = shared_path(spark, "t")
+    one, two = sharding.ShardStore(spark, path), sharding.ShardStore(spark, path)
+    staged = two.stage(make(spark, ["b"]))
+    one.append(make(spark, ["a"]))
+    assert two.add(staged) == 2 and sorted(r.text for r in one.rows().collect()) == ["a", "b"]
+
+
+def test_arrivals_one_after_another_fill_tiers(spark):
+    docs = make(spark, [prose(i, 200) for i in range(160)]).repartition(2)
+    versions, store = [], sharding.ShardStore(spark, shared_path(spark, "t"), target_bytes=60_000)
+    staged = store.stage(docs, docs.doc_id % 8)
+    for i in range(8):
+        store.add(staged.where(f"batch = {i}"))
+        store.compact()
+        versions.append(store.manifest().collect())
+        assert content(store.rows()) == content(docs.where(f"doc_id % 8 <= {i}"))
+        tiers = [s.tier for s in versions[-1]]
+        assert all(tiers.count(t) < 4 or t == 99 for t in tiers)  # no tier is left full
+    assert len({s.tier for v in versions for s in v}) > 1
+    whole = sharding.arrive_and_compact(docs, shared_path(spark, "t"), target_bytes=60_000)
+    assert content(whole.rows()) == content(docs) and whole.version() > 8
+
+
 def test_odd_rows(spark, odd, none):
     store = sharding.arrive_and_compact(odd, shared_path(spark, "t"), target_bytes=5000)
     assert content(store.rows()) == content(odd)
