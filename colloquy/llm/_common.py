@@ -225,3 +225,40 @@ def unsqueeze(data: bytes) -> bytes:
     import zstandard
 
     return zstandard.ZstdDecompressor().decompress(data)
+
+
+def running(rows: DataFrame, group: list[str], order: list[str], amount: str | None, label: str, about: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``before``, the sum of ``amount`` (None: 1) over the rows ahead in their group by
+    ``order``, and ``whole``, the group's sum. Group columns have no nulls. ``about``: more columns of groups.
+
+    Rows are dealt by range of group and order, each task sums its own range as it writes it, and the sums
+    of ranges (one for each group and task) are summed by a window and joined back: no task sees a whole
+    group. Rows that tie in ``order`` come in any order, so it should tell apart all that matters.
+    """
+    import pyarrow as pa
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+    at = None if amount is None else rows.columns.index(amount)
+
+    def add(batches):
+        from pyspark import TaskContext
+
+        band, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            own = np.ones(n, np.int64) if at is None else batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.cumsum(own) + total
+            total = int(upto[-1]) if n else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, band, np.int32)), pa.array(upto - own)], [*batch.schema.names, "_band", "_local"])
+
+    keys = [*group, *order]
+    schema = StructType([*rows.schema.fields, StructField("_band", IntegerType()), StructField("_local", LongType())])
+    placed = materialize(rows.repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(add, schema), label)
+    bands = placed.groupBy(*group, "_band").agg(F.min("_local").alias("_first"), F.sum(F.lit(1) if amount is None else F.col(amount)).alias("_own"))
+    below = Window.partitionBy(*group).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = bands.select(*group, "_band", (F.coalesce(F.sum("_own").over(below), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_own").over(Window.partitionBy(*group)).alias("whole"))
+    if about is not None:
+        shifts = shifts.join(about, group, "left")
+    return placed.join(shifts, [*group, "_band"]).withColumn("before", F.col("_local") + F.col("_shift")).drop("_band", "_local", "_shift")

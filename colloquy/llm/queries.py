@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.llm import fill_middle as _fill_middle
 from colloquy.llm import line_dedup as _line_dedup
+from colloquy.llm import merkle as _merkle
 from colloquy.llm import mixing as _mixing
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -93,6 +95,20 @@ def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.floor(F.col("image_id") / 4).alias("vec_id"), F.pmod("image_id", F.lit(4)).alias("variant"), "image_id", "class_id", "copy_of", "n_links")
 
 
-QUERIES = {"op6_image_copies": op6_image_copies, "op5_lm_score": op5_lm_score, "op4_chat_format": op4_chat_format, "op1_language_id": op1_language_id, "op3_line_dedup": op3_line_dedup, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merkle.audit(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _line_dedup.ORACLE_SQL, "op9_mixing": _mixing.ORACLE_SQL}
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import packing
+
+    return packing.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+QUERIES = {"op6_image_copies": op6_image_copies, "op5_lm_score": op5_lm_score, "op4_chat_format": op4_chat_format, "op1_language_id": op1_language_id, "op3_line_dedup": op3_line_dedup, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op2_fingerprints": op2_fingerprints, "op7_byte_bpe": op7_byte_bpe, "op10_order_minhash": op10_order_minhash, "op11_merkle_manifest": op11_merkle_manifest, "op12_fill_middle": op12_fill_middle, "op13_packing": op13_packing}
+
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _line_dedup.ORACLE_SQL, "op9_mixing": _mixing.ORACLE_SQL, "op11_merkle_manifest": _merkle.ORACLE_SQL, "op12_fill_middle": _fill_middle.ORACLE_SQL}
