@@ -6,12 +6,13 @@ The store is a pair of tables, persons (person_id, name, role, centroid, n_exemp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
 from colloquy.functions import vectors as V
 from colloquy.operators.assignment import assign
+from colloquy.sources.shared import written
 
 TAU_HIGH, TAU_LOW, RING = 0.62, 0.45, 64
 
@@ -102,22 +103,76 @@ def running_centroid(centroid, count, vector):
     return V.l2(total)
 
 
+#: A slug or id that another slug may get as its k-th: what is before the number, and the number.
+_NUMBERED = r"^(.*)-([2-9]|[1-9][0-9]+)$"
+
+
+def _parent(slug: str) -> tuple[Column, Column]:
+    """(slug, number) that an id is made of, if it ends in a number of 2 or more; else nulls."""
+    number = F.regexp_extract(slug, _NUMBERED, 2).try_cast("long")
+    return F.when(number.isNotNull(), F.regexp_extract(slug, _NUMBERED, 1)), number
+
+
+def _settle(table):
+    """One slug's blocked numbers (``before`` null) and the numbers that are the plain slugs of other new
+    names, with how many names of this slug came before the first of these: which of those do keep theirs.
+
+    A number is given away only if this slug has not reached it by then, which the blocked numbers below
+    it bring nearer; so one pass in order of the numbers settles all."""
+    import pyarrow as pa
+
+    table = table.sort_by("k")
+    skipped, won = 0, []
+    for k, before in zip(table.column("k").to_pylist(), table.column("before").to_pylist()):
+        won.append(before is None or before + skipped < k)
+        skipped += won[-1]
+    return table.append_column("won", pa.array(won, pa.bool_())).filter(table.column("before").is_valid())
+
+
 def unique_ids(names: DataFrame, taken: DataFrame, order: str = "ord") -> DataFrame:
-    """person_id for each new name: its slug, or the slug with -2, -3.. where it is taken.
+    """person_id for each new name: its slug, or the slug with the least of -2, -3.. that is free, where
+    ids of ``taken`` and of names before it in ``order`` are not.
 
-    Slugs are numbered among new names and beyond those taken. A name may itself look numbered: as
-    long as a numbered id clashes, the numbering of its slug moves on (a bounded few rounds)."""
+    A slug's names take its free numbers in order. An id has two claimants at most: the slug that it is as
+    it stands, and the one it numbers (``bob-2``: that of "Bob 2", and the second "Bob"). Whether the first
+    name of the former comes before the latter gets so far is settled level by level, from slugs that
+    number no other downwards; there are as many rounds as a contested slug has numbers at its end."""
     rows = names.withColumn("_slug", T.slug(F.col("name")))
-    known = taken.select(F.col("person_id"))
-    base = known.withColumn("_slug", F.regexp_replace("person_id", r"-\d+$", "")).withColumn("_k", F.coalesce(F.regexp_extract("person_id", r"-(\d+)$", 1).try_cast("long"), F.lit(1)))
-    plain = known.select(F.col("person_id").alias("_slug"), F.lit(1).cast("long").alias("_k"))
-    used = base.select("_slug", "_k").union(plain).groupBy("_slug").agg(F.collect_set("_k").alias("_used"))
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_slug").orderBy(order)))
-    joined = ranked.join(used, "_slug", "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<bigint>")))
-    # the _n-th free number of the slug
-    free = F.filter(F.sequence(F.lit(1).cast("long"), F.col("_n") + F.size("_used")), lambda k: ~F.array_contains("_used", k))
-    number = F.element_at(free, F.col("_n"))
-    return joined.select(*names.columns, F.when(number == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), number.cast("string"))).alias("person_id"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_slug").orderBy(order)))
+    slugs = rows.groupBy("_slug").agg(F.min(order).alias("_first"))
+    parent, number = _parent("person_id")
+    ids = taken.select("person_id").distinct()
+    held = ids.select(F.col("person_id").alias("_slug"), F.lit(1).cast("long").alias("_k")).union(ids.select(parent, number).where(parent.isNotNull()))
+    blocks = held.join(slugs.select("_slug"), "_slug", "left_semi")
+    # slugs that are a number of another new slug, and are free so far
+    up, k = _parent("_slug")
+    depth = F.length(F.regexp_extract("_slug", r"((?:-(?:[2-9]|[1-9][0-9]+))*)$", 1)) - F.length(F.regexp_replace(F.regexp_extract("_slug", r"((?:-(?:[2-9]|[1-9][0-9]+))*)$", 1), "-", ""))
+    claims = slugs.select(F.col("_slug").alias("_child"), "_first", up.alias("_slug"), k.alias("_k"), depth.alias("_depth")).where("_slug is not null")
+    claims = claims.join(slugs.select("_slug"), "_slug", "left_semi").join(ids.select(F.col("person_id").alias("_child")), "_child", "left_anti")
+    levels = [r[0] for r in claims.select("_depth").distinct().collect()]  # the numbers at the end of a slug
+    if levels:
+        # how many names of the slug came before the first of the child
+        w = Window.partitionBy("_slug").orderBy("_at", "_own").rowsBetween(Window.unboundedPreceding, 0)
+        line = rows.select("_slug", F.col(order).alias("_at"), F.lit(1).alias("_own"), F.lit(None).cast("string").alias("_child"), F.lit(None).cast("long").alias("_k"))
+        line = line.join(claims.select("_slug").distinct(), "_slug", "left_semi").union(claims.select("_slug", "_first", F.lit(0), "_child", "_k"))
+        met = line.withColumn("_before", F.sum("_own").over(w)).where("_own = 0")
+        claims = written(met.join(claims.select("_child", "_depth"), "_child").select("_slug", "_child", "_depth", F.col("_k").alias("k"), F.col("_before").alias("before")), "claims")
+        for level in sorted(levels):
+            own = claims.where(F.col("_depth") == level)
+            known = blocks.join(own.select("_slug").distinct(), "_slug", "left_semi").select("_slug", F.lit(None).cast("string").alias("_child"), F.lit(level).alias("_depth"), F.col("_k").alias("k"), F.lit(None).cast("long").alias("before"))
+            kinds = "_slug string, _child string, _depth int, k long, before long, won boolean"
+            settled = written(own.select("_slug", "_child", "_depth", "k", "before").union(known).groupBy("_slug").applyInArrow(_settle, kinds), "settled")
+            gone = settled.select(F.when(F.col("won"), F.col("_slug")).otherwise(F.col("_child")).alias("_slug"), F.when(F.col("won"), F.col("k")).otherwise(F.lit(1)).alias("_k"))
+            blocks = blocks.unionByName(gone)
+    # the j-th blocked number k moves all names from the (k - j + 1)-th on by one
+    blocks = blocks.distinct()
+    steps = blocks.select("_slug", (F.col("_k") - F.row_number().over(Window.partitionBy("_slug").orderBy("_k")) + 1).alias("_n"))
+    marked = rows.select(F.struct(*names.columns).alias("_row"), "_slug", "_n", F.lit(0).alias("_step"))
+    both = marked.unionByName(steps.withColumn("_step", F.lit(1)), allowMissingColumns=True)
+    passed = F.sum("_step").over(Window.partitionBy("_slug").orderBy("_n", F.desc("_step")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("_number", F.col("_n") + passed).where("_step = 0")
+    numbered = F.when(F.col("_number") == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), F.col("_number").cast("string")))
+    return placed.select("_row.*", numbered.alias("person_id"))
 
 
 def enroll(persons: DataFrame, exemplars: DataFrame, rows: DataFrame, name: str, role: str = "", ts: float = 0.0) -> tuple[DataFrame, DataFrame]:

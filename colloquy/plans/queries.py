@@ -305,15 +305,20 @@ def exemplar_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.newest(_exemplars(spark, sf_dir), 32).select("person_id", "seq")
 
 
+_ENROLLED = "case when c_custkey % 5 = 0 then 'Customer' when c_custkey % 11 = 0 then 'Customer 2' else 'Customer ' || (c_custkey % 50) end"
+
+
 @query(
-    """with recursive names as (select c_custkey as ord, 'Customer ' || (c_custkey % 50) as name from customer), s as (select *, 'customer-' || (ord % 50) as slug, row_number() over (partition by ord % 50 order by ord) as n from names)
-select ord, name, case when n + k = 1 then slug else slug || '-' || (n + k) end as person_id from (select *, case when slug = 'customer-7' then 2 else 0 end as k from s)"""
+    f"""with recursive names as (select c_custkey as ord, {_ENROLLED} as name, row_number() over (order by c_custkey) as n from customer), s as (select *, replace(lower(name), ' ', '-') as slug from names),
+walk as (select 0::bigint as n, null::bigint as ord, null::varchar as name, null::varchar as id, ['customer-7', 'customer-7-2'] as taken
+  union all select n, ord, name, id, list_append(taken, id) from (
+    select s.n, s.ord, s.name, w.taken, list_filter(list_prepend(s.slug, list_transform(range(2, 3 + len(w.taken)), lambda k: s.slug || '-' || k)), lambda x: not list_contains(w.taken, x))[1] as id from walk w join s on s.n = w.n + 1) z)
+select ord, name, id as person_id from walk where n > 0"""
 )
 def enroll_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids for the customers' names beside a store that has customer-7 and customer-7-2."""
-    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.concat(F.lit("Customer "), F.col("c_custkey") % 50).alias("name"))
+    """Ids for the customers' names, some of which are numbers of others, beside a store of two."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.expr(_ENROLLED).alias("name"))
     taken = spark.range(1).select(F.explode(F.array(F.lit("customer-7"), F.lit("customer-7-2"))).alias("person_id"))
-    # "customer-7" is a whole slug here, not slug "customer" numbered 7
     return identity.unique_ids(names, taken).select("ord", "name", "person_id")
 
 

@@ -146,3 +146,28 @@ def test_random_ids_are_unique(spark):
     df = spark.createDataFrame(list(enumerate(names)), "ord long, name string")
     got = [r.person_id for r in identity.unique_ids(df, spark.createDataFrame([(t,) for t in taken], "person_id string")).collect()]
     assert len(set(got)) == len(got) and not set(got) & set(taken)
+
+
+def one_by_one(names, taken):
+    import re
+
+    taken, out = set(taken), []
+    for name in names:
+        slug = re.sub("[^a-z0-9]+", "-", name.lower()).strip("-") or "person"
+        n = 1
+        while (found := slug if n == 1 else f"{slug}-{n}") in taken:
+            n += 1
+        taken.add(found)
+        out.append(found)
+    return out
+
+
+def test_new_ids_clash_with_each_other(spark):
+    cases = [(["Bob", "Bob", "Bob 2"], []), (["Bob 2", "Bob", "Bob"], []), (["Bob", "Bob 2", "Bob", "Bob", "Bob 2"], ["bob-3"]), (["Bob 2 2", "Bob", "Bob 2", "Bob", "Bob 2"], []), (["Bob 1", "Bob", "Bob", "Bob 02", "Bob 99999999999999999999"], ["bob"]), (["", "?", "Person 2"], [])]
+    draw = random.Random(5)
+    pool = ["Bob", "bob 2", "Bob 3", "Bob 2 2", "Bob-2-2-2", "Bob 4", "Bob 3 2", "Cy"]
+    cases += [([draw.choice(pool[: draw.randrange(2, 9)]) for _ in range(40)], draw.sample(["bob", "bob-2", "bob-3", "bob-2-2", "bob-9", "cy-3"], draw.randrange(4))) for _ in range(6)]
+    for names, taken in cases:
+        df = spark.createDataFrame(list(enumerate(names)), "ord long, name string").repartition(3)
+        got = identity.unique_ids(df, spark.createDataFrame([(t,) for t in taken], "person_id string")).orderBy("ord").collect()
+        assert [r.person_id for r in got] == one_by_one(names, taken), (names, taken)
