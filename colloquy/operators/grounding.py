@@ -2,44 +2,61 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import reports as R
 from colloquy.functions import text as T
 from colloquy.operators.runs import in_range
+from colloquy.sources.shared import written
 
 THRESHOLD = 0.5
 
 
+def _bound(n: Column, m: Column, at: Column) -> Column:
+    """The greatest likeness of sets of ``n`` and ``m`` words whose first common one is the first's word ``at`` (from 0)."""
+    return F.least((n - at) / (m + at), m / n)
+
+
 def best_overlap(citations: DataFrame, utterances: DataFrame, by: list[str], cite_id: str = "cite_id", quote: str = "quote", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``citations`` with ``best``, the greatest Jaccard likeness of its word set to any utterance's.
 
-    Words are ordered by how many word sets of their ``by`` group hold them, rarest first. Two sets of
-    at least ``threshold`` share a word among the first n - ceil(threshold * n) + 1 of either, so these
-    prefixes meet first and settle every quote that is grounded without touching frequent words. Only
-    the quotes left meet all utterances that share any word with them, to tell how far off they are.
-    Utterances of equal word sets are compared once."""
-    quotes = citations.select(*by, F.col(cite_id).alias("_q"), T.tokens(F.col(quote)).alias("_tq")).withColumn("_nq", F.size("_tq"))
-    said = utterances.select(*by, F.array_sort(T.tokens(F.col(text))).alias("_tu")).distinct().where(F.size("_tu") > 0)
-    said = said.withColumns({"_u": F.xxhash64("_tu", *by), "_nu": F.size("_tu")})
-    right = said.select(*by, "_u", "_nu", F.explode("_tu").alias("_w"))
-    counts = right.groupBy(*by, "_w").agg(F.count(F.lit(1)).alias("_df"))
-
-    def prefixes(sets: DataFrame, key: str, words: str, size: str) -> DataFrame:
-        """(by, key, w) of the rarest words of each set; a word that no utterance has comes first."""
-        ranked = sets.select(*by, key, size, F.explode(words).alias("_w")).join(counts, [*by, "_w"], "left")
-        rarest = ranked.groupBy(*by, key, size).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("d"), "_w"))).alias("_o"))
-        first = F.slice("_o", F.lit(1), (F.col(size) - F.ceil(F.col(size) * F.lit(threshold) - 1e-9) + 1).cast("int"))
-        return rarest.select(*by, key, F.explode(first).alias("_f")).select(*by, key, F.col("_f._w").alias("_w"))
-
-    met = prefixes(quotes, "_q", "_tq", "_nq").join(prefixes(said, "_u", "_tu", "_nu"), [*by, "_w"]).select(*by, "_q", "_u").distinct()
-    both = met.join(quotes, [*by, "_q"]).join(said, [*by, "_u"]).withColumn("_both", F.size(F.array_intersect("_tq", "_tu")))
-    near = both.groupBy(*by, "_q").agg(F.max(F.col("_both") / (F.col("_nq") + F.col("_nu") - F.col("_both"))).alias("_near")).where(F.col("_near") >= threshold)
-    left = quotes.join(near, [*by, "_q"], "left_anti").select(*by, "_q", "_nq", F.explode("_tq").alias("_w"))
-    shared = left.join(right, [*by, "_w"]).groupBy(*by, "_q", "_nq", "_u", "_nu").agg(F.count(F.lit(1)).alias("_both"))
-    far = shared.groupBy(*by, "_q").agg(F.max(F.col("_both") / (F.col("_nq") + F.col("_nu") - F.col("_both"))).alias("_near"))
-    best = near.unionByName(far).select(*by, F.col("_q").alias(cite_id), F.col("_near").alias("best"))
+    Utterances are read once and kept as the words that some quote of their group has and their number of
+    words; equal ones are one. A quote's words are tried from the rarest on. A first common word at a place
+    bounds the likeness by the words still to come and the two sizes, so each round tries the places and
+    sizes that can reach its level: first ``threshold``, then a half and a quarter of it, then anything. A
+    quote whose best has reached the level is settled, since all that is better was tried; only the others
+    go on, and only to what can beat their best so far. So words of every utterance meet few of them."""
+    key = [*by, "_q"]
+    asked = written(citations.select(*by, F.col(cite_id).alias("_q"), T.tokens(F.col(quote)).alias("_tq")).where(F.size("_tq") > 0), "quotes")
+    wanted = written(asked.select(*by, F.explode("_tq").alias("_w")).distinct(), "words")
+    said = utterances.select(*by, F.array_sort(T.tokens(F.col(text))).alias("_t"))
+    words = said.select(*by, F.xxhash64("_t").alias("_u"), F.size("_t").alias("_m"), F.explode("_t").alias("_w"))
+    lines = written(words.join(wanted, [*by, "_w"], "left_semi").groupBy(*by, "_u", "_m").agg(F.collect_set("_w").alias("_words")), "lines")
+    index = lines.select(*by, "_u", "_m", F.explode("_words").alias("_w"))
+    counts = index.groupBy(*by, "_w").agg(F.count(F.lit(1)).alias("_df"))
+    ranked = asked.select(*key, F.explode("_tq").alias("_w")).join(counts, [*by, "_w"], "left").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("d"), "_w"))).alias("_r"))
+    left = written(ranked.select(*key, F.transform("_r", lambda x: x["_w"]).alias("_tq"), F.size("_r").alias("_n"), F.lit(0.0).alias("_best")), "ranked")
+    settled, before = [], None
+    for level in (threshold, threshold / 2, threshold / 4, 0.0):
+        reach = lambda t: F.col("_n") - F.ceil(F.col("_n") * t - 1e-9) + (1 if t else 0)
+        tries = left.select(*key, "_n", "_best", F.posexplode("_tq").alias("_at", "_w")).where(F.col("_at") < reach(level))
+        met = tries.join(index, [*by, "_w"]).withColumn("_most", _bound(F.col("_n"), F.col("_m"), F.col("_at")))
+        met = met.where((F.col("_most") > F.col("_best")) & (F.col("_most") >= level - 1e-9))
+        if before is not None:  # what an earlier round has tried
+            met = met.where(~((F.col("_at") < reach(before)) & (F.col("_most") >= before - 1e-9)))
+        pairs = met.select(*key, "_u", "_m").distinct()
+        both = pairs.join(lines, [*by, "_u", "_m"]).join(left.select(*key, "_tq", "_n"), key).withColumn("_both", F.size(F.array_intersect("_tq", "_words")))
+        found = both.groupBy(*key).agg(F.max(F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).alias("_new"))
+        now = left.join(found, key, "left").withColumn("_best", F.greatest("_best", F.coalesce("_new", F.lit(0.0)))).drop("_new")
+        now = written(now, "tried") if level else now
+        settled.append(now.where(F.col("_best") >= level).select(*by, F.col("_q").alias(cite_id), F.col("_best").alias("best")))
+        left, before = now.where(F.col("_best") < level), level
+        if level and not left.limit(1).count():
+            break
+    best = reduce(DataFrame.unionByName, settled)
     return citations.join(best, [*by, cite_id], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
 
 
@@ -67,7 +84,9 @@ def _late(t: Column, duration: Column) -> Column:
 
 
 def _timed(reports: DataFrame, durations: DataFrame) -> DataFrame:
-    return reports.join(durations, "meeting_id", "left").withColumn("duration", F.coalesce("duration", F.lit(0.0)))
+    """Reports with their durations, written once, since every check reads them."""
+    timed = reports.join(durations, "meeting_id", "left").withColumn("duration", F.coalesce("duration", F.lit(0.0)))
+    return written(timed, "reports")
 
 
 def _citations(timed: DataFrame, utterances: DataFrame, threshold: float) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from colloquy.functions import reports as R
 from colloquy.functions import text as T
 from colloquy.functions import vectors as V
-from colloquy.operators import audit, clustering, dsp, grounding, identity, render, runs, speakers, stages
+from colloquy.operators import audit, clustering, diarize, dsp, grounding, identity, render, runs, speakers, stages
 from colloquy.operators.assignment import assign
-from colloquy.plans.views import FRAG_SQL, HOUR, SEG_SQL, UTT_SQL, frag, seg, table, utt, vec
+from colloquy.plans.views import FRAG_SQL, HOUR, SEG_SQL, SOUND_SQL, UTT_SQL, frag, seg, sound, table, utt, vec
 from colloquy.streaming import sessions as streams
 
 QUERIES: dict = {}
@@ -200,17 +200,30 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(names, "meeting_id").select("meeting_id", F.col("report").withField("speakers", F.col("s")).alias("report"))
 
 
+_OUTSIDE = "(t is not null and d <> 0 and not (t between 0 and d + 1))"
+_ISSUES_SQL = f"""m as (select meeting_id, arg_max(t1, seq) as d, arg_min(text, seq) as first, arg_min(speaker, seq) as opener, list(distinct speaker) as known from utt group by meeting_id),
+c as (select meeting_id, d, known, 0 as idx, first as quote, opener as who, 0 as t from m union all select meeting_id, d, known, 1, 'zzz qqq', 'nobody', null from m),
+w as (select meeting_id, seq, {_TOKENS_SQL.format("text")} as u from utt), q as (select *, {_TOKENS_SQL.format("quote")} as tq from c),
+o as (select q.meeting_id, q.idx, max(len(list_intersect(tq, u)) / nullif(len(tq) + len(u) - len(list_intersect(tq, u)), 0)) as best from q join w using (meeting_id) group by all),
+b as (select q.*, coalesce(o.best, 0) as best from q left join o using (meeting_id, idx)),
+late as (select meeting_id, idx, d, t from (select meeting_id, d, 0 as idx, 5 as t from m union all select meeting_id, d, 1, 99999 from m) where {_OUTSIDE}),
+issues as (select meeting_id, 0 as kind_ord, idx, 0 as check_ord, 'citation[' || idx || '] not grounded in transcript (overlap=' || printf('%.2f', round_even(best, 2)) || ')' as issue, best as value from b where best < 0.5
+  union all select meeting_id, 0, idx, 1, 'citation[' || idx || '] references unknown speaker ' || chr(39) || who || chr(39), null from b where who <> '' and not list_contains(known, who)
+  union all select meeting_id, 0, idx, 2, 'citation[' || idx || '] timestamp ' || t || ' outside [0, ' || round_even(d, 0)::bigint || ']', d from b where {_OUTSIDE}
+  union all select meeting_id, 1, idx, 0, 'chapitre[' || idx || '] timestamp ' || t || ' outside [0, ' || round_even(d, 0)::bigint || ']', d from late
+  union all select meeting_id, 3, 0, 0, 'action[0] is empty', null from m)"""
+
+
 @query(
-    f"""with {UTT_SQL}, m as (select meeting_id, arg_max(t1, seq) as d, arg_min(text, seq) as first from utt group by meeting_id)
-select meeting_id, false as ok, 3 + 1 + case when d + 1 < 99999 and d > 0 then 1 else 0 end + case when d > 0 and d + 1 < 5 then 1 else 0 end - case when len({_TOKENS_SQL.format("first")}) > 0 then 1 else 0 end as n_issues,
-  case when len({_TOKENS_SQL.format("first")}) > 0 then 0.5 else 0 end::double as grounding_score from m"""
+    f"""with {UTT_SQL}, {_ISSUES_SQL}, n as (select meeting_id, count(*) as n from issues group by meeting_id), g as (select meeting_id, avg((best >= 0.5)::int) as score from b group by meeting_id)
+select m.meeting_id, n.n is null as ok, coalesce(n.n, 0) as n_issues, score as grounding_score from m left join n using (meeting_id) join g using (meeting_id)"""
 )
 def verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = utt(spark, sf_dir)
     return grounding.verify(_reports(spark, sf_dir), rows, runs.durations(rows))
 
 
-@query()
+@query(f"with {UTT_SQL}, {_ISSUES_SQL} select meeting_id, kind_ord, idx, check_ord, issue, round(value, 6) as value from issues")
 def report_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = utt(spark, sf_dir)
     return grounding.issues(_reports(spark, sf_dir), rows, runs.durations(rows)).withColumn("value", r6(F.col("value")))
@@ -405,6 +418,34 @@ def audit_egress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.counts(files)
 
 
+_VOICE = {"rate": 800, "quantile": 0.2, "scale": 3.0, "min_s": 0.05}
+
+
+@query(
+    f"""with {SOUND_SQL}, tot as (select recording_id, max(p) + 1 as total from snd group by recording_id),
+e as (select recording_id, p // 8 - k as frame, sqrt(sum(x * x) / 24) as energy from snd join tot using (recording_id), range(3) r(k) where p // 8 >= k and (p // 8 - k) * 8 + 24 <= total group by all),
+r as (select *, row_number() over (partition by recording_id order by energy) - 1 as rk, count(*) over (partition by recording_id) as n from e), t as (select recording_id, energy * 3.0::double as lim from r where rk = least(n - 1, floor(n * 0.2::double)::bigint)),
+v as (select e.recording_id, frame, case when frame - lag(frame) over (partition by e.recording_id order by frame) <= 21 then 0 else 1 end as fresh from e join t using (recording_id) where energy >= lim),
+g as (select *, sum(fresh) over (partition by recording_id order by frame) as run from v),
+s as (select recording_id, min(frame) * 0.01::double as t0, max(frame) * 0.01::double + 0.03::double as t1 from g group by recording_id, run),
+k as (select *, row_number() over (partition by recording_id order by t0) - 1 as idx, floor(t0 * 800)::bigint as a, floor(t1 * 800)::bigint as b from s where t1 - t0 >= 0.05::double)
+select k.recording_id, idx, round(t0, 6) as t0, round(t1, 6) as t1, count(p) as n_samples, count(p) >= 200 as usable, round(case when count(p) >= 200 then sqrt(sum(x * x) / count(p)) else 0 end, 6) as rms
+from k left join snd on snd.recording_id = k.recording_id and p >= a and p < b group by all"""
+)
+def diarize_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voiced segments of sound with the samples they cut out of stored frames."""
+    found = diarize.segments_with_sound(sound(spark, sf_dir), diarize.energy_activity(**_VOICE), _VOICE["rate"])
+    return found.select("recording_id", "idx", r6(F.col("t0")).alias("t0"), r6(F.col("t1")).alias("t1"), "n_samples", "usable", r6(dsp.rms(F.col("signal"))).alias("rms"))
+
+
+@query()
+def diarize_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of clustered segments; clustering has no SQL."""
+    embed = lambda rows: dsp.embed(rows, frame=64, hop=32, lags=(1, 2, 4, 8)).withColumnRenamed("features", "embedding")
+    found = diarize.diarize(sound(spark, sf_dir), diarize.energy_activity(**_VOICE), embed, _VOICE["rate"])
+    return found.turns.select("recording_id", "label", r6(F.col("t0")).alias("t0"), r6(F.col("t1")).alias("t1"), "n_segs")
+
+
 @query(
     """with e as (select user_id as recording_id, value as energy, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events),
 r as (select *, row_number() over (partition by recording_id order by energy) - 1 as rk, count(*) over (partition by recording_id) as n from e), t as (select recording_id, energy * 1.4::double as lim from r where rk = least(n - 1, floor(n * 0.5)::bigint)),

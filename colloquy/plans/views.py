@@ -55,3 +55,17 @@ FRAG_SQL = _timed_sql("select conv_id as meeting_id, turn, role as speaker, unne
 UTT_SQL = _timed_sql("select conv_id as meeting_id, turn, role as speaker, text, 0 as frag from conversations", "utt")
 SEG_SQL = f"""seg as (select user_id as recording_id, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, epoch_us(ts) - {EPOCH} as t0,
   epoch_us(ts) - {EPOCH} + round(value * 100)::bigint * 10000 as t1, case event_type when 'error' then -1 when 'click' then 0 when 'purchase' then 1 when 'signup' then 2 else 3 end as label from events)"""
+
+
+def sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of 200 embeddings as sound of 800 Hz in frames of 2 seconds; 6 of every 17 embeddings are faint,
+    but for one of them."""
+    rows = vec(spark, sf_dir).withColumn("_at", F.col("vec_id") % 200)
+    heard = (F.col("_at") % 17 < 11) | (F.col("_at") % 17 == 14)
+    loud = rows.withColumn("_x", F.transform("embedding", lambda v: v * F.when(heard, 1.0).otherwise(0.01)))
+    grouped = loud.groupBy(F.floor(F.col("vec_id") / 200).alias("recording_id"), F.floor(F.col("_at") / 25).alias("_frame")).agg(F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_p"))
+    return grouped.select("recording_id", (F.col("_frame") * 1600).alias("start"), F.flatten(F.transform("_p", lambda p: p["_x"])).alias("signal"))
+
+
+SOUND_SQL = """snd as (select vec_id // 200 as recording_id, (vec_id % 200) * 64 + generate_subscripts(embedding, 1) - 1 as p,
+  unnest(embedding::double[]) * case when (vec_id % 200) % 17 < 11 or (vec_id % 200) % 17 = 14 then 1.0::double else 0.01::double end as x from embeddings)"""

@@ -164,3 +164,29 @@ def test_votes(spark):
     data = [(1, 0, 0.0, 1.0, "A", "salut Émile"), (1, 1, 1.0, 2.0, "B", "oui"), (1, 2, 2.0, 3.0, "A", "bien"), (1, 3, 3.0, 4.0, "B", "ok émile")]
     got = {(r.name, r.speaker): (round(r.votes, 6), round(r.share, 6)) for r in S.neighbour_votes(spark.createDataFrame(data, UTT), {"Emile": "émile", "Zoe": "zoe"}).collect()}
     assert got == {("Emile", "A"): (0.6, 1.0), ("Emile", "B"): (1.0, 1.0), ("Zoe", "A"): (0.0, 0.0), ("Zoe", "B"): (0.0, 0.0)}
+
+
+def test_best_overlap_equals_all_pairs(spark):
+    import random
+    import re
+
+    draw = random.Random(11)
+    common, rare = [f"le{i}" for i in range(6)], [f"mot{i}" for i in range(120)]
+    say = lambda n: " ".join(draw.choice(common if draw.random() < 0.5 else rare) for _ in range(n))
+    lines = [(draw.randrange(3), say(draw.randrange(1, 16))) for _ in range(300)] + [(0, ""), (1, None)]
+    quotes = []
+    for i in range(90):
+        g, text = draw.choice(lines[:300])
+        words = text.split()
+        words = draw.sample(words, draw.randrange(len(words) + 1)) + [f"neu{draw.randrange(50)}" for _ in range(draw.randrange(12))]
+        quotes.append((draw.choice([g, g, (g + 1) % 3]), i, " ".join(words)))
+    words = lambda t: set(re.findall(r"\w+", (t or "").lower()))
+    want = {}
+    for g, i, q in quotes:
+        a = words(q)
+        want[i] = max([len(a & words(t)) / len(a | words(t)) for h, t in lines if h == g and a | words(t)], default=0.0)
+    found = grounding.best_overlap(spark.createDataFrame(quotes, "g long, cite_id long, quote string"), spark.createDataFrame(lines, "g long, text string"), ["g"])
+    got = {r.cite_id: r.best for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    levels = [sum(low <= b < high for b in want.values()) for low, high in ((0.5, 2), (0.25, 0.5), (0.125, 0.25), (0, 0.125))]
+    assert all(levels), levels
