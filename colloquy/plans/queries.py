@@ -14,8 +14,9 @@ from colloquy.functions import text as T
 from colloquy.functions import vectors as V
 from colloquy.operators import audit, clustering, diarize, dsp, grounding, identity, render, runs, speakers, stages
 from colloquy.operators.assignment import assign
-from colloquy.plans.views import FRAG_SQL, HOUR, SEG_SQL, SOUND_SQL, UTT_SQL, frag, seg, sound, table, utt, vec
+from colloquy.plans.views import EPOCH, FRAG_SQL, HOUR, SEG_SQL, SOUND_SQL, UTT_SQL, frag, seg, seg_rows, sound, table, utt, vec
 from colloquy.streaming import sessions as streams
+from colloquy.streaming import turns
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -491,6 +492,26 @@ def session_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("stop"), "n", r6(F.col("total")).alias("total"))
 
 
+@query(
+    f"""with recursive {SEG_SQL}, w as (select (epoch_us(max(ts)) // 1000 - 3600000) * 1000 - {EPOCH} as w from events),
+s as (select seg.*, row_number() over (partition by recording_id order by idx) as n from seg, w where label >= 0 and (t0 + {EPOCH}) // 1000 * 1000 - {EPOCH} < w),
+walk as (select recording_id, n, label, t0, t1, t0 as turn_t0, 1 as turn from s where n = 1
+  union all select s.recording_id, s.n, s.label, s.t0, s.t1,
+    case when s.label = k.label and s.t0 - k.t1 <= {24 * HOUR} and s.t1 - k.turn_t0 <= {24 * HOUR} then k.turn_t0 else s.t0 end,
+    case when s.label = k.label and s.t0 - k.t1 <= {24 * HOUR} and s.t1 - k.turn_t0 <= {24 * HOUR} then k.turn else k.turn + 1 end
+  from walk k join s on s.recording_id = k.recording_id and s.n = k.n + 1),
+t as (select recording_id, label, min(t0) as t0, arg_max(t1, n) as t1, count(*) as n_segs, turn, max(turn) over (partition by recording_id) as latest from walk group by recording_id, turn, label)
+select recording_id, label, t0, t1, n_segs from t, w where turn < latest or t1 + {24 * HOUR} < w"""
+)
+def stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the events as a stream that have closed when all has been read."""
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")  # a pattern may name a file
+    rows = seg_rows(events).select("recording_id", (F.col("t0") + EPOCH).alias("t0"), (F.col("t1") + EPOCH).alias("t1"), "label", F.col("event_id").alias("ord"))
+    found = turns.run_to_table(turns.ordered_turns(rows, 24 * HOUR, 24 * HOUR), "turns")
+    return found.select("recording_id", "label", (F.col("t0") - EPOCH).alias("t0"), (F.col("t1") - EPOCH).alias("t1"), "n_segs")
+
+
 @query("select user_id, epoch_us(time_bucket(interval 30 second, ts)) as start, count(*) as n from events group by all")
 def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling frames of 30 seconds."""

@@ -32,12 +32,17 @@ def utt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timed(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("meeting_id"), "turn", F.col("role").alias("speaker"), F.lit(0).alias("frag"), "text"))
 
 
+def seg_rows(events: DataFrame) -> DataFrame:
+    """Each event as a labelled segment in microseconds."""
+    rows = events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH)
+    label = F.when(F.col("event_type") == "error", -1).when(F.col("event_type") == "click", 0).when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).otherwise(3)
+    return rows.select(F.col("user_id").alias("recording_id"), "ts", "event_id", F.col("at").alias("t0"), (F.col("at") + F.round(F.col("value") * 100).cast("long") * 10000).alias("t1"), label.alias("label"))
+
+
 def seg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled segments in microseconds from events."""
-    rows = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH)
-    label = F.when(F.col("event_type") == "error", -1).when(F.col("event_type") == "click", 0).when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).otherwise(3)
-    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return rows.select(F.col("user_id").alias("recording_id"), idx.cast("long").alias("idx"), F.col("at").alias("t0"), (F.col("at") + F.round(F.col("value") * 100).cast("long") * 10000).alias("t1"), label.alias("label"))
+    idx = F.row_number().over(Window.partitionBy("recording_id").orderBy("ts", "event_id")) - 1
+    return seg_rows(table(spark, sf_dir, "events")).select("recording_id", idx.cast("long").alias("idx"), "t0", "t1", "label")
 
 
 def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
