@@ -32,66 +32,120 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm._common import materialize, pack, running, small_batches, unpack
+from colloquy.llm._common import chunks, materialize, pack, running, small_batches, unpack
 
 WINDOW, PACKET, END, SEED = 2048, 256, 1, "pack-1"
-#: Words that a task keeps the ids of, and the longest that is kept.
-_KEPT_WORDS, _KEPT_CHARS = 1 << 19, 64
+#: Words and characters of words beyond which a task forgets the ids of all words and learns them anew.
+_KEPT_WORDS, _KEPT_CHARS = 1 << 19, 1 << 25
+#: Text that a task works on at once, but for single longer ones.
+_CHUNK_BYTES = 4 << 20
 _ENCODED = "row long, doc_id long, source string, n long, mark long, ids binary"
 
 
-def _encode(path: str, end: int):
-    def run(batches):
+#: Words whose ids are worked out without the tokenizer's own text steps: printable ASCII and the letters of
+#: Latin-1, which normalisation only lowers, letter by letter, and which white space can't part.
+_SIMPLE = r"[!-~À-ÖØ-öø-ÿ]+"
+#: What the tokenizer splits lower-case words of this kind into.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+"
+
+
+class _Words(dict):
+    """Numbers of words; those met for the first time are listed in ``fresh``."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
+class _Encoder:
+    """Ids of texts by way of their words. The ids of all known words lie end to end in ``flat``."""
+
+    def __init__(self, path: str, end: int):
         import os
         import re
-        from zlib import crc32
-
-        import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        whole, split = Tokenizer.from_file(path), re.compile("[\t-\r ]+").split
-        number: dict[str, int] = {}
-        flat, start = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
-
-        def learn(words):
-            """Adds the ids of new words to the flat table."""
-            nonlocal flat, start
-            found = [x.ids for x in whole.encode_batch_fast(words, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            used, total = int(start[-1]), int(sizes.sum())
-            if used + total > len(flat):
-                flat = np.concatenate((flat[:used], np.zeros(max(used, total), np.uint32)))
-            flat[used : used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-            start = np.concatenate((start, used + np.cumsum(sizes)))
-            for word in words:
-                number[word] = len(number)
-
-        def ids(text):
-            nonlocal flat, start
-            words = split(text)
-            new = [w for w in dict.fromkeys(words) if w not in number]
-            if new:
-                if len(number) + len(new) > _KEPT_WORDS or max(map(len, new)) > _KEPT_CHARS:
-                    number.clear()
-                    flat, start, new = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), list(dict.fromkeys(words))
-                learn(new)
-            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            n = start[at + 1] - start[at]
-            stop = np.cumsum(n)
-            out = np.empty(int(stop[-1]) + 1, np.uint32)
-            out[:-1] = flat[np.repeat(start[at] - (stop - n), n) + np.arange(int(stop[-1]))]
-            out[-1] = end
-            return out
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                made = [ids(t or "") for t in part.column("text").to_pylist()]
-                n = pa.array([len(x) for x in made], pa.int64())
-                mark = pa.array([crc32(x.astype("<u4").tobytes()) for x in made], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "source")), n, mark, pa.array(map(pack, made), pa.binary())], ["row", "doc_id", "source", "n", "mark", "ids"])
+        self.whole, self.end = Tokenizer.from_file(path), end
+        self.model = self.whole.model
+        self.simple, self.pieces = re.compile(_SIMPLE).fullmatch, re.compile(_SPLIT).findall
+        # bytes as the model's vocabulary spells them: printable Latin-1 as it is, others from U+0100 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = {b: i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        spelt = {b: chr(b if b in plain else 256 + others[b]) for b in range(256)}
+        self.bytes = {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.chars, self.flat, self.start = _Words(), 0, np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+        self.known.clear()
+
+    def piece(self, piece: str) -> tuple[int, ...]:
+        found = self.known.get(piece)
+        if found is None:
+            found = self.known[piece] = tuple([t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.bytes))])
+        return found
+
+    def learn(self) -> None:
+        """Adds the ids of fresh words."""
+        made, slow = [], []
+        for i, word in enumerate(self.number.fresh):
+            if self.simple(word) and "<|" not in word:
+                low = word.lower()
+                made.append(self.piece(low) if low.isalpha() else tuple([i for p in self.pieces(low) for i in self.piece(p)]))
+            else:
+                made.append(())
+                slow.append(i)
+        if slow:
+            for i, x in zip(slow, self.whole.encode_batch_fast([self.number.fresh[i] for i in slow], add_special_tokens=False)):
+                made[i] = x.ids
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        used, total = int(self.start[-1]), int(sizes.sum())
+        if used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat[:used], np.zeros(max(used, total), np.uint32)))
+        self.flat[used : used + total] = np.fromiter((i for x in made for i in x), np.uint32, total)
+        self.start = np.concatenate((self.start, used + np.cumsum(sizes)))
+        self.chars += sum(map(len, self.number.fresh))
+        self.number.fresh.clear()
+
+    def __call__(self, texts) -> list[np.ndarray]:
+        """Ids of each text of an Arrow column. Each distinct word of it is looked up once."""
+        import pyarrow.compute as pc
+
+        if len(self.number) > _KEPT_WORDS or self.chars > _KEPT_CHARS:
+            self.forget()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        numbers = np.fromiter(map(self.number.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(words.dictionary))
+        if self.number.fresh:
+            self.learn()
+        at = numbers[words.indices.to_numpy()]
+        n = self.start[at + 1] - self.start[at]
+        stop = np.concatenate(([0], np.cumsum(n)))
+        ids = self.flat[np.repeat(self.start[at] - stop[:-1], n) + np.arange(int(stop[-1]))]
+        offsets = split.offsets.to_numpy()
+        cuts = stop[offsets - offsets[0]]
+        return [np.append(ids[a:b], np.uint32(self.end)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def _encode(path: str, end: int):
+    def run(batches):
+        from zlib import crc32
+
+        import pyarrow as pa
+
+        encode = _Encoder(path, end)
+        for part, _, _ in chunks(batches, limit=_CHUNK_BYTES):
+            made = encode(part.column("text"))
+            n = pa.array([len(x) for x in made], pa.int64())
+            mark = pa.array([crc32(x.astype("<u4").tobytes()) for x in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "source")), n, mark, pa.array(map(pack, made), pa.binary())], ["row", "doc_id", "source", "n", "mark", "ids"])
 
     return run
 
