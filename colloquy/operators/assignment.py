@@ -53,15 +53,21 @@ def greedy(scores: np.ndarray, least: float) -> list[tuple[int, int]]:
 
 
 def assign(pairs: DataFrame, group: str, left: str, right: str, score: str, method: str = "optimal", least: float = float("-inf")) -> DataFrame:
-    """(group, left, right, score) of the assigned pairs. A group is the matrix of one recording."""
+    """(group, left, right, score) of the assigned pairs. A group is the matrix of one recording; a pair that
+    stands several times counts with its greatest score, and pairs that don't stand are not assigned."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (pairs.schema[c] for c in (group, left, right, score)))
 
     def solve(table):
         import pandas as pd
 
         frame = table.to_pandas()
-        grid = frame.pivot(index=left, columns=right, values=score).sort_index().sort_index(axis=1)
-        found = optimal(grid.to_numpy(float)) if method == "optimal" else greedy(grid.to_numpy(float), least)
+        grid = frame.pivot_table(index=left, columns=right, values=score, aggfunc="max").sort_index().sort_index(axis=1)
+        scores = grid.to_numpy(float)
+        stands = ~np.isnan(scores)
+        # so low that a pair that doesn't stand is taken only if there is no other way
+        low = np.nanmin(scores) - (np.nanmax(scores) - np.nanmin(scores) + 1) * (min(scores.shape) + 1)
+        filled = np.where(stands, scores, low)
+        found = [(i, j) for i, j in (optimal(filled) if method == "optimal" else greedy(filled, max(least, np.nanmin(scores)))) if stands[i, j]]
         rows = [(frame[group].iloc[0], grid.index[i], grid.columns[j], grid.iat[i, j]) for i, j in found]
         import pyarrow as pa
 

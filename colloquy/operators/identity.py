@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import text as T
 from colloquy.functions import vectors as V
 from colloquy.operators.assignment import assign
+from colloquy.operators.matching import all_matches, top_matches
 from colloquy.sources.shared import written
 
 TAU_HIGH, TAU_LOW, RING = 0.62, 0.45, 64
@@ -35,22 +36,27 @@ def recentred(rows: DataFrame, mean: DataFrame, vector: str) -> DataFrame:
 
 
 def match_matrix(clusters: DataFrame, persons: DataFrame) -> DataFrame:
-    """(recording_id, label, person_id, score): cosine of every cluster with every person. Each
-    recording is matched against all known persons; blocks of persons meet all clusters, which is the
-    work asked for."""
-    few = persons.select("person_id", F.col("centroid").alias("_p"))
-    return clusters.join(few, F.lit(True)).select("recording_id", "label", "person_id", V.dot(F.col("centroid"), F.col("_p")).alias("score"))
+    """(recording_id, label, person_id, score): cosine of every cluster with every known person."""
+    return all_matches(clusters, persons)
 
 
 def mode_of(score, high: float = TAU_HIGH, low: float = TAU_LOW):
     return F.when(score >= high, "auto").when(score >= low, "suggest").otherwise("unknown")
 
 
-def identify(clusters: DataFrame, persons: DataFrame, high: float = TAU_HIGH, low: float = TAU_LOW, method: str = "optimal") -> DataFrame:
+def identify(clusters: DataFrame, persons: DataFrame, high: float = TAU_HIGH, low: float = TAU_LOW, method: str = "optimal", mean: DataFrame | None = None) -> DataFrame:
     """(recording_id, label, person_id, name, confidence, mode). Optimal assignment comes before the
     thresholds: a pair under ``low`` keeps its score and loses its person. Greedy assignment takes only
-    pairs of ``low`` or more. Clusters left over have score 0."""
-    found = assign(match_matrix(clusters, persons), "recording_id", "label", "person_id", "score", method, low)
+    pairs of ``low`` or more. Clusters left over have score 0. ``mean``: the global mean (one row), which
+    both sides are centred on first.
+
+    Of c clusters no more than c - 1 persons go to others, so each cluster's c best persons are enough for
+    an assignment of greatest total, and for the greedy one; a task sees c * c pairs, however many persons
+    there are."""
+    if mean is not None:
+        clusters, persons = recentred(clusters, mean, "centroid"), recentred(persons.where(F.size("centroid") > 0), mean, "centroid")
+    counted = clusters.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("recording_id")))
+    found = assign(top_matches(counted, persons, F.col("_c")), "recording_id", "label", "person_id", "score", method, low)
     joined = clusters.select("recording_id", "label").join(found, ["recording_id", "label"], "left")
     score = F.coalesce("score", F.lit(0.0))
     mode = mode_of(score, high, low)

@@ -14,6 +14,7 @@ from colloquy.functions import text as T
 from colloquy.functions import vectors as V
 from colloquy.operators import audit, clustering, diarize, dsp, grounding, identity, render, runs, speakers, stages
 from colloquy.operators.assignment import assign
+from colloquy.operators.matching import top_matches
 from colloquy.plans.views import EPOCH, FRAG_SQL, HOUR, SEG_SQL, SOUND_SQL, UTT_SQL, frag, seg, seg_rows, sound, table, utt, vec
 from colloquy.streaming import sessions as streams
 from colloquy.streaming import turns
@@ -277,6 +278,29 @@ def match_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.match_matrix(*_clusters_and_persons(spark, sf_dir)).withColumn("score", r6(F.col("score")))
 
 
+@query(f"with {_MATCH_SQL}, k as (select *, row_number() over (partition by recording_id, label order by score desc, person_id) as n from s) select recording_id, label, person_id, round(score, 6) as score from k where n <= 3")
+def match_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best persons of each cluster."""
+    return top_matches(*_clusters_and_persons(spark, sf_dir), 3).withColumn("score", r6(F.col("score")))
+
+
+_CENTRED_SQL = f"""un as (select vec_id // 50 as recording_id, vec_id, label, {_UNIT_SQL} as e from embeddings where label >= 0),
+cx as (select recording_id, vec_id, label, unnest(e) as v, generate_subscripts(e, 1) as i from un), cm as (select recording_id, i, avg(v) as m from cx group by all),
+cd as (select recording_id, vec_id, label, i, v - m as v from cx join cm using (recording_id, i)), cn as (select vec_id, sqrt(sum(v * v)) + 1e-9 as n from cd group by vec_id),
+cu as (select recording_id, vec_id, label, list(v / n order by i) as e from cd join cn using (vec_id) group by all)"""
+
+
+@query(
+    f"""with {_CENTRED_SQL}, p as (select a.recording_id, a.vec_id, a.label as own, b.label as other, avg(1 - list_dot_product(a.e, b.e)) as d from cu a join cu b on a.recording_id = b.recording_id and a.vec_id <> b.vec_id group by all),
+s as (select recording_id, vec_id, max(case when own = other then d end) as w, min(case when own <> other then d end) as b from p group by all)
+select u.recording_id, round(avg(case when w is null or b is null or greatest(w, b) <= 0 then 0 else (b - w) / greatest(w, b) end), 6) as silhouette, count(*) as n from (select distinct recording_id, vec_id from cu) u left join s using (recording_id, vec_id) group by u.recording_id"""
+)
+def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the given labels part recordings of 50 embeddings each."""
+    rows = vec(spark, sf_dir).where("label >= 0").select(F.floor(F.col("vec_id") / 50).alias("recording_id"), "embedding", "label")
+    return clustering.silhouettes(clustering.centred(rows)).withColumn("silhouette", r6(F.col("silhouette")))
+
+
 @query()
 def identify_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.identify(*_clusters_and_persons(spark, sf_dir), high=0.2, low=0.1)
