@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it: what a lambda names from
+    outside is worked out again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def l2(a: Column) -> Column:
     """``a`` at unit length; a zero vector stays near zero."""
-    size = norm(a) + 1e-9
-    return F.transform(a, lambda x: x.cast("double") / size)
+    return let(a, lambda v: let(norm(v) + 1e-9, lambda size: F.transform(v, lambda x: x.cast("double") / size)))
 
 
 def subtract(a: Column, b: Column) -> Column:

@@ -44,7 +44,7 @@ def spread(values: Column) -> Column:
     """Population standard deviation of an array."""
     n = F.size(values)
     mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / n
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
+    return V.let(mean, lambda m: F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / n))
 
 
 def embed(rows: DataFrame, signal: str = "signal", frame: int = 400, hop: int = 160, lags: tuple[int, ...] = LAGS) -> DataFrame:

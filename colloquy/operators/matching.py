@@ -71,9 +71,14 @@ def top_matches(clusters: DataFrame, persons: DataFrame, k: int | Column, part:
     """(recording_id, label, person_id, score): the ``k`` persons of greatest cosine for each cluster (ties: the
     least person_id first), the same as of all pairs. ``k`` may differ by row of ``clusters``. Persons without
     a centroid are left out."""
-    dealt, cells = _cells(persons, part)
-    dealt = written(dealt, "dealt")
     wanted = clusters.select("recording_id", "label", "centroid", (k if isinstance(k, Column) else F.lit(k)).cast("int").alias("_k"))
+    known = persons.where(F.size("centroid") > 0)
+    if known.count() <= part:  # one cell would hold them all
+        asked = wanted.select("*", F.lit(0).alias("_cell"), F.lit(1).alias("_parts"))
+        every = known.select("person_id", F.col("centroid").alias("_p"), F.lit(0).alias("_cell"), F.lit(0).alias("_part"))
+        return _best(_met(asked, every)).select("recording_id", "label", "person_id", "score")
+    dealt, cells = _cells(known, part)
+    dealt = written(dealt, "dealt")
     bounds = wanted.crossJoin(F.broadcast(cells)).withColumn("_n", V.norm(F.col("centroid")))  # one row of bounded size
     ranked = F.transform("_cells", lambda c: F.struct(_bound(F.col("centroid"), F.col("_n"), c).alias("b"), c["_cell"].alias("_cell"), c["_parts"].alias("_parts")))
     bounds = bounds.withColumn("_cells", F.reverse(F.array_sort(ranked)))

@@ -16,6 +16,7 @@ from colloquy.operators import audit, clustering, diarize, dsp, grounding, ident
 from colloquy.operators.assignment import assign
 from colloquy.operators.matching import top_matches
 from colloquy.plans.views import EPOCH, FRAG_SQL, HOUR, SEG_SQL, SOUND_SQL, UTT_SQL, frag, seg, seg_rows, sound, table, utt, vec
+from colloquy.sources.shared import written
 from colloquy.streaming import sessions as streams
 from colloquy.streaming import turns
 
@@ -301,7 +302,23 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.silhouettes(clustering.centred(rows)).withColumn("silhouette", r6(F.col("silhouette")))
 
 
-@query()
+def _best_sum_sql(pairs: str, left: str, right: str, score: str, most: int) -> str:
+    """CTEs that end in best(recording_id, asg): pairs of greatest total over subsets of the right side, for up to ``most``
+    on the left and 60 on the right, where the right side is the longer one."""
+    steps = [f"lx as (select *, dense_rank() over (partition by recording_id order by {left}) as l, dense_rank() over (partition by recording_id order by {right}) - 1 as r from {pairs})", "nl as (select recording_id, max(l) as n from lx group by recording_id)"]
+    steps.append("k_0 as (select recording_id, n, 0::bigint as mask, 0.0::double as total, []::struct(l varchar, r varchar, s double)[] as asg from nl)")
+    for t in range(1, most + 1):
+        pick = f"list_append(k.asg, {{'l': lx.{left}::varchar, 'r': lx.{right}::varchar, 's': lx.{score}}})"
+        steps.append(f"k_{t} as (select recording_id, n, mask, max(total) as total, arg_max(asg, total) as asg from (select k.recording_id, k.n, k.mask | (1::bigint << lx.r) as mask, k.total + lx.{score} as total, {pick} as asg from k_{t - 1} k join lx on lx.recording_id = k.recording_id and lx.l = {t} and k.mask & (1::bigint << lx.r) = 0) group by recording_id, n, mask union all select * from k_{t - 1} where n < {t})")
+    steps.append(f"best as (select recording_id, arg_max(asg, total) as asg from k_{most} group by recording_id)")
+    return ",\n".join(steps)
+
+
+@query(
+    f"""with {_MATCH_SQL}, {_best_sum_sql("s", "label", "person_id", "score", 10)}, t as (select recording_id, u.l::int as label, u.r as person_id, u.s as score from (select recording_id, unnest(asg) as u from best))
+select c.recording_id, c.label, case when score >= 0.1 then t.person_id end as person_id, case when score >= 0.1 then 'Person ' || substr(t.person_id, 2)::int else 'S' || c.label end as name, round(coalesce(score, 0), 3) as confidence, case when score >= 0.2 then 'auto' when score >= 0.1 then 'suggest' else 'unknown' end as mode
+from (select distinct recording_id, label from r) c left join t on t.recording_id = c.recording_id and t.label = c.label"""
+)
 def identify_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.identify(*_clusters_and_persons(spark, sf_dir), high=0.2, low=0.1)
 
@@ -420,13 +437,22 @@ def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.html(_reports(spark, sf_dir), utt(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""with {UTT_SQL}, m as (select meeting_id, arg_max(t1, seq) as d, arg_min(text, seq) as first, arg_min(speaker, seq) as opener from utt group by meeting_id),
+p as (select meeting_id, string_agg(distinct '"[[' || speaker || ']]"', ', ' order by '"[[' || speaker || ']]"') as people from utt group by meeting_id),
+n as (select 'Meetings/2024-01-01 Conversation ' || meeting_id || '.md' as path, '---' || chr(10) || 'type: meeting' || chr(10) || 'date: 2024-01-01' || chr(10) || 'lieu: "—"' || chr(10) || 'duree: "' || {_HMS_SQL.format("floor(d)")} || '"' || chr(10) || 'participants: [' || people || ']' || chr(10) || '---' || chr(10)
+  || chr(10) || '# Conversation ' || meeting_id || chr(10) || chr(10) || '## Résumé' || chr(10) || 'A & B' || chr(10) || chr(10) || '## Décisions' || chr(10) || '- ✓ **keep it** — cost' || chr(10) || chr(10)
+  || '## Actions' || chr(10) || '- [ ]  [[' || opener || ']]' || chr(10) || chr(10) || '## Citations' || chr(10) || '> « ' || trim(first, {_WS}) || ' » — [[' || opener || ']] · 0:00:00' || chr(10) || '> « zzz qqq » — [[nobody]]' as content from m join p using (meeting_id)
+  union all select distinct 'People/' || trim(regexp_replace(speaker, '\\s+', ' ', 'g')) || '.md', '---' || chr(10) || 'type: person' || chr(10) || 'role: ""' || chr(10) || '---' || chr(10) || chr(10) || '# ' || speaker from utt)
+select path, content || chr(10) || chr(10) || '{render.MARKER}' || chr(10) || 'mine ' || path as content from n"""
+)
 def vault_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Meeting and person notes, written twice: what stood below the marker of the first copy is kept."""
-    notes = render.vault(_reports(spark, sf_dir))
-    per_path = notes.groupBy("path").agg(F.max("content").alias("content"))
-    old = per_path.select("path", F.concat(F.lit("old"), F.lit("\n\n" + render.MARKER + "\nmine "), F.col("path")).alias("content"))
-    return render.preserve(per_path, old)
+    """A note for each meeting and person, written twice: what stood below the marker of the first copy is kept."""
+    title = F.concat(F.lit("Conversation "), F.col("meeting_id").cast("string"))
+    reports = _reports(spark, sf_dir).withColumn("report", F.col("report").withField("meta", F.col("report.meta").withField("titre", title)))
+    notes = written(render.vault(reports).select("path", "content").distinct(), "notes")  # persons are named by several meetings
+    old = notes.select("path", F.concat(F.lit("old"), F.lit("\n\n" + render.MARKER + "\nmine "), F.col("path")).alias("content"))
+    return render.preserve(notes, old)
 
 
 @query("""select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as escaped from documents""")
@@ -487,11 +513,20 @@ def energy_vad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("recording_id", r6(F.col("t0")).alias("t0"), r6(F.col("t1")).alias("t1"))
 
 
-@query()
+_AC_SQL = ", ".join(f"list_dot_product(f[1:{32 - k}], f[{k + 1}:32]) / (list_dot_product(f, f) + 1e-9)" for k in (1, 2, 4, 8))
+
+
+@query(
+    f"""with f as (select vec_id, embedding[8 * k + 1 : 8 * k + 32]::double[] as f from embeddings, range(5) r(k)),
+t as (select vec_id, unnest([sqrt(list_dot_product(f, f) / 32), list_sum(list_transform(range(1, 32), lambda i: case when (f[i] >= 0) <> (f[i + 1] >= 0) then 1.0::double else 0.0::double end)) / 31, {_AC_SQL}]) as x, unnest(range(6)) as track from f),
+m as (select vec_id, track, avg(x) as a, stddev_pop(x) as d from t group by all), v as (select vec_id, track as i, a as v from m union all select vec_id, track + 6, d from m),
+n as (select vec_id, sqrt(sum(v * v)) + 1e-9 as n from v group by vec_id)
+select vec_id, i::int as i, round(v / n, 6) as v from v join n using (vec_id)"""
+)
 def dsp_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings as signals of 64 samples, in frames of 32."""
     found = dsp.embed(vec(spark, sf_dir), "embedding", 32, 8, (1, 2, 4, 8))
-    return found.select("vec_id", F.transform("features", r6).alias("features"))
+    return found.select("vec_id", F.posexplode("features").alias("i", "v")).withColumn("v", r6(F.col("v")))
 
 
 @query("select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[]) / len(embedding)), 6) as rms from embeddings")
