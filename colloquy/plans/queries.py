@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from colloquy.functions import reports as R
 from colloquy.functions import text as T
 from colloquy.functions import vectors as V
-from colloquy.operators import audit, clustering, diarize, dsp, grounding, identity, render, runs, speakers, stages
+from colloquy.operators import audit, clustering, diarize, dsp, grounding, identity, render, runs, speakers, stages, store
 from colloquy.operators.assignment import assign
 from colloquy.operators.matching import top_matches
 from colloquy.plans.views import EPOCH, FRAG_SQL, HOUR, SEG_SQL, SOUND_SQL, UTT_SQL, frag, seg, seg_rows, sound, table, utt, vec
-from colloquy.sources.shared import written
+from colloquy.sources.shared import new_folder, written
 from colloquy.streaming import sessions as streams
 from colloquy.streaming import turns
 
@@ -391,6 +391,18 @@ def store_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persons.select("person_id", "n_exemplars", r6(F.col("centroid")[0]).alias("first"))
 
 
+@query(
+    """with p as (select label, count(*) as n, label % 3 as slug, row_number() over (partition by label % 3 order by label) as k from embeddings where label >= 0 group by label)
+select case when k = 1 then 'voice-' || slug else 'voice-' || slug || '-' || k end as person_id, 'Voice ' || slug as name, least(n, 64) as n_exemplars from p"""
+)
+def voice_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The people of a store that all embeddings were enrolled in, a person for each label and three names for all."""
+    kept = store.VoiceStore(spark, new_folder(spark, "voices"))
+    rows = vec(spark, sf_dir).where("label >= 0")
+    kept.enroll(rows.select(F.col("label").alias("ord"), F.concat(F.lit("Voice "), F.col("label") % 3).alias("name"), F.lit("").alias("role"), F.col("vec_id").alias("seq"), "embedding"))
+    return kept.people().select("person_id", "name", "n_exemplars")
+
+
 _DRIFT = (
     '{"resume": "One text", "points_cles": [1, "two", null], "themes": [{"theme": ["A", "B"], "points": "solo"}], "citations": ["just words"], "decisions": null, "chapitres": [{"t": "0:00:28", "titre": "x"}]}',
     'Here it is: {"actions": "call them", "resume": []} thank you',
