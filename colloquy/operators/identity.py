@@ -13,6 +13,7 @@ from colloquy.functions import text as T
 from colloquy.functions import vectors as V
 from colloquy.operators.assignment import assign
 from colloquy.operators.matching import all_matches, top_matches
+from colloquy.operators.ranks import quantile
 from colloquy.sources.shared import written
 
 TAU_HIGH, TAU_LOW, RING = 0.62, 0.45, 64
@@ -69,7 +70,10 @@ def identify(clusters: DataFrame, persons: DataFrame, high: float = TAU_HIGH, lo
 def calibrate(persons: DataFrame, exemplars: DataFrame) -> DataFrame:
     """One row (tau_low, tau_high) from cosines within and between persons; defaults without exemplars."""
     own = exemplars.join(persons.select("person_id", "centroid"), "person_id").select(V.dot(V.l2(F.col("embedding")), F.col("centroid")).alias("s"))
-    within = own.agg(F.percentile("s", F.lit(0.1)).alias("p10"), F.avg("s").alias("mean_in"))
+    own = written(own.withColumn("_k", F.lit(0)), "scores")
+    p10 = quantile(own, ["_k"], "s", 0.1).select(F.col("quantile").alias("p10"))
+    # each of one row but p10, which is empty without exemplars
+    within = own.agg(F.avg("s").alias("mean_in")).join(F.broadcast(p10), F.lit(True), "left")
     # the sum over all pairs of persons from sums by position: (|sum|^2 - sum of squares) / 2 of n (n - 1) / 2 pairs
     each = persons.where(F.size("centroid") > 0)
     sums = each.select(F.posexplode("centroid").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
