@@ -5,11 +5,13 @@ manifests. ``append`` writes arrivals as small shards. ``compact`` takes the liv
 tier (a tier holds sizes within a factor of ``fanout``), and where a tier has at least ``fanout``
 shards below the target size merges them, in order, into files of about the target size. A version
 is committed by creating ``_commits/<version>`` where none may exist yet: of two writers one wins,
-and a reader sees the whole of a version or none of it. A lost executor or driver leaves files that
-no manifest names; ``vacuum`` deletes what no manifest from a given version on names.
+and a reader sees the whole of a version or none of it. A compaction that loses to another writer is
+committed onto that writer's version if all that it merged is still there. A lost executor or driver
+leaves files that no version names; ``vacuum`` deletes them after a time of grace, and with them what no
+manifest from a given version on names.
 
-The manifest is a table with a row for each shard (name, rows, bytes, tier), read and written by
-Spark. A merge works in waves of at most ``WAVE`` shards, so the map from shards to files that is
+The manifest is a table with a row for each shard (name, rows, bytes, tier, and the version that its first
+row came with, which orders shards by arrival), read and written by Spark. A merge works in waves of at most ``WAVE`` shards, so the map from shards to files that is
 broadcast is of a bounded size; each destination file has a task of its own. Arrivals may be staged: all
 are written in one pass, then committed one after another, so that tiers fill and roll between them.
 
@@ -21,7 +23,6 @@ shards has no rows to read (an error); any columns are carried, since a shard ke
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ TARGET_BYTES = 32 << 20
 FANOUT = 4
 #: Shards that one merge job takes: a bound on what is broadcast (about 100 bytes a shard).
 WAVE = 4096
-_ENTRY = "shard string, rows long, bytes long, tier int"
+#: How long files that no version names are left to a writer that may still commit them.
+GRACE_S = 24 * 3600
+_ENTRY = "shard string, rows long, bytes long, tier int, since long"
 
 
 def _shard_of() -> Column:
@@ -65,17 +68,23 @@ class ShardStore:
         return max((int(x.getPath().getName()) for x in fs.listStatus(folder)), default=0) if fs.exists(folder) else 0
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """(shard, rows, bytes, tier) of the live shards of a version."""
+        """(shard, rows, bytes, tier, since) of the live shards of a version."""
         version = self.version() if version is None else version
-        if not version:
-            return self.spark.range(0).selectExpr("'' as shard", "0L as rows", "0L as bytes", "0 as tier")
-        fs, mark = self._fs(f"{self.path}/_commits/{version:08d}")
-        stream = fs.open(mark)
-        try:
-            name = stream.readUTF()
-        finally:
-            stream.close()
-        return self.spark.read.schema(_ENTRY).parquet(f"{self.path}/_manifests/{name}")
+        return self._entries([version] if version else [])
+
+    def _entries(self, versions: list[int]) -> DataFrame:
+        """The entries of some versions, in one scan."""
+        if not versions:
+            return self.spark.range(0).selectExpr("'' as shard", "0L as rows", "0L as bytes", "0 as tier", "0L as since")
+        names = []
+        for version in versions:
+            fs, mark = self._fs(f"{self.path}/_commits/{version:08d}")
+            stream = fs.open(mark)
+            try:
+                names.append(stream.readUTF())
+            finally:
+                stream.close()
+        return self.spark.read.schema(_ENTRY).parquet(*(f"{self.path}/_manifests/{name}" for name in names))
 
     def _commit(self, entries: DataFrame, onto: int) -> int:
         version = onto + 1
@@ -127,11 +136,11 @@ class ShardStore:
 
     def add(self, entries: DataFrame, tries: int = 10) -> int:
         """Commit staged shards; where another writer was faster, onto that writer's version."""
-        entries = entries.select("shard", "rows", "bytes", "tier")
         for left in reversed(range(tries)):
             base = self.version()
+            dated = entries.select("shard", "rows", "bytes", "tier", F.lit(base + 1).cast("long").alias("since"))
             try:
-                return self._commit(self.manifest(base).unionByName(entries), base)
+                return self._commit(self.manifest(base).unionByName(dated), base)
             except Conflict:
                 if not left:
                     raise
@@ -140,31 +149,49 @@ class ShardStore:
         """Commit arrivals as small shards in one version."""
         return self.add(self.stage(arrivals))
 
-    def compact(self) -> int:
+    def _due(self, live: DataFrame) -> DataFrame | None:
+        """(shard, since, bin) of what is to be merged: the first shards by arrival of the lowest full tier that
+        has bins of several of them."""
+        full = live.where("tier < 99").groupBy("tier").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.fanout)
+        for tier in sorted(r.tier for r in full.collect()):  # a handful of tiers
+            wave = live.where(F.col("tier") == tier).orderBy("since", "shard").limit(WAVE)
+            upto = Window.orderBy("since", "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            cut = wave.select("shard", "since", F.floor((F.sum("bytes").over(upto) - F.col("bytes") / 2) / self.target).alias("bin"))
+            several = cut.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bin"))).where("n > 1")  # a bin of one is as it should be
+            found = several.select("shard", "since", (F.dense_rank().over(Window.orderBy("bin")) - 1).alias("bin"))
+            if found.limit(1).count():
+                return found
+        return None
+
+    def compact(self, tries: int = 10) -> int:
         """Merge tiers that are full, in waves; each wave commits a version. Returns the latest."""
         while True:
             base = self.version()
             live = self.manifest(base)
-            due = live.where("tier < 99").groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).where(F.col("n") >= self.fanout)
-            tier = due.agg(F.min("tier")).first()[0]
-            if tier is None:
-                return base
-            # the wave: the first shards of the lowest full tier, in the order of their names
-            wave = live.where(F.col("tier") == tier).orderBy("shard").limit(WAVE)
-            upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            binned = wave.withColumn("_target", F.floor((F.sum("bytes").over(upto) - F.col("bytes") / 2) / self.target).cast("long"))
-            binned = materialize(binned.select("shard", "_target"), "wave")
-            chosen = binned.collect()  # WAVE rows at most
-            if len({r._target for r in chosen}) == len(chosen):
+            merged = self._due(live)
+            if merged is None:
                 return base
+            chosen = merged.select("shard", "bin").collect()  # WAVE rows at most
             names = [r.shard for r in chosen]
-            entries = self._merge(names, binned, max(r._target for r in chosen) + 1)
-            self._commit(live.where(~F.col("shard").isin(names)).unionByName(entries), base)
-
-    def _merge(self, names: list[str], binned: DataFrame, n: int) -> DataFrame:
-        joined = self.read(names).join(F.broadcast(binned), "shard").drop("shard")  # of a bounded size: WAVE
-        dealt = joined.repartitionById(n, F.col("_target").cast("int")).withColumn("_shard", F.lpad(F.col("_target").cast("string"), 6, "0")).drop("_target").withColumn("_batch", F.lit(0))
-        return self._write(dealt, "merge")
+            entries = self._merge(names, merged, max(r.bin for r in chosen) + 1)
+            for left in reversed(range(tries)):
+                try:
+                    self._commit(live.where(~F.col("shard").isin(names)).unionByName(entries), base)
+                    break
+                except Conflict:
+                    if not left:
+                        raise
+                    base = self.version()
+                    live = self.manifest(base)
+                    if live.where(F.col("shard").isin(names)).count() < len(names):
+                        break  # another compaction has merged some of them; what was written here is left to vacuum
+
+    def _merge(self, names: list[str], merged: DataFrame, n: int) -> DataFrame:
+        """Write the shards of each of ``n`` bins as one, and return the entries of these."""
+        joined = self.read(names).join(F.broadcast(merged.select("shard", "bin")), "shard").drop("shard")  # of a bounded size: WAVE
+        dealt = joined.repartitionById(n, F.col("bin").cast("int")).withColumn("_shard", F.lpad(F.col("bin").cast("string"), 6, "0")).drop("bin").withColumn("_batch", F.lit(0))
+        entries = self._write(dealt, "merge").withColumn("bin", F.substring_index("shard", "_shard=", -1).cast("int"))
+        return materialize(entries.join(merged.groupBy("bin").agg(F.min("since").alias("since")), "bin").drop("bin"), "merged")
 
     # reading
 
@@ -185,24 +212,42 @@ class ShardStore:
         """The rows of a version, as they were appended."""
         return self.placed(version).select("row.*")
 
-    def vacuum(self, keep_from: int, since: int = 1) -> int:
-        """Delete the shards of versions from ``since`` on that no version from ``keep_from`` on names;
-        returns their number. What was committed together goes in one piece if none of it is live."""
+    def vacuum(self, keep_from: int, since: int = 1, grace_s: float = GRACE_S) -> int:
+        """Delete the shards of versions from ``since`` on that no version from ``keep_from`` on names, and write
+        jobs older than ``grace_s`` that no version at all names; returns the number of shards, and of such jobs.
+        What was committed together goes in one piece if none of it is live."""
+        latest, n = self.version(), self._drop_orphans(grace_s)
         if keep_from <= since:
-            return 0
-        live, old = self._named(keep_from, self.version()), self._named(since, keep_from - 1)
+            return n
+        live, old = self._named(keep_from, latest), self._named(since, keep_from - 1)
         dead = old.join(live, "shard", "left_anti").withColumn("job", _job_of())
         jobs = live.select(_job_of().alias("job"), F.lit(True).alias("kept")).distinct()
         dead = dead.join(jobs, "job", "left").withColumn("path", F.when(F.col("kept"), F.col("shard")).otherwise(F.col("job")))
-        n = 0
         for path, shards in dead.groupBy("path").agg(F.count(F.lit(1))).toLocalIterator():
             fs, where = self._fs(f"{self.path}/{path}")
             n += shards if fs.delete(where, True) else 0
         return n
 
+    def _drop_orphans(self, grace_s: float) -> int:
+        """Delete write jobs that are older than the grace and named by no version."""
+        import time
+
+        fs, root = self._fs(self.path)
+        if not fs.exists(root):
+            return 0
+        before = (time.time() - grace_s) * 1000
+        old = {x.getPath().getName() for x in fs.listStatus(root) if x.isDirectory() and not x.getPath().getName().startswith("_") and x.getModificationTime() <= before}
+        if not old:
+            return 0
+        named = self._named(1, self.version()).select(F.substring_index("shard", "/", 1).alias("job")).distinct()
+        n = 0
+        for name in sorted(old - {r.job for r in named.toLocalIterator()}):
+            n += fs.delete(self._fs(f"{self.path}/{name}")[1], True)
+        return n
+
     def _named(self, first: int, last: int) -> DataFrame:
         """The shards that versions first to last name."""
-        return reduce(DataFrame.unionByName, (self.manifest(v) for v in range(first, last + 1))).select("shard").distinct()
+        return self._entries(list(range(first, last + 1))).select("shard").distinct()
 
 
 def arrive_and_compact(docs: DataFrame, path: str, arrivals: int = 8, doc_id: str = "doc_id", **options) -> ShardStore:
@@ -212,8 +257,9 @@ def arrive_and_compact(docs: DataFrame, path: str, arrivals: int = 8, doc_id: st
     staged = store.stage(docs, F.pmod(F.xxhash64(doc_id), F.lit(arrivals)))
     kept = 1
     for i in range(arrivals):
-        store.add(staged.where(F.col("batch") == i))
+        added = store.add(staged.where(F.col("batch") == i))
         last = store.compact()
-        store.vacuum(last, kept)
-        kept = last
+        if last > added:  # some shards were merged
+            store.vacuum(last, kept)
+            kept = last
     return store

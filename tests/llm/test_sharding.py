@@ -77,3 +77,67 @@ def test_odd_rows(spark, odd, none):
     assert empty.compact() == 1 and empty.manifest().count() == 0
     with pytest.raises(LookupError):
         empty.rows()
+
+
+def test_vacuum_deletes_what_no_version_names(spark):
+    docs = make(spark, [prose(i, 50) for i in range(20)])
+    store = sharding.ShardStore(spark, shared_path(spark, "t"))
+    store.append(docs.where("doc_id < 10"))
+    lost = store.stage(docs.where("doc_id >= 10"))  # the driver dies here
+    assert store.vacuum(store.version(), grace_s=3600) == 0  # another writer may still commit it
+    assert store.vacuum(store.version(), grace_s=-5) == 1
+    fs, where = store._fs(store.path + "/" + lost.first()["shard"].split("/")[0])
+    assert not fs.exists(where) and content(store.rows()) == content(docs.where("doc_id < 10"))
+    assert store.vacuum(store.version(), grace_s=-5) == 0
+
+
+def test_compaction_is_rebased_onto_appends(spark, monkeypatch):
+    docs = make(spark, [prose(i, 200) for i in range(120)]).repartition(6)
+    path = shared_path(spark, "t")
+    one, two = (sharding.ShardStore(spark, path, target_bytes=40_000) for _ in range(2))
+    one.append(docs.where("doc_id < 90"))
+    merge, late = one._merge, [docs.where("doc_id >= 90").coalesce(1)]
+
+    def slow(*args):
+        found = merge(*args)
+        if late:
+            two.append(late.pop())  # while the merge is being written
+        return found
+
+    monkeypatch.setattr(one, "_merge", slow)
+    last = one.compact()
+    assert last > 2 and content(one.rows()) == content(docs)
+    live = one.manifest().collect()
+    assert len({r.shard for r in live}) == len(live) and {r.since for r in live} == {1, 2}
+
+
+def test_two_compactions_at_once_lose_and_double_nothing(spark, monkeypatch):
+    docs = make(spark, [prose(i, 200) for i in range(60)]).repartition(6)
+    path = shared_path(spark, "t")
+    one, two = (sharding.ShardStore(spark, path, target_bytes=40_000) for _ in range(2))
+    one.append(docs)
+    merge, once = one._merge, [1]
+
+    def slow(*args):
+        found = merge(*args)
+        if once:
+            once.pop()
+            two.compact()
+        return found
+
+    monkeypatch.setattr(one, "_merge", slow)
+    one.compact()
+    assert content(one.rows()) == content(docs)
+    kept = content(one.rows())
+    assert one.vacuum(one.version(), grace_s=-5) >= 6 and content(one.rows()) == kept  # the loser's files are gone
+
+
+def test_shards_are_merged_in_order_of_arrival(spark):
+    store = sharding.ShardStore(spark, shared_path(spark, "t"), target_bytes=20_000)
+    for i in range(8):
+        store.append(make(spark, [f"{i} " + prose(i, 350)]).coalesce(1))
+    merged = store._due(store.manifest()).collect()
+    assert [r.since for r in sorted(merged, key=lambda r: (r.bin, r.since))] == sorted(r.since for r in merged)
+    store.compact()
+    runs = [sorted(int(r.text.split()[0]) for r in rows) for rows in ([x.row for x in store.placed().collect() if x.shard == s.shard] for s in store.manifest().collect())]
+    assert all(r == list(range(r[0], r[-1] + 1)) for r in runs) and max(map(len, runs)) > 1
