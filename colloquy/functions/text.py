@@ -67,6 +67,12 @@ def slug(name: Column) -> Column:
     return F.coalesce(F.nullif(plain, F.lit("")), F.lit("person"))
 
 
+def cluster_number(name: Column) -> Column:
+    """The number of a cluster named ``S3``, ``s3`` or ``3``; null of what holds no number."""
+    bare = strip(F.regexp_replace(name, "^[Ss]+", ""))
+    return F.when(F.rlike(bare, F.lit(r"^[+-]?[0-9]+$")), bare).try_cast("int")
+
+
 def file_name(name: Column) -> Column:
     return strip(F.regexp_replace(name, r"(?U)\s+", " "))
 

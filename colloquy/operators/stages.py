@@ -79,13 +79,49 @@ def heuristic(utts: DataFrame) -> DataFrame:
     return made.select("meeting_id", F.to_json(F.struct(F.array(F.lit(NO_MODEL)).alias("resume"), chapters.alias("chapitres"))).alias("raw"))
 
 
-def synthesize(utts: DataFrame, speakers: DataFrame, model: Callable[[str, str], str] | None, title: str = "", date: str = "", lieu: str = "", context: str = "", max_chars: int = runs.CHUNK_CHARS) -> DataFrame:
-    """(meeting_id, report, source). ``model`` takes (task, text), task being ``map`` or ``reduce`` with
-    the context after it. Chunks fail alone; a meeting without usable notes, or whose reduction is
+#: What a partial note may hold; the keys of the report itself are those of its schema.
+NOTE = "points: [text], decisions: [{decision, contexte, t}], actions: [{action, responsable, echeance}], citations: [{speaker, texte, t}], themes: [text]"
+
+
+def _shape(kind) -> str:
+    """A Spark type as a prompt spells it."""
+    from pyspark.sql.types import ArrayType, StructType
+
+    if isinstance(kind, ArrayType):
+        return f"[{_shape(kind.elementType)}]"
+    if isinstance(kind, StructType):
+        return "{" + ", ".join(f.name if not isinstance(f.dataType, ArrayType) else f"{f.name}: {_shape(f.dataType)}" for f in kind.fields) + "}"
+    return "text"
+
+
+def instructions(task: str, language: str = "fr", context: str = "") -> str:
+    """The prompt of a task, ``map`` (notes of an excerpt) or ``reduce`` (the report from notes): what to write, in
+    which language, and the keys of its JSON. A context of at most ``CONTEXT_CHARS`` follows."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    if task == "map":
+        lines = [f"Take notes of this excerpt of a transcript, in {language}: faithful, nothing invented.", f"Answer with one JSON object: {{{NOTE}}}.", "Lines begin with their time in seconds, as in [1979s]: copy that whole number into t. Each decision and quotation keeps the time it comes from."]
+    else:
+        kinds = _parse_datatype_string(f"struct<{R.LISTED}>")
+        lines = [f"Write the report of a meeting from these partial notes, in {language}: faithful to them, nothing invented.", "Answer with strict JSON of exactly these keys: " + "; ".join(f"{f.name}: {_shape(f.dataType)}" for f in kinds.fields) + ". t is in seconds."]
+    brief = context.strip()[:CONTEXT_CHARS]
+    block = ["", "What the user says of the meeting (people, names, terms). Use it to spell names and to frame the notes, never as a source of facts:", brief] if brief else []
+    return "\n".join([task, *lines, *block])
+
+
+def context_brief(spark, inline: str = "", path: str = "") -> str:
+    """The text of the file, if one is given, else the inline text; a file that can't be read is an error."""
+    if not path:
+        return inline
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def synthesize(utts: DataFrame, speakers: DataFrame, model: Callable[[str, str], str] | None, title: str = "", date: str = "", lieu: str = "", context: str = "", max_chars: int = runs.CHUNK_CHARS, language: str = "fr") -> DataFrame:
+    """(meeting_id, report, source). ``model`` takes (task, text), task being what
+    ``instructions`` says: ``map`` or ``reduce``, the prompt, and the context. Chunks fail alone; a meeting without usable notes, or whose reduction is
     empty, gets the heuristic report (``source`` says which)."""
     plain = heuristic(utts)
-    brief = context.strip()[:CONTEXT_CHARS]
-    prompt = lambda task: F.lit(f"{task}\n\n{brief}" if brief else task)
+    prompt = lambda task: F.lit(instructions(task, language, context))
     if model is None:
         written = plain.select("meeting_id", "raw", F.lit("heuristic").alias("source"))
     else:

@@ -403,6 +403,16 @@ def voice_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.people().select("person_id", "name", "n_exemplars")
 
 
+_NAMED = "case vec_id % 5 when 0 then 'S' || label when 1 then 'ss0' || label when 2 then cast(label as string) when 3 then 'cluster ' || label else 'S' end"
+
+
+@query(f"""select vec_id, name, case when regexp_matches(regexp_replace(name, '^[Ss]+', ''), '^-?[0-9]+$') then regexp_replace(name, '^[Ss]+', '')::int end as number from (select vec_id, {_NAMED} as name from embeddings)""")
+def cluster_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters as users name them, read back to numbers."""
+    rows = vec(spark, sf_dir).select("vec_id", F.expr(_NAMED).alias("name"))
+    return rows.withColumn("number", T.cluster_number(F.col("name")))
+
+
 _DRIFT = (
     '{"resume": "One text", "points_cles": [1, "two", null], "themes": [{"theme": ["A", "B"], "points": "solo"}], "citations": ["just words"], "decisions": null, "chapitres": [{"t": "0:00:28", "titre": "x"}]}',
     'Here it is: {"actions": "call them", "resume": []} thank you',

@@ -18,7 +18,7 @@ def _with_path(df: DataFrame) -> DataFrame:
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(meeting_id, seq, t0, t1, speaker, text) from JSON files that are arrays of utterances; the
     meeting is the file's folder, the order that of the array."""
-    raw = _with_path(spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "transcript*.json").text(path))
+    raw = _with_path(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "transcript*.json").text(path, wholetext=True))
     rows = raw.select("path", F.posexplode(F.from_json("value", f"array<struct<{UTTERANCE.replace(' double', ':double').replace(' string', ':string')}>>")).alias("seq", "u"))
     return rows.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("meeting_id"), F.col("seq").cast("long").alias("seq"), "u.*")
 
@@ -26,7 +26,7 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
 def reports(spark: SparkSession, path: str) -> DataFrame:
     """(meeting_id, report) from ``synthese.json`` files, normalised; an error if there is none."""
     try:
-        raw = _with_path(spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "synthese.json").text(path))
+        raw = _with_path(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "synthese.json").text(path, wholetext=True))
         empty = not raw.limit(1).count()
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
@@ -39,11 +39,29 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
 
 def speaker_mapping(spark: SparkSession, path: str) -> DataFrame:
     """(meeting_id, speaker, name) from mapping files."""
-    raw = _with_path(spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*mapping*.json").text(path))
+    raw = _with_path(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*mapping*.json").text(path, wholetext=True))
     rows = raw.select("path", F.explode(F.from_json("value", "struct<mapping:map<string,string>>")["mapping"]).alias("speaker", "name"))
     return rows.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("meeting_id"), "speaker", "name")
 
 
+PERSON = "id string, name string, role string, centroid array<double>, count bigint"
+
+
+def people_json(spark: SparkSession, path: str) -> DataFrame:
+    """(person_id, name, role, centroid, n_exemplars) from a JSON file that is an array of persons; no rows of a
+    file that is missing or can't be read as one."""
+    fields = ", ".join(f.replace(" ", ":", 1) for f in PERSON.split(", "))
+    wanted = "person_id string, name string, role string, centroid array<double>, n_exemplars bigint"
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], wanted)
+    people = F.from_json("value", f"array<struct<{fields}>>", {"mode": "PERMISSIVE"})
+    return raw.where(F.rlike("value", F.lit(r"^\s*\["))).select(F.explode(people).alias("p")).where("p.id is not null").select(F.col("p.id").alias("person_id"), "p.name", "p.role", "p.centroid", F.col("p.count").alias("n_exemplars"))
+
+
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """A diarisation checkpoint; an error if it has no labels."""
     df = spark.read.parquet(path)
@@ -54,7 +72,7 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 def rendered_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of all .html and .md files under ``path``."""
-    raw = _with_path(spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{html,md}").text(path))
+    raw = _with_path(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{html,md}").text(path, wholetext=True))
     return raw.select("path", F.col("value").alias("content"))
 
 

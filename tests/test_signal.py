@@ -83,14 +83,14 @@ def test_model_stages_isolate_failures(spark):
 def test_readers(spark, tmp_path):
     meeting = tmp_path / "m1"
     meeting.mkdir()
-    (meeting / "transcript.json").write_text(json.dumps([{"t0": 0, "t1": 2.5, "speaker": "S0", "text": "é"}, {"t0": 3, "t1": 4, "speaker": "S1", "text": "b"}]))
-    (meeting / "synthese.json").write_text(json.dumps({"resume": "x"}))
-    (meeting / "mapping.json").write_text(json.dumps({"mapping": {"S0": "Alice"}}))
-    (meeting / "report.md").write_text("# x\n")
+    (meeting / "transcript.json").write_text(json.dumps([{"t0": 0, "t1": 2.5, "speaker": "S0", "text": "é"}, {"t0": 3, "t1": 4, "speaker": "S1", "text": "b"}], indent=1))
+    (meeting / "synthese.json").write_text(json.dumps({"resume": "x"}, indent=1))
+    (meeting / "mapping.json").write_text(json.dumps({"mapping": {"S0": "Alice"}}, indent=1))
+    (meeting / "report.md").write_text("# x\n\ny\n")
     assert rows(readers.transcripts(spark, str(tmp_path))) == [("m1", 0, 0.0, 2.5, "S0", "é"), ("m1", 1, 3.0, 4.0, "S1", "b")]
     assert readers.reports(spark, str(tmp_path)).first().report.resume == ["x"]
     assert rows(readers.speaker_mapping(spark, str(tmp_path))) == [("m1", "S0", "Alice")]
-    assert readers.rendered_text(spark, str(tmp_path)).first().content.rstrip() == "# x"
+    assert readers.rendered_text(spark, str(tmp_path)).first().content == "# x\n\ny\n"
     with pytest.raises(FileNotFoundError):
         readers.reports(spark, str(tmp_path / "nowhere"))
     spark.range(3).write.parquet(str(tmp_path / "segs"))
