@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,32 +37,45 @@ def clean_and_merge(frags: DataFrame, gap: float = MERGE_GAP_S) -> DataFrame:
     return merge_runs(clean(frags), gap)
 
 
+def in_order(rows: DataFrame, by: str, order: str, fold: Callable, schema: str) -> DataFrame:
+    """``fold`` over each task's rows (an iterator of Arrow batches) with the rows of one ``by`` next to each other, in
+    order. The fold keeps what it needs of one group, so a group is read as a stream, however long it is."""
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(fold, schema)
+
+
 def merge_turns(segs: DataFrame, gap, cap, by: str = "recording_id", order: str = "idx", label: str = "label", t0: str = "t0", t1: str = "t1") -> DataFrame:
     """Voiced segments of one label joined into turns while gaps are at most ``gap`` and the turn at
     most ``cap`` long; an over-long segment is still a turn. Unlabelled segments (below 0) are dropped.
 
-    Islands are found by windows; the cap is a fold within each island, which holds one turn at a time.
-    """
-    w = Window.partitionBy(by).orderBy(order)
-    rows = segs.where(F.col(label) >= 0)
-    fresh = ~F.coalesce((F.lag(label).over(w) == F.col(label)) & (F.col(t0) - F.lag(t1).over(w) <= gap), F.lit(False))
-    islands = rows.withColumn("island", F.sum(fresh.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = islands.groupBy(by, "island", label).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(t0).alias("a"), F.col(t1).alias("b")))).alias("parts"))
-    kind = dict(segs.dtypes)[t0]
-    turn = f"struct<a:{kind},b:{kind},n:bigint>"
-    zero = F.struct(F.array().cast(f"array<{turn}>").alias("done"), F.lit(None).cast(turn).alias("now"))
-
-    def step(acc, p):
-        now = acc["now"]
-        fits = now.isNotNull() & (p["b"] - now["a"] <= cap)
-        longer = F.struct(now["a"].alias("a"), p["b"].alias("b"), (now["n"] + 1).alias("n"))
-        new = F.struct(p["a"].alias("a"), p["b"].alias("b"), F.lit(1).cast("long").alias("n"))
-        done = F.when(fits | now.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(now)))
-        return F.struct(done.alias("done"), F.when(fits, longer).otherwise(new).alias("now"))
-
-    folded = F.aggregate("parts", zero, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
-    turns = grouped.select(by, label, F.explode(folded).alias("t"))
-    return turns.select(by, label, F.col("t.a").alias(t0), F.col("t.b").alias(t1), F.col("t.n").alias("n_segs"))
+    Where a turn ends depends on where it began, so it is a fold in order of time that holds one turn."""
+    kinds = dict(segs.dtypes)
+
+    def fold(batches):
+        now, out, like = None, [], None
+        for batch in batches:
+            like = batch.schema
+            for key, name, a, b in zip(*(batch.column(c).to_pylist() for c in (by, label, t0, t1))):
+                if now and now[0] == key and now[1] == name and a - now[3] <= gap and b - now[2] <= cap:
+                    now[3] = b
+                    now[4] += 1
+                else:
+                    out += [now] if now else []
+                    now = [key, name, a, b, 1]
+            if len(out) >= 1000:
+                yield from turns(out, like)
+                out = []
+        out += [now] if now else []
+        if out:
+            yield from turns(out, like)
+
+    def turns(out, like):
+        import pyarrow as pa
+
+        kinds = [like.field(c).type for c in (by, label, t0, t1)] + [pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out), kinds)], [by, label, t0, t1, "n_segs"])
+
+    rows = segs.where(F.col(label) >= 0).select(by, order, label, t0, t1)
+    return in_order(rows, by, order, fold, f"`{by}` {kinds[by]}, `{label}` {kinds[label]}, `{t0}` {kinds[t0]}, `{t1}` {kinds[t1]}, n_segs bigint")
 
 
 def relabel_first_seen(segs: DataFrame, by: str = "recording_id", order: str = "idx", label: str = "label") -> DataFrame:
@@ -73,17 +88,26 @@ def relabel_first_seen(segs: DataFrame, by: str = "recording_id", order: str = "
 
 def chunk(lines: DataFrame, max_chars: int = CHUNK_CHARS, by: str = "meeting_id", order: str = "seq", line: str = "line") -> DataFrame:
     """Lines packed in order into chunks of at most ``max_chars`` (line ends count); a longer line is
-    its own chunk. The fold sees lengths only and keeps where chunks begin."""
-    lengths = lines.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.char_length(line).cast("long").alias("n")))).alias("parts"))
-    zero = F.struct(F.lit(0).cast("long").alias("size"), F.array().cast("array<bigint>").alias("starts"))
-
-    def step(acc, p):
-        fresh = (acc["size"] + p["n"] > max_chars) & (acc["size"] > 0)
-        starts = F.when(fresh | (F.size(acc["starts"]) == 0), F.concat(acc["starts"], F.array(p["o"].cast("long")))).otherwise(acc["starts"])
-        return F.struct((F.when(fresh, F.lit(0).cast("long")).otherwise(acc["size"]) + p["n"] + 1).alias("size"), starts.alias("starts"))
-
-    starts = lengths.select(by, F.aggregate("parts", zero, step)["starts"].alias("starts"))
-    placed = lines.join(starts, by).withColumn("chunk", F.size(F.filter("starts", lambda s: s <= F.col(order))) - 1)
+    its own chunk. The fold sees lengths only, and holds the size of one chunk."""
+    kinds = dict(lines.dtypes)
+
+    def fold(batches):
+        import pyarrow as pa
+
+        key, size, place = None, 0, -1
+        for batch in batches:
+            places = []
+            for own, n in zip(batch.column(by).to_pylist(), batch.column("_n").to_pylist()):
+                if place < 0 or own != key:
+                    key, size, place = own, 0, 0
+                elif size and size + n > max_chars:
+                    size, place = 0, place + 1
+                size += n + 1
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column(order), pa.array(places, pa.int32())], [by, order, "chunk"])
+
+    sizes = lines.select(by, order, F.char_length(line).alias("_n"))
+    placed = lines.join(in_order(sizes, by, order, fold, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, chunk int"), [by, order])
     return placed.groupBy(by, "chunk").agg(F.count(F.lit(1)).alias("n_lines"), F.expr(f"listagg({line}, '\n') within group (order by {order})").alias("text"))
 
 

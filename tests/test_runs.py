@@ -91,3 +91,17 @@ def test_cleaned_rows_are_dropped_before_runs(spark):
     df = spark.createDataFrame(data, "meeting_id long, seq long, t0 double, t1 double, speaker string, text string")
     assert rows(runs.clean_and_merge(df), "t1", "text") == [(4.0, "bonjour à tous")]
     assert runs.clean_and_merge(df.where(F.lit(False))).count() == 0
+
+
+def test_one_meeting_of_a_million_lines(spark):
+    import time
+
+    start = time.time()
+    lines = spark.range(1_000_000).select(F.lit("m").alias("meeting_id"), F.col("id").alias("seq"), F.repeat(F.lit("x"), (F.col("id") % 7 + 1).cast("int")).alias("line"))
+    found = runs.chunk(lines, 100).select("chunk", "n_lines", F.char_length("text").alias("n"))
+    got = found.agg(F.sum("n_lines").alias("lines"), F.max("n").alias("most"), F.count(F.lit(1)).alias("chunks"), F.max("chunk").alias("last")).first()
+    assert (got.lines, got.chunks) == (1_000_000, got.last + 1) and 93 <= got.most <= 100
+    segs = lines.select(F.lit("r").alias("recording_id"), F.col("seq").alias("idx"), (F.col("seq") * 10).alias("t0"), (F.col("seq") * 10 + 9).alias("t1"), (F.floor(F.col("seq") / 100000) % 2).alias("label"))
+    turns = runs.merge_turns(segs, 1, 995)
+    assert turns.count() == 10_110 and turns.agg(F.sum("n_segs"), F.max(F.col("t1") - F.col("t0"))).first()[:] == (1_000_000, 989)
+    assert time.time() - start < 240
