@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators.assignment import assign
+
 VOTES = ((1, 1.0), (-1, 0.6), (2, 0.4))
 
 
@@ -49,3 +51,14 @@ def neighbour_votes(utts: DataFrame, names: dict[str, str], votes: tuple[tuple[i
     full = grid.join(counted, ["meeting_id", "name", "speaker"], "left").withColumn("votes", F.coalesce("votes", F.lit(0.0)))
     column = F.sum("votes").over(Window.partitionBy("meeting_id", "speaker"))
     return full.withColumn("share", F.coalesce(F.col("votes") / F.nullif(column, F.lit(0.0)), F.lit(0.0)))
+
+
+def name_by_votes(utts: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(meeting_id, speaker, name, votes, confidence): names given to speakers one to one so that the votes of
+    ``neighbour_votes`` are greatest in sum; confidence is the name's share of the speaker's votes. Ties go to
+    the first by name and speaker."""
+    votes = neighbour_votes(utts, names)
+    place = F.row_number().over(Window.partitionBy("meeting_id").orderBy("name", "speaker"))
+    ranked = votes.withColumn("score", F.col("votes") + 1e-6 * F.pow(F.lit(2.0), -place))
+    found = assign(ranked, "meeting_id", "speaker", "name", "score").select("meeting_id", "speaker", "name")
+    return found.join(votes.select("meeting_id", "speaker", "name", "votes", F.col("share").alias("confidence")), ["meeting_id", "speaker", "name"])

@@ -13,7 +13,6 @@ from colloquy.functions import reports as R
 from colloquy.functions import text as T
 from colloquy.functions import vectors as V
 from colloquy.operators import audit, clustering, diarize, dsp, grounding, identity, render, runs, speakers, stages, store
-from colloquy.operators.assignment import assign
 from colloquy.operators.matching import top_matches
 from colloquy.plans.views import EPOCH, FRAG_SQL, HOUR, SEG_SQL, SOUND_SQL, UTT_SQL, frag, seg, seg_rows, sound, table, utt, vec
 from colloquy.sources.shared import new_folder, written
@@ -139,13 +138,16 @@ _NAMES = {"Than": r"\bthan", "Oner": r"oner", "Étion": r"étion", "Sch": r"sch\
 _NAMES_SQL = ", ".join(f"('{n}', '{p}')" for n, p in {"Than": r"\bthan", "Oner": "oner", "Étion": "étion", "Sch": r"sch([^\p{L}\p{N}_]|$)"}.items())
 
 
-@query(
-    f"""with {UTT_SQL}, names as (select * from (values {_NAMES_SQL}) v(name, pattern)),
+_VOTES_SQL = f"""names as (select * from (values {_NAMES_SQL}) v(name, pattern)),
 u as (select *, lead(speaker, 1) over w as a, lag(speaker, 1) over w as b, lead(speaker, 2) over w as c from utt window w as (partition by meeting_id order by seq)),
 m as (select u.*, name from u join names on regexp_matches(text, pattern, 'i')),
 v as (select meeting_id, name, a as speaker, 1.0::double as w from m where a <> m.speaker union all select meeting_id, name, b, 0.6 from m where b <> m.speaker union all select meeting_id, name, c, 0.4 from m where c <> m.speaker),
 t as (select meeting_id, name, speaker, sum(w) as votes from v group by all),
-g as (select distinct meeting_id, speaker from utt), x as (select g.meeting_id, n.name, g.speaker, coalesce(t.votes, 0) as votes from g cross join names n left join t on t.meeting_id = g.meeting_id and t.name = n.name and t.speaker = g.speaker)
+g as (select distinct meeting_id, speaker from utt), x as (select g.meeting_id, n.name, g.speaker, coalesce(t.votes, 0) as votes from g cross join names n left join t on t.meeting_id = g.meeting_id and t.name = n.name and t.speaker = g.speaker)"""
+
+
+@query(
+    f"""with {UTT_SQL}, {_VOTES_SQL}
 select meeting_id, name, speaker, round(votes, 6) as votes, round(coalesce(votes / nullif(sum(votes) over (partition by meeting_id, speaker), 0), 0), 6) as share from x"""
 )
 def neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,11 +155,30 @@ def neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("meeting_id", "name", "speaker", r6(F.col("votes")).alias("votes"), r6(F.col("share")).alias("share"))
 
 
-@query()
+def _best_sum_sql(pairs: str, left: str, right: str, score: str, most: int) -> str:
+    """CTEs that end in best(recording_id, asg): pairs of greatest total over subsets of the right side, for up to ``most``
+    on the left and 60 on the right, where the right side is the longer one."""
+    steps = [f"lx as (select *, dense_rank() over (partition by recording_id order by {left}) as l, dense_rank() over (partition by recording_id order by {right}) - 1 as r from {pairs})", "nl as (select recording_id, max(l) as n from lx group by recording_id)"]
+    steps.append("k_0 as (select recording_id, n, 0::bigint as mask, 0.0::double as total, []::struct(l varchar, r varchar, s double)[] as asg from nl)")
+    for t in range(1, most + 1):
+        pick = f"list_append(k.asg, {{'l': lx.{left}::varchar, 'r': lx.{right}::varchar, 's': lx.{score}}})"
+        steps.append(f"k_{t} as (select recording_id, n, mask, max(total) as total, arg_max(asg, total) as asg from (select k.recording_id, k.n, k.mask | (1::bigint << lx.r) as mask, k.total + lx.{score} as total, {pick} as asg from k_{t - 1} k join lx on lx.recording_id = k.recording_id and lx.l = {t} and k.mask & (1::bigint << lx.r) = 0) group by recording_id, n, mask union all select * from k_{t - 1} where n < {t})")
+    steps.append(f"best as (select recording_id, arg_max(asg, total) as asg from k_{most} group by recording_id)")
+    return ",\n".join(steps)
+
+
+_VOTED_SQL = """y as (select meeting_id as recording_id, name, speaker, votes, votes + 1e-6::double * power(2, -row_number() over (partition by meeting_id order by name, speaker)) as score from x)"""
+
+
+@query(
+    f"""with {UTT_SQL}, {_VOTES_SQL}, {_VOTED_SQL}, {_best_sum_sql("y", "speaker", "name", "score", 4)}, won as (select recording_id as meeting_id, unnest(asg) as u from best)
+select x.meeting_id, x.speaker, x.name, round(x.votes, 6) as votes, round(coalesce(x.votes / nullif(z.all_votes, 0), 0), 6) as confidence from won join x on x.meeting_id = won.meeting_id and x.speaker = won.u.l and x.name = won.u.r
+join (select meeting_id, speaker, sum(votes) as all_votes from x group by all) z on z.meeting_id = x.meeting_id and z.speaker = x.speaker"""
+)
 def vote_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names given to speakers so that assigned votes are greatest."""
-    votes = speakers.neighbour_votes(utt(spark, sf_dir), _NAMES)
-    return assign(votes, "meeting_id", "name", "speaker", "votes").withColumn("votes", r6(F.col("votes")))
+    found = speakers.name_by_votes(utt(spark, sf_dir), _NAMES)
+    return found.select("meeting_id", "speaker", "name", r6(F.col("votes")).alias("votes"), r6(F.col("confidence")).alias("confidence"))
 
 
 @query(f"with {UTT_SQL} select meeting_id, seq, speaker, text from utt where contains(lower(text), 'tion') and speaker in ('user', 'assistant')")
@@ -302,18 +323,6 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.silhouettes(clustering.centred(rows)).withColumn("silhouette", r6(F.col("silhouette")))
 
 
-def _best_sum_sql(pairs: str, left: str, right: str, score: str, most: int) -> str:
-    """CTEs that end in best(recording_id, asg): pairs of greatest total over subsets of the right side, for up to ``most``
-    on the left and 60 on the right, where the right side is the longer one."""
-    steps = [f"lx as (select *, dense_rank() over (partition by recording_id order by {left}) as l, dense_rank() over (partition by recording_id order by {right}) - 1 as r from {pairs})", "nl as (select recording_id, max(l) as n from lx group by recording_id)"]
-    steps.append("k_0 as (select recording_id, n, 0::bigint as mask, 0.0::double as total, []::struct(l varchar, r varchar, s double)[] as asg from nl)")
-    for t in range(1, most + 1):
-        pick = f"list_append(k.asg, {{'l': lx.{left}::varchar, 'r': lx.{right}::varchar, 's': lx.{score}}})"
-        steps.append(f"k_{t} as (select recording_id, n, mask, max(total) as total, arg_max(asg, total) as asg from (select k.recording_id, k.n, k.mask | (1::bigint << lx.r) as mask, k.total + lx.{score} as total, {pick} as asg from k_{t - 1} k join lx on lx.recording_id = k.recording_id and lx.l = {t} and k.mask & (1::bigint << lx.r) = 0) group by recording_id, n, mask union all select * from k_{t - 1} where n < {t})")
-    steps.append(f"best as (select recording_id, arg_max(asg, total) as asg from k_{most} group by recording_id)")
-    return ",\n".join(steps)
-
-
 @query(
     f"""with {_MATCH_SQL}, {_best_sum_sql("s", "label", "person_id", "score", 10)}, t as (select recording_id, u.l::int as label, u.r as person_id, u.s as score from (select recording_id, unnest(asg) as u from best))
 select c.recording_id, c.label, case when score >= 0.1 then t.person_id end as person_id, case when score >= 0.1 then 'Person ' || substr(t.person_id, 2)::int else 'S' || c.label end as name, round(coalesce(score, 0), 3) as confidence, case when score >= 0.2 then 'auto' when score >= 0.1 then 'suggest' else 'unknown' end as mode
