@@ -73,9 +73,11 @@ def clean_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def collapse_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each first line said three times over comes out once (SQL has no back-references)."""
-    rows = frag(spark, sf_dir).where("frag = 0").withColumn("line", F.regexp_extract("text", r"^[^.!?]{3,40}[.!?]", 0)).where("line != ''")
-    return rows.select("meeting_id", "seq", "line", T.collapse_loops(F.concat_ws(" ", "line", "line", "line")).alias("once"), T.collapse_loops(F.concat_ws(" ", "line", "line")).alias("twice"))
+    """Every text without its loops; and its first sentence, if it is of 3 to 40 characters, said three times and
+    twice (SQL has no back-references)."""
+    rows = frag(spark, sf_dir).withColumn("line", F.nullif(F.regexp_extract("text", r"^[^.!?]{3,40}[.!?]", 0), F.lit("")))
+    said = lambda n: F.when(F.col("line").isNotNull(), T.collapse_loops(F.concat_ws(" ", *["line"] * n)))
+    return rows.select("meeting_id", "seq", T.collapse_loops(F.col("text")).alias("text"), "line", said(3).alias("once"), said(2).alias("twice"))
 
 
 @query(
@@ -431,11 +433,28 @@ _DRIFT = (
 )
 
 
-@query()
+_EMPTY = '{"meta":{},"speakers":{},"resume":[],"points_cles":[],"decisions":[],"actions":[],"chapitres":[],"themes":[],"citations":[]}'
+#: What the literal reports are to become, written by hand.
+_BROUGHT = (
+    '{"meta":{},"speakers":{},"resume":["One text"],"points_cles":["1","two"],"decisions":[],"actions":[],"chapitres":[{"titre":"x","resume":"","t":"0:00:28"}],"themes":[{"theme":"A B","points":["solo"]}],"citations":[{"texte":"just words"}]}',
+    _EMPTY.replace('"actions":[]', '"actions":[{"action":"call them"}]'),
+    _EMPTY,
+    _EMPTY,
+    _EMPTY,
+)
+
+
+@query(
+    f"""with e as (select event_id, event_type as e, props->>'$.k' as k from events)
+select * from (values {", ".join(f"({-1 - i}::bigint, '{r}')" for i, r in enumerate(_BROUGHT))}) v(id, report) union all select event_id, '{_EMPTY}' from e union all
+select event_id + 1000000000, '{{"meta":{{}},"speakers":{{}},"resume":["' || e || '"],"points_cles":["' || k || '","' || e || '"],"decisions":[{{"decision":"' || e || '"}}],"actions":[{{"action":"do ' || e || '"}}],"chapitres":[],"themes":[{{"theme":"' || e || ' ' || k || '","points":["' || k || '"]}}],"citations":[]}}' from e"""
+)
 def normalize_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drifting reports, and the events' properties as the raw text of others."""
+    """Drifting reports, the events' properties as raw texts, and reports that drift, made of each event."""
     literals = spark.range(1).select(F.posexplode(F.array(*map(F.lit, _DRIFT))).alias("id", "raw")).select((-1 - F.col("id")).cast("long").alias("id"), "raw")
-    rows = literals.union(table(spark, sf_dir, "events").select("event_id", "props"))
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    made = F.format_string('so: {"resume": "%1$s", "points_cles": [%2$s, ["%1$s", null]], "decisions": ["%1$s"], "actions": "do %1$s", "themes": {"theme": ["%1$s", %2$s], "points": %2$s}} end', "event_type", "k")
+    rows = literals.union(events.select("event_id", "props")).union(events.select(F.col("event_id") + 1_000_000_000, made))
     return rows.select("id", F.to_json(R.normalize_report(F.col("raw"))).alias("report"))
 
 
