@@ -33,8 +33,10 @@ def best_overlap(citations: DataFrame, utterances: DataFrame, by: list[str], cit
     asked = written(citations.select(*by, F.col(cite_id).alias("_q"), T.tokens(F.col(quote)).alias("_tq")).where(F.size("_tq") > 0), "quotes")
     wanted = written(asked.select(*by, F.explode("_tq").alias("_w")).distinct(), "words")
     said = utterances.select(*by, F.array_sort(T.tokens(F.col(text))).alias("_t"))
-    words = said.select(*by, F.xxhash64("_t").alias("_u"), F.size("_t").alias("_m"), F.explode("_t").alias("_w"))
-    lines = written(words.join(wanted, [*by, "_w"], "left_semi").groupBy(*by, "_u", "_m").agg(F.collect_set("_w").alias("_words")), "lines")
+    # equal lines are one before their words are taken apart; the words of a line then meet again where they are
+    sets = said.select(*by, F.xxhash64("_t").alias("_u"), F.size("_t").alias("_m"), "_t").groupBy(*by, "_u", "_m").agg(F.any_value("_t").alias("_t"))
+    words = sets.select(*by, "_u", "_m", F.explode("_t").alias("_w")).join(wanted, [*by, "_w"], "left_semi")
+    lines = written(words.groupBy(*by, "_u", "_m").agg(F.collect_list("_w").alias("_words")), "lines")
     index = lines.select(*by, "_u", "_m", F.explode("_words").alias("_w"))
     counts = index.groupBy(*by, "_w").agg(F.count(F.lit(1)).alias("_df"))
     ranked = asked.select(*key, F.explode("_tq").alias("_w")).join(counts, [*by, "_w"], "left").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("d"), "_w"))).alias("_r"))
