@@ -139,9 +139,15 @@ def vault(reports: DataFrame, audio: str = "", report: str = "") -> DataFrame:
     return meetings.unionByName(people)
 
 
-def preserve(new: DataFrame, old: DataFrame, marker: str = MARKER) -> DataFrame:
-    """(path, content): generated text above the marker, below it what stood below the old file's first marker."""
-    return new.select("path", "content").join(old.select("path", F.col("content").alias("_old")), "path", "left").select("path", T.preserve_tail(F.col("content"), F.col("_old"), marker).alias("content"))
+def preserve(new: DataFrame, old: DataFrame, marker: str = MARKER, earlier: tuple[str, ...] = ()) -> DataFrame:
+    """(path, content): generated text above the marker, below it what stood below the old file's first marker.
+    ``earlier``: markers that older files may have in its place; the first of them that stands in a file without
+    the present one is read as it, so a vault is moved over by being written once."""
+    held = F.col("content")
+    for name in earlier:
+        moved = F.concat(F.substring_index(held, name, 1), F.lit(marker), F.substr(held, F.locate(name, held) + len(name)))
+        held = F.when(F.contains(held, F.lit(name)) & ~F.contains(held, F.lit(marker)), moved).otherwise(held)
+    return new.select("path", "content").join(old.select("path", held.alias("_old")), "path", "left").select("path", T.preserve_tail(F.col("content"), F.col("_old"), marker).alias("content"))
 
 
 FORMATS = ("md", "html", "vault")

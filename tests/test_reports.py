@@ -190,3 +190,11 @@ def test_best_overlap_equals_all_pairs(spark):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
     levels = [sum(low <= b < high for b in want.values()) for low, high in ((0.5, 2), (0.25, 0.5), (0.125, 0.25), (0, 0.125))]
     assert all(levels), levels
+
+
+def test_notes_below_an_earlier_marker_are_kept(spark):
+    new = spark.createDataFrame([("a", "new\n"), ("b", "new\n"), ("c", "new\n"), ("d", "new\n")], "path string, content string")
+    old = spark.createDataFrame([("a", "x\n<!-- v1 -->\nmine <!-- v1 --> too"), ("b", f"x\n{render.MARKER}\nmine <!-- v1 -->"), ("c", "x <!-- v0 -->\nolder")], "path string, content string")
+    got = {r.path: r.content for r in render.preserve(new, old, earlier=("<!-- v1 -->", "<!-- v0 -->")).collect()}
+    assert got["a"].endswith(f"{render.MARKER}\nmine <!-- v1 --> too") and got["b"].endswith(f"{render.MARKER}\nmine <!-- v1 -->") and got["c"].endswith(f"{render.MARKER}\nolder")
+    assert all(v.startswith("new\n") for v in got.values()) and "mine" not in got["d"]
