@@ -12,17 +12,21 @@ diagonal-wise alignment in a band of ``threshold`` width, after a bag-of-words b
 
 Candidates are worked off in three rounds, each between components that the rounds before have found.
 First every text meets one text: of the least members of its buckets the one that it shares most
-buckets with. What is left of a bucket is then tested in cells: all members of a bucket of at most
-``block`` texts; the members of larger ones, which share a common passage, are dealt anew by prefix
-filtering: texts of ``threshold`` share a labelled word among their rarest ones, so each of these words
-is a cell (split into blocks where it is large itself) and unlike texts with a common passage no
-longer meet. The second round takes, of each two components in a cell, the ``FEW`` pairs likest by
-signature, which links what belongs together without a row for every pair of two groups; the third
-takes all pairs left. A cell passes on only pairs whose lengths and signatures (parities of hashed words,
+buckets with. What is left of a bucket is then tested in cells: a bucket of at most ``block`` texts is one;
+a larger one, whose texts share a common passage, is split into blocks with a cell for each two of them,
+and a pair that shares several of these is taken up in the one of least key only. So each text stands in as
+many cells as its bucket has blocks. Where that would be more than ``wide``, members are dealt anew by
+prefix filtering in its place: texts of ``threshold`` share a labelled word among their rarest ones, so each
+of these words is a cell (split into blocks where it is large itself) and unlike texts with a common passage
+no longer meet. Both ways find the same pairs. The second round takes, of each two components in a cell,
+the ``FEW`` pairs likest by signature, which links what belongs together without a row for every pair of
+two groups; the third takes all pairs left. A cell passes on only pairs whose lengths and signatures (parities of hashed words,
 at most as many of which differ as words do) leave the threshold within reach. All three bounds are
 exact, so no pair that shares a bucket is lost. Signatures of n texts in one cell are compared in
-n * n / 2 vectorised steps, in tasks of two blocks each; cells are that large only where more texts than
-``block`` share a word that is among the rarest fifth of each of them, and still are in two components.
+n * n / 2 vectorised steps, in tasks of two blocks each: of buckets of at most ``wide`` blocks, and beyond
+them only where so many texts share a word that is among the rarest fifth of each, and still are in two
+components. Alignment compares words by 32-bit hashes, so two different words are taken for one with a
+probability of 2 ** -32.
 
 Words are runs without ASCII white space, lower-cased and stripped of ASCII punctuation at both ends
 (kept where nothing else is left).
@@ -44,6 +48,9 @@ from colloquy.llm.components import connected_components
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 THRESHOLD, K, ELL, SLOTS, BLOCK = 0.8, 2, 2, 40, 1024
+#: Blocks of a bucket up to which its members meet block by block: as many cells for each text as rare words
+#: of a text of some 300 words would be.
+WIDE = 64
 #: Texts of at most so many words have ``slots`` more sketches, of one run each.
 SHORT = 40
 #: Least and most bits of a signature; between them, four to eight for each word. Cells hold signatures
@@ -340,9 +347,18 @@ def _few_of_each(x, y, bits, component, cell, few):
     return order[at - np.maximum.accumulate(np.where(new, at, 0)) < few]
 
 
+def _met_before(key: np.ndarray, large: list[frozenset | None], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs (x, y) of rows whether their texts share a larger bucket of a lesser key than the rows'."""
+    out = np.zeros(len(x), bool)
+    for p, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+        if large[i] and large[j]:
+            out[p] = min(large[i] & large[j]) < key[i]
+    return out
+
+
 def _cell_pairs(threshold: float, few: int | None):
-    """Pairs within reach of rows (key, i, j, side, n_words, doc, component, signature) in order of cells:
-    of the two sides of a cell, or of all its rows where it is a block with itself; of each two
+    """Pairs within reach of rows (key, i, j, side, n_words, doc, component, large, signature) in order of
+    cells, ``large`` being the larger buckets of a row's text (null: the cell is of another kind): of the two sides of a cell, or of all its rows where it is a block with itself; of each two
     components in a cell ``few`` at least and a bounded number of times as many, or all pairs. A key
     that pairs were held back of is given in ``key``, without a pair."""
 
@@ -353,6 +369,7 @@ def _cell_pairs(threshold: float, few: int | None):
         group = np.concatenate(([0], np.cumsum((cell[1:] != cell[:-1]).any(1))))
         side, n, doc, component = (rows.column(c).to_numpy() for c in ("side", "n_words", "doc", "component"))
         signatures = rows.column("signature").to_pylist()
+        large = [x and frozenset(x) for x in rows.column("large").to_pylist()]
         own = cell[:, 1] == cell[:, 2]
         seen: list[tuple] = []
 
@@ -363,6 +380,8 @@ def _cell_pairs(threshold: float, few: int | None):
                 bits = _differing(signatures, x, y)
                 near = bits <= _reach(n[x], n[y], threshold)[1]
                 x, y, bits = x[near], y[near], bits[near]
+                once = ~_met_before(cell[:, 0], large, x, y)
+                x, y, bits = x[once], y[once], bits[once]
                 if few is not None and len(x):
                     at = _few_of_each(x, y, bits, component, group, few)
                     held_back = np.unique(np.delete(cell[x, 0], at))
@@ -419,19 +438,19 @@ def _cell_pairs(threshold: float, few: int | None):
 
 
 def _cells(members: DataFrame, block: int) -> DataFrame:
-    """(key, i, j, side, doc, component) of the cells of all keys that stand in two components: one cell
+    """(key, i, j, side, doc, component, large) of the cells of all keys that stand in two components: one cell
     for each two blocks of a key's members."""
     facts = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     facts = facts.select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
     dealt = members.join(facts, "key").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks")))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "component")
+    return cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "component", "large")
 
 
 def _between(members: DataFrame, texts: DataFrame, threshold: float, block: int, few: int | None) -> DataFrame:
     """Pairs (a, b) within reach between the components of each key, cell by cell, and keys not done with."""
     known = texts.select(F.col("uid").alias("doc"), "n_words", "signature")
-    cells = _cells(members, block).join(known, "doc").select("key", "i", "j", "side", "n_words", "doc", "component", "signature")
+    cells = _cells(members, block).join(known, "doc").select("key", "i", "j", "side", "n_words", "doc", "component", "large", "signature")
     cells = cells.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return cells.mapInArrow(_cell_pairs(threshold, few), "a long, b long, key long").distinct()
 
@@ -484,10 +503,10 @@ def _rare_words(texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    return members.join(labels, F.col("doc") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "doc"))
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = K, ell: int = ELL, slots: int = SLOTS, block: int = BLOCK, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = K, ell: int = ELL, slots: int = SLOTS, block: int = BLOCK, short: int = SHORT, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h1, h2) of every row, and a row for each different text: h1, h2 (its hashes), copy_of
     (its least id), class_id (the least id of its class), first (whether it stands for its class)."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -504,12 +523,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     best = votes.groupBy("doc").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("best")).select((-F.col("best.p")).alias("a"), F.col("doc").alias("b"))
     tested = materialize(_likely(best, heads, threshold), "pairs")
     labels = _relabel(None, materialize(links_of(tested, texts, threshold), "links"))
-    # members of larger buckets in two components are dealt by their rarest words
-    open_ = _named(buckets.where(F.col("n") > block), labels)
+    # members of the widest buckets in two components are dealt by their rarest words, others stay by bucket
+    open_ = _named(buckets.where(F.col("n") > wide * block).select("key", "doc"), labels)
     unsettled = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     dealt = materialize(open_.join(unsettled, "key", "left_semi").select("doc").distinct(), "dealt")
     rare = _rare_words(texts.join(dealt, F.col("uid") == F.col("doc"), "left_semi").select("uid", "words"), threshold)
-    members = materialize(buckets.where(F.col("n") <= block).select("key", "doc").union(rare), "members")
+    alone = F.lit(None).cast("array<long>").alias("large")
+    larger = buckets.where((F.col("n") > block) & (F.col("n") <= wide * block)).groupBy("doc").agg(F.collect_set("key").alias("large"))
+    larger = larger.select(F.explode("large").alias("key"), "doc", "large")
+    members = materialize(buckets.where(F.col("n") <= block).select("key", "doc", alone).union(rare.select("key", "doc", alone)).union(larger), "members")
     for few in (FEW, None):
         found = materialize(_between(_named(members, labels), heads, threshold, block, few), "cells")
         fresh = found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")

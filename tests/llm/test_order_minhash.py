@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from colloquy.llm import order_minhash as m
 from colloquy.llm.components import connected_components
@@ -125,7 +126,8 @@ def test_components(spark):
     assert got == {x: top(x) for p in pairs if p[0] != p[1] for x in p}
 
 
-def test_pairs_that_share_a_hot_passage_are_all_linked(spark):
+@pytest.mark.parametrize("block, wide", [(1024, 64), (32, 64), (32, 1)])
+def test_pairs_that_share_a_hot_passage_are_all_linked(spark, block, wide):
     # the passage fills most of every text, so that all texts share buckets
     passage = [f"passage{j}" for j in range(70)]
     texts = []
@@ -133,7 +135,7 @@ def test_pairs_that_share_a_hot_passage_are_all_linked(spark):
         own = [f"own{i}n{j}" for j in range(30)]
         # no run of five own words is left whole
         texts += [" ".join(passage + own), " ".join(passage + [f"new{i}n{j}" if j % 5 == 2 else w for j, w in enumerate(own)])]
-    got = {r.doc_id: r.class_id for r in m.near_duplicates(make(spark, texts)).collect()}
+    got = {r.doc_id: r.class_id for r in m.near_duplicates(make(spark, texts), block=block, wide=wide).collect()}
     assert got == {i: i - i % 2 for i in range(200)}
 
 
@@ -157,3 +159,10 @@ def test_pairs_at_the_threshold_are_linked_at_every_length(spark):
     missed = [i // 2 % 4 for i, c in got.items() if c != i - i % 2]
     # slots are drawn: of long pairs one in 1700 is missed, of short ones none
     assert len(got) == 480 and all(kind == 3 for kind in missed) and len(missed) <= 1
+
+
+def test_a_pair_is_taken_up_once_among_larger_buckets():
+    large = [frozenset({1, 5, 9}), frozenset({5, 9}), None, frozenset({9})]
+    x, y = np.array([0, 0, 2, 1]), np.array([1, 3, 1, 3])
+    assert m._met_before(np.array([9, 9, 9, 9]), large, x, y).tolist() == [True, False, False, False]
+    assert m._met_before(np.array([5, 5, 5, 5]), large, x[:1], y[:1]).tolist() == [False]
