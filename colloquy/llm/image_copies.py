@@ -9,9 +9,13 @@ are matches. A match votes for the turn, scale and shift it implies, and images
 ``MIN_VOTES`` corners that agree in one cell of that space (shift cells of 8 pixels on four
 overlapping grids). Classes are the connected components of links.
 
-A bucket of at most ``SMALL`` images gives all pairs; a larger one pairs each image with its least
-image only, so no bucket emits all pairs: images of a larger group are joined through it, and by their
-other descriptors.
+Images with the same corners are one from here on. Each first meets one image: of the least members of its
+buckets the one that it shares most buckets with. What is left of a bucket, which is what then stands in two
+components, is tested whole: one of at most ``SMALL`` images gives its pairs, a larger one is split into
+blocks with a cell for each two of them, whose task tests all pairs of different components and returns
+the links that join components, at most one less than it has images. So all images that share a bucket
+and are linked are in one class, and no bucket emits all its pairs. Links are counted within classes, all
+pairs, in cells of the same kind that return one number for each image.
 
 Images are binary portable graymaps or pixmaps (``P5``, ``P6``, one byte a sample; color is averaged).
 
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from colloquy.llm._common import materialize
 from colloquy.llm.components import connected_components
 
-CORNERS, RADIUS, TURNS, MAX_BITS, MIN_VOTES, CELL, SMALL = (20, 12), 8, 36, 24, 6, 8, 32
+CORNERS, RADIUS, TURNS, MAX_BITS, MIN_VOTES, CELL, SMALL, BLOCK = (20, 12), 8, 36, 24, 6, 8, 32, 256
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -179,46 +183,188 @@ def describe(images: DataFrame, corners_by_scale: tuple[int, ...] = CORNERS) ->
     return images.select(F.col("image_id").cast("long").alias("image_id"), "image").mapInArrow(_describe(corners_by_scale), "image_id long, level int, y long, x long, turn long, q0 long, q1 long, q2 long, q3 long")
 
 
-def links_of(described: DataFrame, max_bits: int = MAX_BITS, min_votes: int = MIN_VOTES, small: int = SMALL) -> DataFrame:
-    """(a, b, votes) of images that enough corners place alike."""
-    tables = F.array(*(F.xxhash64(F.lit(10 * i + j), f"q{i}", f"q{j}") for i in range(4) for j in range(i + 1, 4)))
-    keyed = described.select(F.explode(tables).alias("key"), "*")
-    counted = keyed.groupBy("key").agg(F.min("image_id").alias("least"), F.max("image_id").alias("most"), F.approx_count_distinct("image_id").alias("n")).where("least < most")
-    met = materialize(keyed.join(counted, "key"), "buckets")
-    one, two = met.alias("a"), met.alias("b")
-    few = one.where(F.col("n") <= small).join(two.where(F.col("n") <= small), F.col("a.key") == F.col("b.key")).where("a.image_id < b.image_id")
-    many = one.where((F.col("n") > small) & (F.col("image_id") == F.col("least"))).join(two.where(F.col("n") > small), F.col("a.key") == F.col("b.key")).where("a.image_id < b.image_id")
-    side = lambda s: [F.col(f"{s}.{c}").alias(f"{s}_{c}") for c in ("image_id", "level", "y", "x", "turn")]
-    bits = sum((F.bit_count(F.col(f"a.q{q}").bitwiseXOR(F.col(f"b.q{q}"))) for q in range(4)), F.lit(0))
-    matches = few.where(bits <= max_bits).select(*side("a"), *side("b")).union(many.where(bits <= max_bits).select(*side("a"), *side("b"))).distinct()
-    # only pairs with enough matches can have enough that agree
-    matches = materialize(matches, "matches")
-    rich = matches.groupBy("a_image_id", "b_image_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_votes).drop("n")
-    matches = matches.join(rich, ["a_image_id", "b_image_id"])
-    spin = F.pmod(F.col("b_turn") - F.col("a_turn"), F.lit(TURNS))
-    zoom = F.col("b_level") - F.col("a_level")
-    angle, scale = F.radians(spin * (360 / TURNS)), F.pow(F.lit(2.0), zoom)
-    ty = F.col("b_y") - scale * (F.cos(angle) * F.col("a_y") + F.sin(angle) * F.col("a_x"))
-    tx = F.col("b_x") - scale * (F.cos(angle) * F.col("a_x") - F.sin(angle) * F.col("a_y"))
-    voted = matches.select(F.col("a_image_id").alias("a"), F.col("b_image_id").alias("b"), spin.alias("spin"), zoom.alias("zoom"), ty.alias("ty"), tx.alias("tx"), F.struct("a_level", "a_y", "a_x").alias("corner"), F.struct("b_level", "b_y", "b_x").alias("other"))
-    grid = F.array(*(F.struct(F.lit(g).alias("g"), F.floor((F.col("ty") + CELL / 2 * (g // 2)) / CELL).alias("cy"), F.floor((F.col("tx") + CELL / 2 * (g % 2)) / CELL).alias("cx")) for g in range(4)))
-    cells = voted.withColumn("cell", F.explode(grid)).groupBy("a", "b", "spin", "zoom", "cell").agg(F.least(F.size(F.collect_set("corner")), F.size(F.collect_set("other"))).alias("votes"))
-    return cells.groupBy("a", "b").agg(F.max("votes").alias("votes")).where(F.col("votes") >= min_votes)
+def _agreeing(left: list[np.ndarray], right: list[np.ndarray], max_bits: int, min_votes: int) -> np.ndarray:
+    """Of pairs of images, each a (corners, 8) array of level, y, x, turn and four quarters, whether enough corners agree."""
+    out = np.zeros(len(left), bool)
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    first = 0
+    while first < len(left):
+        # as many pairs at once as make about a million comparisons
+        wide = [np.maximum.accumulate(n[first : first + 1000]) for n in sizes]
+        count = max(1, int(np.searchsorted(wide[0] * wide[1] * np.arange(1, len(wide[0]) + 1), 1 << 20)))
+        part = slice(first, first + count)
+        padded = []
+        for side, n, none in zip((left[part], right[part]), sizes, (-1, -2)):
+            rows = np.full((len(side), int(n[part].max()), 8), none, np.int64)
+            rows[np.arange(rows.shape[1]) < n[part][:, None]] = np.concatenate(side)
+            padded.append(rows)
+        a, b = padded
+        # two quarters are equal by their lower halves first
+        low_a, low_b = (np.ascontiguousarray(np.moveaxis(rows[:, :, 4:], 2, 0).astype(np.int32)) for rows in padded)
+        alike = np.zeros((count := len(a), a.shape[1], b.shape[1]), np.int8)
+        for x, y in zip(low_a, low_b):
+            alike += x[:, :, None] == y[:, None, :]
+        pair, i, j = np.nonzero(alike >= 2)
+        differ = a[pair, i, 4:] ^ b[pair, j, 4:]
+        near = (i < sizes[0][part][pair]) & (j < sizes[1][part][pair]) & ((differ == 0).sum(1) >= 2) & (np.bitwise_count(differ.view(np.uint64)).sum(1, dtype=np.int64) <= max_bits)
+        pair, i, j = pair[near], i[near], j[near]
+        # only pairs with enough matches can have enough that agree
+        most = [np.bincount(np.unique(pair * alike.shape[d + 1] + at) // alike.shape[d + 1], minlength=count) for d, at in enumerate((i, j))]
+        rich = (np.minimum(*most) >= min_votes)[pair]
+        pair, i, j = pair[rich], i[rich], j[rich]
+        if len(pair):
+            (la, ya, xa, ta), (lb, yb, xb, tb) = a[pair, i, :4].T, b[pair, j, :4].T
+            spin, zoom = (tb - ta) % TURNS, lb - la
+            angle, scale = np.radians(spin * (360 / TURNS)), 2.0**zoom
+            ty = yb - scale * (np.cos(angle) * ya + np.sin(angle) * xa)
+            tx = xb - scale * (np.cos(angle) * xa - np.sin(angle) * ya)
+            for g in range(4):
+                cell = np.stack((pair, spin, zoom, np.floor((ty + CELL / 2 * (g // 2)) / CELL).astype(np.int64), np.floor((tx + CELL / 2 * (g % 2)) / CELL).astype(np.int64)), 1)
+                cell, of = np.unique(cell, axis=0, return_inverse=True)
+                votes = [np.bincount(np.unique(np.stack((of.ravel(), level, y, x), 1), axis=0)[:, 0], minlength=len(cell)) for level, y, x in ((la, ya, xa), (lb, yb, xb))]
+                out[first + cell[np.minimum(*votes) >= min_votes, 0]] = True
+        first += count
+    return out
+
+
+def _corners_of(column) -> list[np.ndarray]:
+    """(corners, 8) arrays of an Arrow column of lists of corners."""
+    flat = np.stack([x.to_numpy().astype(np.int64) for x in column.flatten().flatten()], 1)
+    ends = np.cumsum(np.diff(column.offsets.to_numpy()))
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
+def _test_pairs(max_bits: int, min_votes: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            good = pa.array(_agreeing(_corners_of(batch.column("corners_a")), _corners_of(batch.column("corners_b")), max_bits, min_votes))
+            yield batch.select(["a", "b"]).filter(good)
+
+    return run
+
+
+def _pairs_of(cell) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x, y) of a cell's rows, x of the lesser node: of its two sides, or of all rows of one block, in strips."""
+    side, node = cell.column("side").to_numpy(), cell.column("node").to_numpy()
+    own = cell.column("i")[0].as_py() == cell.column("j")[0].as_py()
+    for x in range(len(node)):
+        y = np.arange(x + 1, len(node))
+        y = y if own else y[side[y] != side[x]]
+        if len(y):
+            less = node[x] < node[y]
+            yield np.where(less, x, y), np.where(less, y, x)
+
+
+def _join_cell(max_bits: int, min_votes: int):
+    """Links of a cell that join its components: all pairs are tested but those that are in one component by then."""
+
+    def run(cell):
+        import pyarrow as pa
+
+        cell = cell.combine_chunks()
+        node, corners = cell.column("node").to_numpy(), _corners_of(cell.column("corners").combine_chunks())
+        component = cell.column("component").to_numpy().copy()
+        ends = []
+        for x, y in _pairs_of(cell):
+            open_ = component[x] != component[y]
+            x, y = x[open_], y[open_]
+            good = _agreeing([corners[i] for i in x], [corners[i] for i in y], max_bits, min_votes)
+            for i, j in zip(x[good].tolist(), y[good].tolist()):
+                if component[i] != component[j]:
+                    ends.append((node[i], node[j]))
+                    component[component == component[j]] = component[i]
+        a, b = np.array(ends, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return run
+
+
+def _count_links(max_bits: int, min_votes: int):
+    """Of a cell's nodes, how many images they are linked to by the pairs of the cell."""
+
+    def run(cell):
+        import pyarrow as pa
+
+        cell = cell.combine_chunks()
+        images, corners = cell.column("images").to_numpy(), _corners_of(cell.column("corners").combine_chunks())
+        links = np.zeros(len(images), np.int64)
+        for x, y in _pairs_of(cell):
+            good = _agreeing([corners[i] for i in x], [corners[i] for i in y], max_bits, min_votes)
+            np.add.at(links, x[good], images[y[good]])
+            np.add.at(links, y[good], images[x[good]])
+        return pa.table({"node": cell.column("node"), "n": pa.array(links)})
+
+    return run
+
+
+def _cells(members: DataFrame, key: str, block: int) -> DataFrame:
+    """``members`` once for each other block of their key: a cell (key, i, j) for each two blocks."""
+    sizes = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    dealt = members.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return cells.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other", "blocks")
+
+
+def links_of(described: DataFrame, max_bits: int = MAX_BITS, min_votes: int = MIN_VOTES, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """(image_id, component, n_links) of all images that have enough corners to be linked."""
+    corner = F.struct("level", "y", "x", "turn", "q0", "q1", "q2", "q3")
+    drawn = described.groupBy("image_id").agg(F.sort_array(F.collect_list(corner)).alias("corners")).where(F.size("corners") >= min_votes)
+    drawn = materialize(drawn.select("image_id", F.xxhash64("corners").alias("h1"), F.xxhash64(F.lit(7), "corners").alias("h2"), "corners"), "drawn")
+    # images with the same corners are one node
+    alike = materialize(drawn.groupBy("h1", "h2").agg(F.min("image_id").alias("node"), F.count(F.lit(1)).alias("images")), "alike")
+    nodes = drawn.join(alike.select(F.col("node").alias("image_id"), F.col("node"), "images"), "image_id").select("node", "images", "corners")
+    nodes = materialize(nodes, "nodes")
+    tables = F.array(*(F.xxhash64(F.lit(10 * i + j), F.col("c")[f"q{i}"], F.col("c")[f"q{j}"]) for i in range(4) for j in range(i + 1, 4)))
+    keyed = nodes.select("node", F.explode("corners").alias("c")).select("node", F.explode(tables).alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(keyed.join(shared, "key"), "buckets")
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        sides = [nodes.select(F.col("node").alias(x), F.col("corners").alias(f"corners_{x}")) for x in "ab"]
+        return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_test_pairs(max_bits, min_votes), "a long, b long")
+
+    # each with the least member of a bucket that it shares most buckets with
+    votes = met.where("node != pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("best")).select((-F.col("best.p")).alias("a"), F.col("node").alias("b"))
+    links = materialize(tested(best), "links")
+    labels = materialize(connected_components(links).withColumnRenamed("node", "of"), "labels")
+    # what is left of a bucket is what stands in two components
+    named = lambda rows: rows.join(labels, F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node")).drop("of")
+    members = named(met.select("node", "key", "n"))
+    unsettled = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    members = materialize(members.join(unsettled, "key", "left_semi"), "members")
+    few = members.where(F.col("n") <= small)
+    pairs = few.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(few.select("key", F.col("node").alias("b"), F.col("component").alias("cb")), "key")
+    pairs = pairs.where("a < b and ca != cb").select("a", "b").distinct()
+    cells = _cells(members.where(F.col("n") > small).select("node", "key", "component"), "key", block).join(nodes, "node")
+    joined = cells.groupBy("key", "i", "j").applyInArrow(_join_cell(max_bits, min_votes), "a long, b long")
+    links = materialize(links.union(tested(pairs)).union(joined), "links")
+    labels = materialize(connected_components(links).withColumnRenamed("node", "of"), "labels")
+    # links lie within classes, so that each class counts its own
+    linked = nodes.join(labels, F.col("node") == F.col("of")).drop("of")
+    counted = _cells(linked, "component", block).groupBy("component", "i", "j").applyInArrow(_count_links(max_bits, min_votes), "node long, n long")
+    counted = counted.groupBy("node").agg(F.sum("n").alias("n"))
+    # a node links its own images if their corners stand on enough places
+    places = F.size(F.array_distinct(F.transform("corners", lambda c: F.struct(c["level"], c["y"], c["x"]))))
+    facts = named(nodes.select("node", "images", (places >= min_votes).alias("whole"))).join(counted, "node", "left")
+    of_node = facts.select("node", "whole", "component", (F.coalesce("n", F.lit(0)) + F.when(F.col("whole"), F.col("images") - 1).otherwise(0)).alias("n_links"))
+    out = drawn.select("image_id", "h1", "h2").join(alike, ["h1", "h2"]).join(of_node, "node")
+    return out.select("image_id", F.when(F.col("whole"), F.col("component")).otherwise(F.col("image_id")).alias("component"), "n_links")
 
 
 def copies(images: DataFrame, image_id: str = "image_id", image: str = "image", **options) -> DataFrame:
     """image_id, class_id (the least id of its class), copy_of (the least id of equal bytes), n_links
-    (different images that its pixels were linked to), one row per row of ``images``."""
+    (different images that its pixels are linked to), one row per row of ``images``."""
     rows = images.select(F.col(image_id).cast("long").alias("image_id"), F.col(image).cast("binary").alias("image"))
     named = F.coalesce(F.sha2("image", 256), F.concat(F.lit("none:"), F.coalesce(F.col("image_id").cast("string"), F.lit(""))))
     rows = materialize(rows.withColumn("h", named), "images")
     firsts = rows.where("image_id is not null").groupBy("h").agg(F.min("image_id").alias("copy_of"))
     lone = rows.join(firsts, (rows.h == firsts.h) & (F.col("image_id") == F.col("copy_of")), "left_semi").dropDuplicates(["h"])
     described = materialize(describe(lone), "corners")
-    links = materialize(links_of(described, **options), "links")
-    labels = connected_components(links)
-    degree = links.select("a", "b").union(links.select("b", "a")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    named = firsts.join(labels, F.col("copy_of") == F.col("node"), "left").join(degree, F.col("copy_of") == F.col("a"), "left").select("h", "copy_of", F.coalesce("component", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    links = materialize(links_of(described, **options), "classes").withColumnRenamed("image_id", "node")
+    named = firsts.join(links, F.col("copy_of") == F.col("node"), "left").select("h", "copy_of", F.coalesce("component", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = rows.select("image_id", "h").join(named, "h", "left")
     known = F.col("image_id").isNotNull()
     return out.select("image_id", F.when(known, F.col("class_id")).alias("class_id"), F.when(known, F.col("copy_of")).alias("copy_of"), F.when(known, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))

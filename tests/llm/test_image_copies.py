@@ -30,3 +30,21 @@ def test_empty_table(spark):
 def test_decode():
     assert m.decode(m.encode(np.arange(6, dtype=np.uint8).reshape(2, 3))).tolist() == [[0, 1, 2], [3, 4, 5]]
     assert m.decode(b"P5 9 9 255\nxx") is None
+
+
+def test_all_links_of_large_buckets_are_found(spark):
+    """All images have the same eight corners, and only two and two have them in the same places: 16, 3 or 20 pairs of
+    blocks, and one class whose images have their corners in the same place."""
+    draw = np.random.default_rng(4)
+    quarters = draw.integers(-(2**62), 2**62, (8, 4)).tolist()
+    rows = []
+    for pair in range(40):
+        places = draw.integers(0, 4000, (8, 2)).tolist()
+        rows += [(2 * pair + k, 0, y + 3 * k, x, 0, *q) for k in range(2) for (y, x), q in zip(places, quarters)]
+    rows += [(image, 0, 50 * t, 70 * t * t, 0, *q) for image in range(80, 85) for t, q in enumerate(quarters)]
+    described = spark.createDataFrame(rows, "image_id long, level int, y long, x long, turn long, q0 long, q1 long, q2 long, q3 long")
+    want = {i: (i - i % 2, 1) for i in range(80)} | {i: (80, 4) for i in range(80, 85)}
+    for block in (256, 16):
+        assert {r.image_id: (r.component, r.n_links) for r in m.links_of(described, block=block).collect()} == want
+    # buckets that give their pairs find the same
+    assert {r.image_id: (r.component, r.n_links) for r in m.links_of(described, small=100).collect()} == want
