@@ -10,7 +10,7 @@ probability about (1 - 0.17) ** 40 = 0.0006, and of short texts with less than 0
 over words, 1 - distance / longer length, is at least ``threshold``; the distance is found by
 diagonal-wise alignment in a band of ``threshold`` width, after a bag-of-words bound.
 
-Candidates are worked off in three rounds, each between components that the rounds before have found.
+Candidates are worked off in four rounds, each between components that the rounds before have found.
 First every text meets one text: of the least members of its buckets the one that it shares most
 buckets with. What is left of a bucket is then tested in cells: a bucket of at most ``block`` texts is one;
 a larger one, whose texts share a common passage, is split into blocks with a cell for each two of them,
@@ -18,9 +18,11 @@ and a pair that shares several of these is taken up in the one of least key only
 many cells as its bucket has blocks. Where that would be more than ``wide``, members are dealt anew by
 prefix filtering in its place: texts of ``threshold`` share a labelled word among their rarest ones, so each
 of these words is a cell (split into blocks where it is large itself) and unlike texts with a common passage
-no longer meet. Both ways find the same pairs. The second round takes, of each two components in a cell,
-the ``FEW`` pairs likest by signature, which links what belongs together without a row for every pair of
-two groups; the third takes all pairs left. A cell passes on only pairs whose lengths and signatures (parities of hashed words,
+no longer meet. Both ways find the same pairs. The second round takes of each text in a cell its ``NEAREST``
+likest ones by signature, so that a large group whose texts met none of their own in the first round gives
+rows in proportion to its size and is in few components afterwards. The third takes, of each two components
+in a cell, the ``FEW`` likest pairs, which links what belongs together without a row for every pair of
+two groups; the fourth takes all pairs left. Only cells that pairs were held back of go on to the next round. A cell passes on only pairs whose lengths and signatures (parities of hashed words,
 at most as many of which differ as words do) leave the threshold within reach. All three bounds are
 exact, so no pair that shares a bucket is lost. Signatures of n texts in one cell are compared in
 n * n / 2 vectorised steps, in tasks of two blocks each: of buckets of at most ``wide`` blocks, and beyond
@@ -56,8 +58,8 @@ SHORT = 40
 #: Least and most bits of a signature; between them, four to eight for each word. Cells hold signatures
 #: folded to ``CELL_BITS``, pairs are then held against the whole ones.
 LEAST_BITS, CELL_BITS, MOST_BITS = 256, 1 << 12, 1 << 16
-#: Pairs of two components that the second round takes from a cell.
-FEW = 4
+#: Pairs of a text that the second round takes from a cell, and pairs of two components that the third takes.
+NEAREST, FEW = 2, 4
 #: Runs of a text that are expected under the limit below which a slot looks for its least ones.
 _SURVIVORS = 18
 #: Hashed cells of the table of word frequencies that orders words by rarity: its size, whatever the corpus.
@@ -338,6 +340,15 @@ def _differing(signatures: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndar
     return out
 
 
+def _few_of_each_text(x, y, bits, doc, few):
+    """Of the pairs of rows (x, y) those that are among the ones with the fewest differing bits of x or of y."""
+    row, other, both = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((bits, bits))
+    order = np.lexsort((doc[other], both, row))
+    new = np.concatenate(([True], row[order][1:] != row[order][:-1]))
+    at = np.arange(len(order))
+    return np.unique(order[at - np.maximum.accumulate(np.where(new, at, 0)) < few] % len(x))
+
+
 def _few_of_each(x, y, bits, component, cell, few):
     """Of the pairs of each two components in a cell those with the fewest differing bits."""
     lo, hi = np.minimum(component[x], component[y]), np.maximum(component[x], component[y])
@@ -356,11 +367,11 @@ def _met_before(key: np.ndarray, large: list[frozenset | None], x: np.ndarray, y
     return out
 
 
-def _cell_pairs(threshold: float, few: int | None):
+def _cell_pairs(threshold: float, few: int | None, each_text: bool = False):
     """Pairs within reach of rows (key, i, j, side, n_words, doc, component, large, signature) in order of
     cells, ``large`` being the larger buckets of a row's text (null: the cell is of another kind): of the two sides of a cell, or of all its rows where it is a block with itself; of each two
-    components in a cell ``few`` at least and a bounded number of times as many, or all pairs. A key
-    that pairs were held back of is given in ``key``, without a pair."""
+    components in a cell ``few`` at least and a bounded number of times as many, or of each text in a cell
+    its likest ``few`` (``each_text``), or all pairs. A key that pairs were held back of is given in ``key``, without a pair."""
 
     def of(rows):
         import pyarrow as pa
@@ -372,22 +383,28 @@ def _cell_pairs(threshold: float, few: int | None):
         large = [x and frozenset(x) for x in rows.column("large").to_pylist()]
         own = cell[:, 1] == cell[:, 2]
         seen: list[tuple] = []
+        best = [np.zeros(0, np.int64)] * 3
 
-        def flush():
-            if seen:
-                x, y = (np.concatenate(part) for part in zip(*seen))
+        def flush(last: bool = False):
+            if seen or len(best[0]):
+                x, y = (np.concatenate(part) for part in zip((np.zeros(0, np.int64),) * 2, *seen))
                 seen.clear()
                 bits = _differing(signatures, x, y)
                 near = bits <= _reach(n[x], n[y], threshold)[1]
                 x, y, bits = x[near], y[near], bits[near]
                 once = ~_met_before(cell[:, 0], large, x, y)
                 x, y, bits = x[once], y[once], bits[once]
+                if each_text:
+                    x, y, bits = (np.concatenate(part) for part in zip(best, (x, y, bits)))
                 if few is not None and len(x):
-                    at = _few_of_each(x, y, bits, component, group, few)
+                    at = _few_of_each_text(x, y, bits, doc, few) if each_text else _few_of_each(x, y, bits, component, group, few)
                     held_back = np.unique(np.delete(cell[x, 0], at))
                     none = pa.nulls(len(held_back), pa.int64())
                     yield pa.RecordBatch.from_arrays([none, none, pa.array(held_back)], ["a", "b", "key"])
-                    x, y = x[at], y[at]
+                    x, y, bits = x[at], y[at], bits[at]
+                if each_text and not last:
+                    best[:] = x, y, bits
+                    return
                 x, y = doc[x], doc[y]
                 for first in range(0, len(x), 100000):
                     part = slice(first, first + 100000)
@@ -407,7 +424,7 @@ def _cell_pairs(threshold: float, few: int | None):
             if held > 200000:
                 yield from flush()
                 held = 0
-        yield from flush()
+        yield from flush(last=True)
 
     def run(batches):
         import pyarrow as pa
@@ -447,12 +464,12 @@ def _cells(members: DataFrame, block: int) -> DataFrame:
     return cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "component", "large")
 
 
-def _between(members: DataFrame, texts: DataFrame, threshold: float, block: int, few: int | None) -> DataFrame:
+def _between(members: DataFrame, texts: DataFrame, threshold: float, block: int, few: int | None, each_text: bool = False) -> DataFrame:
     """Pairs (a, b) within reach between the components of each key, cell by cell, and keys not done with."""
     known = texts.select(F.col("uid").alias("doc"), "n_words", "signature")
     cells = _cells(members, block).join(known, "doc").select("key", "i", "j", "side", "n_words", "doc", "component", "large", "signature")
     cells = cells.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cells.mapInArrow(_cell_pairs(threshold, few), "a long, b long, key long").distinct()
+    return cells.mapInArrow(_cell_pairs(threshold, few, each_text), "a long, b long, key long").distinct()
 
 
 def _labelled_words(packed) -> np.ndarray:
@@ -532,13 +549,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     larger = buckets.where((F.col("n") > block) & (F.col("n") <= wide * block)).groupBy("doc").agg(F.collect_set("key").alias("large"))
     larger = larger.select(F.explode("large").alias("key"), "doc", "large")
     members = materialize(buckets.where(F.col("n") <= block).select("key", "doc", alone).union(rare.select("key", "doc", alone)).union(larger), "members")
-    for few in (FEW, None):
-        found = materialize(_between(_named(members, labels), heads, threshold, block, few), "cells")
+    for few, each_text in ((NEAREST, True), (FEW, False), (None, False)):
+        found = materialize(_between(_named(members, labels), heads, threshold, block, few, each_text), "cells")
         fresh = found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(_likely(fresh, heads, threshold), "pairs")
         labels = _relabel(labels, materialize(links_of(pairs, texts, threshold), "links"))
         tested = tested.union(pairs)
-        members = members.join(found.where("key is not null").select("key").distinct(), "key", "left_semi")
+        left = found.where("key is not null").select("key").distinct()
+        if left.isEmpty():
+            break
+        members = members.join(left, "key", "left_semi")
     # names of classes: only texts with links have others than their own
     ranked = labels.join(firsts, "node").select("node", "component", "copy_of", F.struct(F.col("copy_of").isNull().alias("none"), "copy_of", "h1", "h2").alias("rank"))
     named = ranked.groupBy("component").agg(F.min("copy_of").alias("class_id"), F.min("rank").alias("least")).join(ranked, "component")

@@ -166,3 +166,27 @@ def test_a_pair_is_taken_up_once_among_larger_buckets():
     x, y = np.array([0, 0, 2, 1]), np.array([1, 3, 1, 3])
     assert m._met_before(np.array([9, 9, 9, 9]), large, x, y).tolist() == [True, False, False, False]
     assert m._met_before(np.array([5, 5, 5, 5]), large, x[:1], y[:1]).tolist() == [False]
+
+
+def test_rows_of_a_group_that_its_first_round_misses_grow_with_its_size(spark, monkeypatch):
+    """The first text shares most buckets with each of 120 near copies, but is none: each is alone after the first round."""
+    draw = random.Random(6)
+    base = [f"w{j}" for j in range(100)]
+    texts = [" ".join(base[:75] + [f"decoy{j}" for j in range(25)])]
+    for i in range(120):
+        copy = list(base)
+        for at in draw.sample(range(75, 100), 8):
+            copy[at] = f"new{i}n{at}"
+        texts.append(" ".join(copy))
+    pairs = []
+
+    def counted(df, label, put=m.materialize):
+        out = put(df, label)
+        if label == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(m, "materialize", counted)
+    got = {r.doc_id: r.class_id for r in m.near_duplicates(make(spark, texts)).collect()}
+    assert got == {0: 0} | {i: 1 for i in range(1, 121)}
+    assert sum(pairs) < 20 * 120  # of 7140 pairs
