@@ -28,6 +28,8 @@ without a weight, or with one that is not positive, is an error. Other columns a
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,44 +63,58 @@ class _Words(dict):
         return n
 
 
+class _Pieces(dict):
+    """Ids of what words are split into."""
+
+    def __init__(self, tokenize, spelt: dict[int, str]):
+        self.tokenize, self.spelt = tokenize, spelt
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        self[piece] = found = tuple([t.id for t in self.tokenize(piece if piece.isascii() else piece.translate(self.spelt))])
+        return found
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """Read once for all tasks of a worker."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class _Encoder:
     """Ids of texts by way of their words. The ids of all known words lie end to end in ``flat``."""
 
     def __init__(self, path: str, end: int):
-        import os
         import re
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole, self.end = Tokenizer.from_file(path), end
-        self.model = self.whole.model
+        self.whole, self.end = _tokenizer(path), end
         self.simple, self.pieces = re.compile(_SIMPLE).fullmatch, re.compile(_SPLIT).findall
         # bytes as the model's vocabulary spells them: printable Latin-1 as it is, others from U+0100 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = {b: i for i, b in enumerate(b for b in range(256) if b not in plain)}
         spelt = {b: chr(b if b in plain else 256 + others[b]) for b in range(256)}
-        self.bytes = {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Pieces(self.whole.model.tokenize, {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)})
         self.forget()
 
     def forget(self) -> None:
         self.number, self.chars, self.flat, self.start = _Words(), 0, np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
         self.known.clear()
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        found = self.known.get(piece)
-        if found is None:
-            found = self.known[piece] = tuple([t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.bytes))])
-        return found
-
     def learn(self) -> None:
         """Adds the ids of fresh words."""
-        made, slow = [], []
+        from itertools import chain
+
+        made, slow, known = [], [], self.known
         for i, word in enumerate(self.number.fresh):
-            if self.simple(word) and "<|" not in word:
+            if word.isascii() and word.isalpha():
+                made.append(known[word.lower()])
+            elif self.simple(word) and "<|" not in word:
                 low = word.lower()
-                made.append(self.piece(low) if low.isalpha() else tuple([i for p in self.pieces(low) for i in self.piece(p)]))
+                made.append(known[low] if low.isalpha() else tuple(chain.from_iterable([known[p] for p in self.pieces(low)])))
             else:
                 made.append(())
                 slow.append(i)
@@ -109,7 +125,7 @@ class _Encoder:
         used, total = int(self.start[-1]), int(sizes.sum())
         if used + total > len(self.flat):
             self.flat = np.concatenate((self.flat[:used], np.zeros(max(used, total), np.uint32)))
-        self.flat[used : used + total] = np.fromiter((i for x in made for i in x), np.uint32, total)
+        self.flat[used : used + total] = np.fromiter(chain.from_iterable(made), np.uint32, total)
         self.start = np.concatenate((self.start, used + np.cumsum(sizes)))
         self.chars += sum(map(len, self.number.fresh))
         self.number.fresh.clear()

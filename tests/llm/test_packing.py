@@ -126,3 +126,15 @@ def test_missing_weight_is_an_error(spark):
     docs = make(spark, ["a b", "c d"], sources=("a", "b"))
     with pytest.raises(ValueError, match="'b'"):
         pk.pack_documents(docs, PATH, weights=spark.createDataFrame([("a", 1.0)], "source string, weight double"))
+
+
+def test_tasks_of_a_worker_share_the_tokenizer_but_not_its_words():
+    import pyarrow as pa
+
+    first, second = (pk._Encoder(PATH, 1) for _ in range(2))
+    assert first.whole is second.whole
+    texts = pa.array(["Ab ab AB's x-y ÀÉ don't", None])
+    assert [x.tolist() for x in first(texts)] == [x.tolist() for x in second(texts)]
+    assert first.known and first.known is not second.known
+    for text, ids in zip(texts.to_pylist(), first(texts)):
+        assert ids.tolist() == [*first.whole.encode(text or "", add_special_tokens=False).ids, 1]
