@@ -10,7 +10,7 @@ probability about (1 - 0.17) ** 40 = 0.0006, and of short texts with less than 0
 over words, 1 - distance / longer length, is at least ``threshold``; the distance is found by
 diagonal-wise alignment in a band of ``threshold`` width, after a bag-of-words bound.
 
-Candidates are worked off in four rounds, each between components that the rounds before have found.
+Candidates are worked off in three rounds, each between components that the rounds before have found.
 First every text meets one text: of the least members of its buckets the one that it shares most
 buckets with. What is left of a bucket is then tested in cells: a bucket of at most ``block`` texts is one;
 a larger one, whose texts share a common passage, is split into blocks with a cell for each two of them,
@@ -18,12 +18,12 @@ and a pair that shares several of these is taken up in the one of least key only
 many cells as its bucket has blocks. Where that would be more than ``wide``, members are dealt anew by
 prefix filtering in its place: texts of ``threshold`` share a labelled word among their rarest ones, so each
 of these words is a cell (split into blocks where it is large itself) and unlike texts with a common passage
-no longer meet. Both ways find the same pairs. The second round takes of each text in a cell its ``NEAREST``
-likest ones by signature, so that a large group whose texts met none of their own in the first round gives
-rows in proportion to its size and is in few components afterwards. The third takes, of each two components
-in a cell, the ``FEW`` likest pairs, which links what belongs together without a row for every pair of
-two groups; the fourth takes all pairs left. Only cells that pairs were held back of go on to the next round. A cell passes on only pairs whose lengths and signatures (parities of hashed words,
-at most as many of which differ as words do) leave the threshold within reach. All three bounds are
+no longer meet. Both ways find the same pairs. In the second round a cell passes on its pairs within reach if
+they are at most ``FEW`` times as many as its texts, else nothing but its key. In the third, cells of such keys
+are worked off where they are: each pair within reach is aligned in the cell of its least key, but those that
+other links have joined by then, and a cell gives the links that join components, fewer than it has texts. So
+no group gives a row for each of its pairs. Within reach are pairs whose lengths and signatures (parities of
+hashed words, at most as many of which differ as words do) leave the threshold possible. All three bounds are
 exact, so no pair that shares a bucket is lost. Signatures of n texts in one cell are compared in
 n * n / 2 vectorised steps, in tasks of two blocks each: of buckets of at most ``wide`` blocks, and beyond
 them only where so many texts share a word that is among the rarest fifth of each, and still are in two
@@ -58,8 +58,8 @@ SHORT = 40
 #: Least and most bits of a signature; between them, four to eight for each word. Cells hold signatures
 #: folded to ``CELL_BITS``, pairs are then held against the whole ones.
 LEAST_BITS, CELL_BITS, MOST_BITS = 256, 1 << 12, 1 << 16
-#: Pairs of a text that the second round takes from a cell, and pairs of two components that the third takes.
-NEAREST, FEW = 2, 4
+#: Pairs for each text that a cell gives in the second round at most, or else none; pairs looked at at once.
+FEW, PORTION = 2, 50000
 #: Runs of a text that are expected under the limit below which a slot looks for its least ones.
 _SURVIVORS = 18
 #: Hashed cells of the table of word frequencies that orders words by rarity: its size, whatever the corpus.
@@ -275,10 +275,9 @@ def _cell_of(ids: np.ndarray) -> np.ndarray:
     return (mix64(ids.astype(np.int64).view(U64)) >> U64(64 - _WANTED_BITS)).astype(np.int64)
 
 
-def links_of(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that the alignment accepts. The words of texts that stand in no
-    pair are left out before the shuffle, but for those that fall in a cell of the bitmap by chance."""
-    wanted = _bitmap(pairs.select("a", "b"))
+def _wanted(ids: DataFrame):
+    """Keeps rows whose ``uid`` is one of the ids, and those that fall in a cell of the bitmap by chance."""
+    wanted = _bitmap(ids)
 
     def keep(batches):
         import pyarrow as pa
@@ -287,7 +286,13 @@ def links_of(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             cell = _cell_of(batch.column("uid").to_numpy())
             yield batch.filter(pa.array(wanted[cell >> 6] >> (cell & 63).astype(U64) & U64(1) == 1))
 
-    some = texts.select("uid", "words").mapInArrow(keep, "uid long, words binary")
+    return keep
+
+
+def links_of(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that the alignment accepts. The words of texts that stand in no
+    pair are left out before the shuffle, but for those that fall in a cell of the bitmap by chance."""
+    some = texts.select("uid", "words").mapInArrow(_wanted(pairs.select("a", "b")), "uid long, words binary")
     one, two = some.toDF("a", "wa"), some.toDF("b", "wb")
     ready = pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb")
     return ready.mapInArrow(_verify(threshold), "a long, b long, similarity double")
@@ -335,29 +340,11 @@ def _differing(signatures: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndar
         place = np.zeros(len(size), np.int64)
         place[rows] = np.arange(len(rows))
         bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(signatures[r], U64).reshape(-1, w // 8)) for r in rows.tolist()])
-        for at in np.array_split(np.flatnonzero(low == w), max(1, int((low == w).sum()) // 50000)):
+        for at in np.array_split(np.flatnonzero(low == w), max(1, int((low == w).sum()) // 10000)):
             out[at] = np.bitwise_count(bits[place[i[at]]] ^ bits[place[j[at]]]).sum(1, dtype=np.int64)
     return out
 
 
-def _few_of_each_text(x, y, bits, doc, few):
-    """Of the pairs of rows (x, y) those that are among the ones with the fewest differing bits of x or of y."""
-    row, other, both = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((bits, bits))
-    order = np.lexsort((doc[other], both, row))
-    new = np.concatenate(([True], row[order][1:] != row[order][:-1]))
-    at = np.arange(len(order))
-    return np.unique(order[at - np.maximum.accumulate(np.where(new, at, 0)) < few] % len(x))
-
-
-def _few_of_each(x, y, bits, component, cell, few):
-    """Of the pairs of each two components in a cell those with the fewest differing bits."""
-    lo, hi = np.minimum(component[x], component[y]), np.maximum(component[x], component[y])
-    order = np.lexsort((bits, hi, lo, cell[x]))
-    new = np.concatenate(([True], np.any([part[order][1:] != part[order][:-1] for part in (cell[x], lo, hi)], 0)))
-    at = np.arange(len(order))
-    return order[at - np.maximum.accumulate(np.where(new, at, 0)) < few]
-
-
 def _met_before(key: np.ndarray, large: list[frozenset | None], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Of pairs (x, y) of rows whether their texts share a larger bucket of a lesser key than the rows'."""
     out = np.zeros(len(x), bool)
@@ -367,64 +354,8 @@ def _met_before(key: np.ndarray, large: list[frozenset | None], x: np.ndarray, y
     return out
 
 
-def _cell_pairs(threshold: float, few: int | None, each_text: bool = False):
-    """Pairs within reach of rows (key, i, j, side, n_words, doc, component, large, signature) in order of
-    cells, ``large`` being the larger buckets of a row's text (null: the cell is of another kind): of the two sides of a cell, or of all its rows where it is a block with itself; of each two
-    components in a cell ``few`` at least and a bounded number of times as many, or of each text in a cell
-    its likest ``few`` (``each_text``), or all pairs. A key that pairs were held back of is given in ``key``, without a pair."""
-
-    def of(rows):
-        import pyarrow as pa
-
-        cell = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-        group = np.concatenate(([0], np.cumsum((cell[1:] != cell[:-1]).any(1))))
-        side, n, doc, component = (rows.column(c).to_numpy() for c in ("side", "n_words", "doc", "component"))
-        signatures = rows.column("signature").to_pylist()
-        large = [x and frozenset(x) for x in rows.column("large").to_pylist()]
-        own = cell[:, 1] == cell[:, 2]
-        seen: list[tuple] = []
-        best = [np.zeros(0, np.int64)] * 3
-
-        def flush(last: bool = False):
-            if seen or len(best[0]):
-                x, y = (np.concatenate(part) for part in zip((np.zeros(0, np.int64),) * 2, *seen))
-                seen.clear()
-                bits = _differing(signatures, x, y)
-                near = bits <= _reach(n[x], n[y], threshold)[1]
-                x, y, bits = x[near], y[near], bits[near]
-                once = ~_met_before(cell[:, 0], large, x, y)
-                x, y, bits = x[once], y[once], bits[once]
-                if each_text:
-                    x, y, bits = (np.concatenate(part) for part in zip(best, (x, y, bits)))
-                if few is not None and len(x):
-                    at = _few_of_each_text(x, y, bits, doc, few) if each_text else _few_of_each(x, y, bits, component, group, few)
-                    held_back = np.unique(np.delete(cell[x, 0], at))
-                    none = pa.nulls(len(held_back), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, pa.array(held_back)], ["a", "b", "key"])
-                    x, y, bits = x[at], y[at], bits[at]
-                if each_text and not last:
-                    best[:] = x, y, bits
-                    return
-                x, y = doc[x], doc[y]
-                for first in range(0, len(x), 100000):
-                    part = slice(first, first + 100000)
-                    ends = [np.minimum(x[part], y[part]), np.maximum(x[part], y[part])]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, ends), pa.nulls(len(ends[0]), pa.int64())], ["a", "b", "key"])
-
-        held = 0
-        for off in range(1, len(group)):
-            x = np.flatnonzero(group[off:] == group[:-off])
-            if not len(x):
-                break
-            y = x + off
-            good = (component[x] != component[y]) & (own[x] | (side[x] != side[y])) & (np.abs(n[x] - n[y]) <= _reach(n[x], n[y], threshold)[0])
-            if good.any():
-                seen.append((x[good], y[good]))
-                held += int(good.sum())
-            if held > 200000:
-                yield from flush()
-                held = 0
-        yield from flush(last=True)
+def _whole_cells(of):
+    """``of`` over tables of whole cells, from rows in order of cells (key, i, j)."""
 
     def run(batches):
         import pyarrow as pa
@@ -454,22 +385,152 @@ def _cell_pairs(threshold: float, few: int | None, each_text: bool = False):
     return run
 
 
-def _cells(members: DataFrame, block: int) -> DataFrame:
-    """(key, i, j, side, doc, component, large) of the cells of all keys that stand in two components: one cell
-    for each two blocks of a key's members."""
+def _open_pairs(rows, threshold: float, component: np.ndarray, over: np.ndarray):
+    """(group, signatures) of a table of cells, and portions (x, y) of its pairs of rows whose lengths are within
+    reach: of the two sides of a cell, or of all its rows where it is a block with itself. Pairs of one component and
+    those of groups that are ``over`` are left out, as these arrays stand by then."""
+    cell = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+    group = np.concatenate(([0], np.cumsum((cell[1:] != cell[:-1]).any(1))))
+    side, n = rows.column("side").to_numpy(), rows.column("n_words").to_numpy()
+    own = cell[:, 1] == cell[:, 2]
+
+    def portions():
+        seen: list[tuple] = []
+        held = 0
+        for off in range(1, len(group)):
+            x = np.flatnonzero(group[off:] == group[:-off])
+            if not len(x):
+                break
+            y = x + off
+            good = (component[x] != component[y]) & ~over[group[x]] & (own[x] | (side[x] != side[y])) & (np.abs(n[x] - n[y]) <= _reach(n[x], n[y], threshold)[0])
+            if good.any():
+                seen.append((x[good], y[good]))
+                held += int(good.sum())
+            if held > PORTION:
+                yield tuple(np.concatenate(part) for part in zip(*seen))
+                seen.clear()
+                held = 0
+        if seen:
+            yield tuple(np.concatenate(part) for part in zip(*seen))
+
+    return group, portions()
+
+
+def _cell_pairs(threshold: float):
+    """Pairs within reach of rows (key, i, j, side, n_words, doc, component, large, signature) in order of
+    cells, ``large`` being the larger buckets of a row's text (null: the cell is of another kind). A cell that has
+    more than ``FEW`` times as many as rows gives none, but its key, in ``key``."""
+
+    def of(rows):
+        import pyarrow as pa
+
+        key, n, doc, component = (rows.column(c).to_numpy() for c in ("key", "n_words", "doc", "component"))
+        signatures = rows.column("signature").to_pylist()
+        large = [x and frozenset(x) for x in rows.column("large").to_pylist()]
+        over = np.zeros(len(key), bool)
+        group, portions = _open_pairs(rows, threshold, component, over)
+        most, count = FEW * np.bincount(group, minlength=len(key)), np.zeros(len(key), np.int64)
+        kept = [np.zeros(0, np.int64)] * 2
+        for x, y in portions:
+            near = _differing(signatures, x, y) <= _reach(n[x], n[y], threshold)[1]
+            x, y = x[near], y[near]
+            once = ~_met_before(key, large, x, y)
+            x, y = x[once], y[once]
+            count += np.bincount(group[x], minlength=len(key))
+            over |= count > most
+            x, y = (np.concatenate(part) for part in zip(kept, (x, y)))
+            left = ~over[group[x]]
+            kept = [x[left], y[left]]
+        x, y = (doc[side] for side in kept)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "key"])
+        held = np.unique(key[over[group]])
+        none = pa.nulls(len(held), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(held)], ["a", "b", "key"])
+
+    return _whole_cells(of)
+
+
+def _slots_of(column) -> np.ndarray:
+    """(rows, slots) keys of an Arrow column of lists; short lists are filled up with what no key is less than."""
+    size = np.diff(column.offsets.to_numpy())
+    out = np.full((len(size), max(size.max(initial=0), 1)), np.iinfo(np.int64).max)
+    out[np.arange(out.shape[1]) < size[:, None]] = column.flatten().to_numpy()
+    return out
+
+
+def _shared_before(key: np.ndarray, keys: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs (x, y) of rows whether their texts share a key (in the same slot of ``keys``) that is less than the rows'."""
+    out = np.zeros(len(x), bool)
+    for at in np.array_split(np.arange(len(x)), 1 + len(x) // 10000):
+        out[at] = ((keys[x[at]] == keys[y[at]]) & (keys[x[at]] < key[x[at], None])).any(1)
+    return out
+
+
+def _cell_links(threshold: float):
+    """Links that join the components of rows (key, i, j, side, n_words, doc, component, signature, keys, words) in order
+    of cells, less than there are rows: all pairs whose least shared key is the cell's are aligned, the likest of a portion
+    first, but those that are in one component by then."""
+
+    def of(rows):
+        import pyarrow as pa
+
+        key, n, doc, component = (rows.column(c).to_numpy() for c in ("key", "n_words", "doc", "component"))
+        component = component.copy()
+        signatures, packed = rows.column("signature").to_pylist(), rows.column("words").to_pylist()
+        keys = _slots_of(rows.column("keys").combine_chunks())
+        _, portions = _open_pairs(rows, threshold, component, np.zeros(len(key), bool))
+        ends = []
+        for x, y in portions:
+            bits = _differing(signatures, x, y)
+            near = np.flatnonzero(bits <= _reach(n[x], n[y], threshold)[1])
+            near = near[~_shared_before(key, keys, x[near], y[near])]
+            near = near[np.argsort(bits[near], kind="stable")]
+            for i, j in zip(x[near].tolist(), y[near].tolist()):
+                if component[i] != component[j] and similarity(*(np.frombuffer(unsqueeze(packed[r]), np.uint32) for r in (i, j)), threshold):
+                    ends.append((doc[i], doc[j]))
+                    component[component == component[j]] = component[i]
+        a, b = np.array(ends, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return _whole_cells(of)
+
+
+def _cells(members: DataFrame, block: int, only: DataFrame | None = None) -> DataFrame:
+    """(key, i, j, side, doc, component, large) of the cells of all keys (of ``only``) that stand in two components:
+    one cell for each two blocks of a key's members."""
     facts = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    if only is not None:
+        facts = facts.join(only, "key", "left_semi")
     facts = facts.select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
     dealt = members.join(facts, "key").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks")))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "component", "large")
 
 
-def _between(members: DataFrame, texts: DataFrame, threshold: float, block: int, few: int | None, each_text: bool = False) -> DataFrame:
+def _in_order(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of cells with what is known of their texts, a cell in one task and together."""
+    cells = cells.join(known.withColumnRenamed("uid", "doc"), "doc")
+    return cells.repartition(partitions(cells.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _between(members: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
     """Pairs (a, b) within reach between the components of each key, cell by cell, and keys not done with."""
-    known = texts.select(F.col("uid").alias("doc"), "n_words", "signature")
-    cells = _cells(members, block).join(known, "doc").select("key", "i", "j", "side", "n_words", "doc", "component", "large", "signature")
-    cells = cells.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cells.mapInArrow(_cell_pairs(threshold, few, each_text), "a long, b long, key long").distinct()
+    cells = _in_order(_cells(members, block), texts.select("uid", "n_words", "signature"))
+    cells = cells.select("key", "i", "j", "side", "n_words", "doc", "component", "large", "signature")
+    return cells.mapInArrow(_cell_pairs(threshold), "a long, b long, key long").distinct()
+
+
+def _joined(members: DataFrame, left: DataFrame, heads: DataFrame, texts: DataFrame, wide: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b) of links that join the components of the keys of ``left``, cell by cell. ``wide``: (doc, key) of what is no cell."""
+    cells = materialize(_cells(members, block, left).drop("large"), "left")
+    keep, wanted = _wanted(cells.select("doc")), "uid long, n_words long, signature binary, keys array<long>"
+    heads = heads.select("uid", "n_words", "signature", "keys").mapInArrow(keep, wanted)
+    no_cell = wide.groupBy(F.col("doc").alias("uid")).agg(F.collect_set("key").alias("wide"))
+    own = F.transform("keys", lambda k, at: F.when(F.array_contains("wide", k), F.xxhash64("uid", at)).otherwise(k))
+    known = heads.join(no_cell, "uid", "left").select("uid", "n_words", "signature", F.when(F.col("wide").isNull(), F.col("keys")).otherwise(own).alias("keys"))
+    known = known.join(texts.select("uid", "words").mapInArrow(keep, "uid long, words binary"), "uid")
+    cells = _in_order(cells, known).select("key", "i", "j", "side", "n_words", "doc", "component", "signature", "keys", "words")
+    return cells.mapInArrow(_cell_links(threshold), "a long, b long")
 
 
 def _labelled_words(packed) -> np.ndarray:
@@ -549,16 +610,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     larger = buckets.where((F.col("n") > block) & (F.col("n") <= wide * block)).groupBy("doc").agg(F.collect_set("key").alias("large"))
     larger = larger.select(F.explode("large").alias("key"), "doc", "large")
     members = materialize(buckets.where(F.col("n") <= block).select("key", "doc", alone).union(rare.select("key", "doc", alone)).union(larger), "members")
-    for few, each_text in ((NEAREST, True), (FEW, False), (None, False)):
-        found = materialize(_between(_named(members, labels), heads, threshold, block, few, each_text), "cells")
-        fresh = found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(_likely(fresh, heads, threshold), "pairs")
-        labels = _relabel(labels, materialize(links_of(pairs, texts, threshold), "links"))
-        tested = tested.union(pairs)
-        left = found.where("key is not null").select("key").distinct()
-        if left.isEmpty():
-            break
-        members = members.join(left, "key", "left_semi")
+    found = materialize(_between(_named(members, labels), heads, threshold, block), "cells")
+    fresh = found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    pairs = materialize(_likely(fresh, heads, threshold), "pairs")
+    labels = _relabel(labels, materialize(links_of(pairs, texts, threshold), "links"))
+    left = found.where("key is not null").select("key").distinct()
+    if not left.isEmpty():
+        wide_of = buckets.where(F.col("n") > wide * block).select("doc", "key")
+        labels = _relabel(labels, materialize(_joined(_named(members, labels), left, heads, texts, wide_of, threshold, block), "links"))
     # names of classes: only texts with links have others than their own
     ranked = labels.join(firsts, "node").select("node", "component", "copy_of", F.struct(F.col("copy_of").isNull().alias("none"), "copy_of", "h1", "h2").alias("rank"))
     named = ranked.groupBy("component").agg(F.min("copy_of").alias("class_id"), F.min("rank").alias("least")).join(ranked, "component")

@@ -190,3 +190,46 @@ def test_rows_of_a_group_that_its_first_round_misses_grow_with_its_size(spark, m
     got = {r.doc_id: r.class_id for r in m.near_duplicates(make(spark, texts)).collect()}
     assert got == {0: 0} | {i: 1 for i in range(1, 121)}
     assert sum(pairs) < 20 * 120  # of 7140 pairs
+
+
+def test_a_group_gives_links_and_not_pairs_once_its_cells_are_left_over(spark, monkeypatch):
+    """As above, with outsiders that are within reach of all others by their words, but not by their order."""
+    draw = random.Random(8)
+    base = [f"w{j}" for j in range(100)]
+    texts = [" ".join(base[:75] + [f"decoy{j}" for j in range(25)])]
+    for i in range(120):
+        copy = list(base)
+        for at in draw.sample(range(75, 100), 8):
+            copy[at] = f"new{i}n{at}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(base[:60] + base[80:] + base[60:80][:: -1 if i % 2 else 1] + [f"last{i}"]) for i in range(20)]
+    rows = []
+
+    def counted(df, label, put=m.materialize):
+        out = put(df, label)
+        if label in ("cells", "pairs", "links"):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(m, "materialize", counted)
+    got = {r.doc_id: r.class_id for r in m.near_duplicates(make(spark, texts)).collect()}
+    words = [np.unique(" ".join(texts).split(), return_inverse=True)[1][sum(len(t.split()) for t in texts[:i]) :][: len(t.split())] for i, t in enumerate(texts)]
+    parent = list(range(len(texts)))
+
+    def top(x):
+        return x if parent[x] == x else top(parent[x])
+
+    for i, a in enumerate(words):
+        for j in range(i):
+            if plain_distance(a, words[j]) <= 0.2 * max(len(a), len(words[j])) + 1e-9 and top(i) != top(j):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    assert got == {i: top(i) for i in range(len(texts))}
+    assert sum(rows) < 10 * len(texts)
+
+
+def test_a_pair_is_aligned_in_the_cell_of_its_least_shared_key():
+    top = np.iinfo(np.int64).max
+    keys = np.array([[5, 9, top], [5, 9, 3], [7, 9, 3], [5, 2, top]])
+    x, y = np.array([0, 1, 0, 0]), np.array([1, 2, 2, 3])
+    assert m._shared_before(np.array([9, 9, 9, 9]), keys, x, y).tolist() == [True, True, False, True]
+    assert m._shared_before(np.array([5, 5, 5, 5]), keys, x, y).tolist() == [False, True, False, False]
