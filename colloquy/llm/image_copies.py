@@ -10,12 +10,15 @@ are matches. A match votes for the turn, scale and shift it implies, and images
 overlapping grids). Classes are the connected components of links.
 
 Images with the same corners are one from here on. Each first meets one image: of the least members of its
-buckets the one that it shares most buckets with. What is left of a bucket, which is what then stands in two
-components, is tested whole: one of at most ``SMALL`` images gives its pairs, a larger one is split into
-blocks with a cell for each two of them, whose task tests all pairs of different components and returns
-the links that join components, at most one less than it has images. So all images that share a bucket
-and are linked are in one class, and no bucket emits all its pairs. Links are counted within classes, all
-pairs, in cells of the same kind that return one number for each image.
+buckets the one that it shares most buckets with. After that an image leaves its fullest buckets, as many as hold
+fewer than ``MIN_VOTES`` of its corners: two that are linked share a key for ``MIN_VOTES`` corners each, so they
+both stay in the rarest one that they share. Where a bucket stands in two components, its pairs whose shared keys
+reach ``MIN_VOTES`` corners on both sides are tested. A bucket that has many of them (more than twice its images,
+if these are more than ``SMALL``) is tested whole instead: it is split into blocks with a cell for each two of
+them, whose task tests all pairs of different components and returns the links that join components, at most one
+less than it has images. So all images that share a bucket and are linked are in one class, and no bucket emits
+all its pairs. Links are counted within classes, all pairs, in cells of the same kind that return one number for
+each image.
 
 Images are binary portable graymaps or pixmaps (``P5``, ``P6``, one byte a sample; color is averaged).
 
@@ -29,8 +32,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm._common import materialize
+from colloquy.llm._common import materialize, partitions
 from colloquy.llm.components import connected_components
+from colloquy.llm.order_minhash import _whole_cells
 
 CORNERS, RADIUS, TURNS, MAX_BITS, MIN_VOTES, CELL, SMALL, BLOCK = (20, 12), 8, 36, 24, 6, 8, 32, 256
 
@@ -227,8 +231,8 @@ def _agreeing(left: list[np.ndarray], right: list[np.ndarray], max_bits: int, mi
     return out
 
 
-def _corners_of(column) -> list[np.ndarray]:
-    """(corners, 8) arrays of an Arrow column of lists of corners."""
+def _lists_of(column) -> list[np.ndarray]:
+    """An array (items, fields) for each list of structs of numbers of an Arrow column."""
     flat = np.stack([x.to_numpy().astype(np.int64) for x in column.flatten().flatten()], 1)
     ends = np.cumsum(np.diff(column.offsets.to_numpy()))
     return np.split(flat, ends[:-1]) if len(ends) else []
@@ -239,7 +243,7 @@ def _test_pairs(max_bits: int, min_votes: int):
         import pyarrow as pa
 
         for batch in batches:
-            good = pa.array(_agreeing(_corners_of(batch.column("corners_a")), _corners_of(batch.column("corners_b")), max_bits, min_votes))
+            good = pa.array(_agreeing(_lists_of(batch.column("corners_a")), _lists_of(batch.column("corners_b")), max_bits, min_votes))
             yield batch.select(["a", "b"]).filter(good)
 
     return run
@@ -264,7 +268,7 @@ def _join_cell(max_bits: int, min_votes: int):
         import pyarrow as pa
 
         cell = cell.combine_chunks()
-        node, corners = cell.column("node").to_numpy(), _corners_of(cell.column("corners").combine_chunks())
+        node, corners = cell.column("node").to_numpy(), _lists_of(cell.column("corners").combine_chunks())
         component = cell.column("component").to_numpy().copy()
         ends = []
         for x, y in _pairs_of(cell):
@@ -288,7 +292,7 @@ def _count_links(max_bits: int, min_votes: int):
         import pyarrow as pa
 
         cell = cell.combine_chunks()
-        images, corners = cell.column("images").to_numpy(), _corners_of(cell.column("corners").combine_chunks())
+        images, corners = cell.column("images").to_numpy(), _lists_of(cell.column("corners").combine_chunks())
         links = np.zeros(len(images), np.int64)
         for x, y in _pairs_of(cell):
             good = _agreeing([corners[i] for i in x], [corners[i] for i in y], max_bits, min_votes)
@@ -299,6 +303,83 @@ def _count_links(max_bits: int, min_votes: int):
     return run
 
 
+def _rare_keys(min_votes: int):
+    """Of images with their keys (node, keys: a list of n, key, at; n: images with the key, at: the corner's number)
+    the keys that are left without the fullest ones of less than ``min_votes`` corners, each with all keys of the image,
+    a 32-bit number for each: 26 bits of the key and the corner (none: it has more corners than these can number)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list = []
+            for node, found in zip(batch.column("node").to_pylist(), _lists_of(batch.column("keys"))):
+                n, key, at = found.T
+                order = np.lexsort((key, n))[::-1]
+                _, first = np.unique(at[order], return_index=True)
+                if len(first) < min_votes:
+                    continue
+                kept = np.unique(key[order[np.sort(first)[min_votes - 1] :]])
+                known = ((key & ((1 << 26) - 1)) << 6 | at).astype(np.uint32).tobytes() if at.max() < 64 else b""
+                out.append((kept, np.full(len(kept), node), [known] * len(kept)))
+            if out:
+                key, node, known = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.concatenate(node)), pa.array(sum(known, []), pa.binary())], ["key", "node", "known"])
+
+    return run
+
+
+def _rich(known: list[bytes], x: np.ndarray, y: np.ndarray, min_votes: int) -> np.ndarray:
+    """Of pairs (x, y) of rows whether the keys that they share may stand for enough corners of both."""
+    size = np.array([len(k) // 4 for k in known], np.int64)
+    flat, start = np.frombuffer(b"".join(known), np.uint32).astype(np.int64), np.cumsum(size) - size
+    sides = []
+    for rows in (x, y):
+        pair = np.repeat(np.arange(len(rows)), size[rows])
+        own = flat[np.arange(len(pair)) + np.repeat(start[rows] - np.cumsum(size[rows]) + size[rows], size[rows])]
+        sides.append((pair, own & 63, pair << 26 | own >> 6))
+    good = np.ones(len(x), bool)
+    for (pair, at, key), (_, _, other) in (sides, sides[::-1]):
+        hit = np.isin(key, other)
+        good &= np.bincount(np.unique(pair[hit] << 6 | at[hit]) >> 6, minlength=len(x)) >= min_votes
+    return good | (size[x] == 0) | (size[y] == 0)
+
+
+def _cell_pairs(min_votes: int, small: int):
+    """Pairs of rows (key, i, j, side, node, component, known) in order of cells that may be linked; of a cell of more than
+    ``small`` rows that has more than twice as many only its key."""
+
+    def of(rows):
+        import pyarrow as pa
+
+        key, i, j, side, node, component = (rows.column(c).to_numpy() for c in ("key", "i", "j", "side", "node", "component"))
+        known = rows.column("known").to_pylist()
+        group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        size = np.bincount(group)
+        most = np.where(size > small, 2 * size, size * size)
+        count = np.zeros(len(size), np.int64)
+        kept: list = [(np.zeros(0, np.int64),) * 2]
+        for off in range(1, len(group)):
+            x = np.flatnonzero(group[off:] == group[:-off])
+            if not len(x):
+                break
+            y = x + off
+            open_ = (component[x] != component[y]) & ((i[x] == j[x]) | (side[x] != side[y])) & (count <= most)[group[x]]
+            x, y = x[open_], y[open_]
+            good = _rich(known, x, y, min_votes)
+            kept.append((x[good], y[good]))
+            count += np.bincount(group[x[good]], minlength=len(count))
+        x, y = (np.concatenate(part) for part in zip(*kept))
+        done = (count <= most)[group[x]]
+        x, y = node[x[done]], node[y[done]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "key"])
+        held = np.unique(key[(count > most)[group]])
+        none = pa.nulls(len(held), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(held)], ["a", "b", "key"])
+
+    return _whole_cells(of)
+
+
 def _cells(members: DataFrame, key: str, block: int) -> DataFrame:
     """``members`` once for each other block of their key: a cell (key, i, j) for each two blocks."""
     sizes = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
@@ -317,8 +398,8 @@ def links_of(described: DataFrame, max_bits: int = MAX_BITS, min_votes: int = MI
     nodes = drawn.join(alike.select(F.col("node").alias("image_id"), F.col("node"), "images"), "image_id").select("node", "images", "corners")
     nodes = materialize(nodes, "nodes")
     tables = F.array(*(F.xxhash64(F.lit(10 * i + j), F.col("c")[f"q{i}"], F.col("c")[f"q{j}"]) for i in range(4) for j in range(i + 1, 4)))
-    keyed = nodes.select("node", F.explode("corners").alias("c")).select("node", F.explode(tables).alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    keyed = nodes.select("node", F.posexplode("corners").alias("at", "c")).select("node", F.col("at").cast("long").alias("at"), F.explode(tables).alias("key"))
+    shared = keyed.groupBy("key", "node").agg(F.lit(1)).groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(keyed.join(shared, "key"), "buckets")
 
     def tested(pairs: DataFrame) -> DataFrame:
@@ -326,21 +407,27 @@ def links_of(described: DataFrame, max_bits: int = MAX_BITS, min_votes: int = MI
         return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_test_pairs(max_bits, min_votes), "a long, b long")
 
     # each with the least member of a bucket that it shares most buckets with
-    votes = met.where("node != pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    votes = met.where("node != pivot").groupBy("node", "pivot").agg(F.count_distinct("key").alias("n"))
     best = votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("best")).select((-F.col("best.p")).alias("a"), F.col("node").alias("b"))
     links = materialize(tested(best), "links")
     labels = materialize(connected_components(links).withColumnRenamed("node", "of"), "labels")
-    # what is left of a bucket is what stands in two components
     named = lambda rows: rows.join(labels, F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node")).drop("of")
-    members = named(met.select("node", "key", "n"))
-    unsettled = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    members = materialize(members.join(unsettled, "key", "left_semi"), "members")
-    few = members.where(F.col("n") <= small)
-    pairs = few.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(few.select("key", F.col("node").alias("b"), F.col("component").alias("cb")), "key")
-    pairs = pairs.where("a < b and ca != cb").select("a", "b").distinct()
-    cells = _cells(members.where(F.col("n") > small).select("node", "key", "component"), "key", block).join(nodes, "node")
-    joined = cells.groupBy("key", "i", "j").applyInArrow(_join_cell(max_bits, min_votes), "a long, b long")
-    links = materialize(links.union(tested(pairs)).union(joined), "links")
+    owned = met.groupBy("node").agg(F.collect_list(F.struct("n", "key", "at")).alias("keys"))
+    rare = materialize(named(owned.mapInArrow(_rare_keys(min_votes), "key long, node long, known binary")), "members")
+    # what is left of a bucket is what stands in two components
+    unsettled = rare.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    members = rare.join(unsettled, "key", "left_semi")
+    cells = _cells(members, "key", block).select("key", "i", "j", "side", "node", "component", "known")
+    cells = cells.repartition(partitions(nodes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = materialize(cells.mapInArrow(_cell_pairs(min_votes, small), "a long, b long, key long"), "pairs")
+    links = materialize(links.union(tested(found.where("a is not null").select("a", "b").distinct())), "links")
+    labels = materialize(connected_components(links).withColumnRenamed("node", "of"), "labels")
+    left = found.where("key is not null").select("key").distinct()
+    if not left.isEmpty():
+        full = named(rare.select("key", "node").join(left, "key", "left_semi"))
+        cells = _cells(full, "key", block).join(nodes, "node")
+        joined = cells.groupBy("key", "i", "j").applyInArrow(_join_cell(max_bits, min_votes), "a long, b long")
+        links = materialize(links.union(joined), "links")
     labels = materialize(connected_components(links).withColumnRenamed("node", "of"), "labels")
     # links lie within classes, so that each class counts its own
     linked = nodes.join(labels, F.col("node") == F.col("of")).drop("of")

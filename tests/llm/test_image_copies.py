@@ -48,3 +48,22 @@ def test_all_links_of_large_buckets_are_found(spark):
         assert {r.image_id: (r.component, r.n_links) for r in m.links_of(described, block=block).collect()} == want
     # buckets that give their pairs find the same
     assert {r.image_id: (r.component, r.n_links) for r in m.links_of(described, small=100).collect()} == want
+
+
+def test_images_leave_their_fullest_buckets_but_meet_in_the_rarest_shared_one():
+    import pyarrow as pa
+
+    # eight corners, of which the first five have the fullest keys; key 3 is in the sixth corner's
+    keys = [{"n": 100 - at, "key": at, "at": at} for at in range(5)] + [{"n": 9, "key": 10 + at, "at": at} for at in range(5, 8)] + [{"n": 2, "key": 30, "at": 0}]
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("n", "key", "at")]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([keys, keys[:5]], kind)], ["node", "keys"])
+    (found,) = m._rare_keys(6)(iter([batch]))
+    # the sixth corner's fullest key is the first to stay; an image with five corners that meet any is left out
+    assert found.to_pydict()["key"] == [15, 16, 17, 30] and set(found.to_pydict()["node"]) == {1}
+
+
+def test_pairs_need_enough_corners_on_both_sides():
+    known = lambda pairs: b"".join(np.uint32(key << 6 | at).tobytes() for key, at in pairs)
+    rows = [known((k, k) for k in range(6)), known((k, 9 + k) for k in range(8)), known((k, 0) for k in range(6)), known((k, k) for k in range(1, 6)), b""]
+    x, y = np.array([0, 0, 0, 3]), np.array([1, 2, 3, 4])
+    assert m._rich(rows, x, y, 6).tolist() == [True, False, False, True]
