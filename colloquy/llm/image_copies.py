@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm._common import materialize, mix64, partitions, string_buffer
+from colloquy.llm._common import BATCH_BYTES, materialize, mix64, partitions, string_buffer
 from colloquy.llm.components import connected_components
 from colloquy.llm.order_minhash import _whole_cells
 
@@ -397,10 +397,9 @@ def _cell_rows(min_votes: int):
     def run(batches):
         import pyarrow as pa
 
-        def packed(values, size, row):
+        def packed(values, size):
             ends = np.concatenate(([0], np.cumsum(size))) * values.dtype.itemsize
-            whole = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
-            return whole.take(pa.array(row))
+            return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
         for batch in batches:
             row, n, key, at = _flat(batch)[:4]
@@ -416,10 +415,12 @@ def _cell_rows(min_votes: int):
             place["level"], place["y"], place["x"], place["turn"], place["keys"] = level, y, x, turn, np.bincount(of)
             left = _kept(row, n, key, at, min_votes)
             own = of - np.searchsorted(row[corner], row)
-            r = row[left]
-            columns = [pa.array(key[left]), pa.array(n[left]), batch.column("node").take(pa.array(r)), batch.column("component").take(pa.array(r)), pa.array(own[left].astype(np.int32))]
-            columns += [packed(place, np.bincount(row[corner], minlength=batch.num_rows), r), packed(key.astype(np.uint16), np.bincount(row, minlength=batch.num_rows), r)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "node", "component", "own", "places", "codes"])
+            corners, keys = (np.bincount(rows, minlength=batch.num_rows) for rows in (row[corner], row))
+            of_row = {"node": batch.column("node"), "component": batch.column("component"), "places": packed(place, corners), "codes": packed(key.astype(np.uint16), keys)}
+            size = np.cumsum((corners * _PLACE.itemsize + keys * 2)[row[left]])
+            for part in np.split(left, np.searchsorted(size, np.arange(BATCH_BYTES, size[-1], BATCH_BYTES))) if len(left) else []:
+                columns = {"key": pa.array(key[part]), "n": pa.array(n[part]), "own": pa.array(own[part].astype(np.int32))} | {c: values.take(pa.array(row[part])) for c, values in of_row.items()}
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -580,7 +581,7 @@ def _links(lists: DataFrame, max_bits: int = MAX_BITS, min_votes: int = MIN_VOTE
     wide = 8 * block
     full = named(rare.where(F.col("n") > wide)).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     full = materialize(full.where(f"lo = hi or rows > {wide}").select("key", F.when(F.col("lo") < F.col("hi"), F.ceil(F.col("rows") / wide)).otherwise(0).cast("long").alias("blocks")), "full")
-    members = named(met).mapInArrow(_cell_rows(min_votes), "key long, n long, node long, component long, own int, places binary, codes binary")
+    members = named(met).mapInArrow(_cell_rows(min_votes), "key long, n long, own int, node long, component long, places binary, codes binary")
     members = members.join(full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).where("blocks > 0")
     cells = _dealt(members).select("key", "i", "j", "side", "node", "component", "own", "places", "codes")
     cells = cells.repartition(partitions(nodes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
